@@ -1,0 +1 @@
+"""Nothing here yet: the work has no streams; incremental runs use sources.layout.pending_frames()."""
