@@ -58,13 +58,21 @@ def distortion_factor(r: Column, eta: Column, p: list[float], rho: float) -> Col
     return out
 
 
+def bind(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use repeats it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def corrected_radius_px(y: Column, z: Column, p: dict, residual: Column | None = None) -> Column:
     """Radius in pixels after tilt and distortion, plus a residual correction if given."""
     xl, yl, zl = rotate_detector(y, z, p)
-    flat = F.sqrt(yl * yl + zl * zl)
-    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(zl, flat)))))
-    r = p["lsd"] / (p["lsd"] + xl) * flat
-    out = r * distortion_factor(r, F.when(yl > 0, -angle).otherwise(angle), p["p"], p["rho"]) / p["px"]
+
+    def polar(s: Column) -> Column:
+        angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(s["z"], s["flat"])))))
+        return F.struct((p["lsd"] / (p["lsd"] + s["x"]) * s["flat"]).alias("r"), F.when(s["y"] > 0, -angle).otherwise(angle).alias("eta"))
+
+    place = bind(F.struct(xl.alias("x"), yl.alias("y"), zl.alias("z")), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["z"].alias("z"), F.sqrt(s["y"] * s["y"] + s["z"] * s["z"]).alias("flat")))
+    out = bind(bind(place, polar), lambda s: s["r"] * distortion_factor(s["r"], s["eta"], p["p"], p["rho"]) / p["px"])
     return out if residual is None else out + residual
 
 

@@ -75,7 +75,8 @@ def good_pixels(pixels: DataFrame, params: dict, rings: list[float], thresholds:
     place = F.transform(F.array(radius), lambda r: F.struct(r.alias("radius_px"), ring_index(r, rings, width).alias("ring_idx")))
     least = F.lit([float(t) for t in thresholds])
     hit = F.filter(place, lambda x: (x["ring_idx"] >= 0) & (F.col("intensity") >= F.get(least, x["ring_idx"])))
-    return pixels.select("*", F.explode(hit).alias("__hit")).select(*pixels.columns, "__hit.radius_px", "__hit.ring_idx")
+    rows = pixels.select("*", F.explode_outer(hit).alias("__hit")).where(F.col("__hit").isNotNull())
+    return rows.select(*pixels.columns, "__hit.radius_px", "__hit.ring_idx")
 
 
 def threshold_frames(pixels: DataFrame, least: float) -> DataFrame:
