@@ -30,10 +30,11 @@ from .components import components
 
 #: Shingles held at a time while texts are read.
 CHUNK = 1_000_000
-#: Most shingles that are told to every task as frequent, and the least number of texts that makes one so.
-FREQUENT, OFTEN = 1_000_000, 24
-#: Texts of a region that are compared outright.
-SMALL = 12
+#: Most shingles that are told to every task as frequent; a region of more texts than OFTEN makes its shingle so; how
+#: often the regions are laid out to find them.
+FREQUENT, OFTEN, LAYOUTS = 1_000_000, 8, 3
+#: Texts of a region that are compared outright in the second round; twice as many in each further one.
+SMALL = 32
 #: Most rows of a table sent to every executor.
 BROADCAST_ROWS = 1_000_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -92,23 +93,15 @@ def _distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def describe(texts: DataFrame, width: int) -> DataFrame:
-    """texts: doc_id, th (hash of the text), __text. Rows of kind 0: a = doc_id, b = th, c = set digest, n = set size;
-    of kind 1: a = a shingle that several different sets of a chunk hold, n = how many of them."""
+    """texts: doc_id, th (hash of the text), __text. Adds c, the set's digest (null if empty), and n, its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, sets in chunks(batches, width):
-            ids, first = _distinct(sets)
-            size = np.array([len(s) for s in sets], np.int64)
-            rows = pa.Table.from_batches(held)
-            columns = [rows.column("doc_id").combine_chunks(), rows.column("th").combine_chunks(), pa.array(ids, mask=size == 0), pa.array(size)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), *columns], ["kind", "a", "b", "c", "n"])
-            if first:
-                s, n = np.unique(np.concatenate([sets[k] for k in first]), return_counts=True)
-                s, n = s[n > 2], n[n > 2]
-                none = pa.nulls(len(s), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(s), np.int32)), _long(s), none, none, pa.array(n)], ["kind", "a", "b", "c", "n"])
+        for batch in batches:
+            sets = [shingles(t, width) for t in batch.column("__text").to_pylist()]
+            c = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), c, pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "th", "c", "n"])
 
-    return texts.mapInArrow(run, "kind int, a long, b long, c long, n long")
+    return texts.mapInArrow(run, "doc_id long, th long, c long, n long")
 
 
 def regions(texts: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -196,6 +189,14 @@ def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, shared long, total long")
 
 
+def _often(sizes: DataFrame, most: int) -> np.ndarray:
+    """The shingles of the largest regions: of all with more than OFTEN texts, or as many as there is room for."""
+    least = OFTEN + 1
+    while sizes.where(F.col("size") >= least).count() > most:
+        least *= 2
+    return sizes.where(F.col("size") >= least).select("s").toArrow().column("s").to_numpy().view(np.uint64)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be sent to every executor if it has few rows; they are counted first."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -206,15 +207,16 @@ def jaccard_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     component_id, the smallest doc_id reachable by links of Jaccard similarity >= percent / 100."""
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
     source = source.select("doc_id", F.xxhash64("__text").alias("th"), "__text")
-    described = stored(describe(source, width), "jaccard-sets")
-    rows = described.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("th"), "c", "n")
-    often = stored(described.where("kind = 1").groupBy(F.col("a").alias("s")).agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN), "jaccard-often")
-    least = OFTEN
-    while often.where(F.col("n") >= least).count() > FREQUENT:
-        least *= 2
-    frequent = np.sort(often.where(F.col("n") >= least).select("s").toPandas()["s"].to_numpy(np.int64).view(np.uint64))
-
-    links = _join(source, rows, regions(source, frequent, width, percent), width, percent)
+    rows = stored(describe(source, width), "jaccard-sets")
+    frequent = np.empty(0, np.uint64)
+    for layout in range(LAYOUTS):
+        members = stored(regions(source, frequent, width, percent), "jaccard-regions")
+        sizes = stored(members.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "jaccard-sizes")
+        more = _often(sizes, FREQUENT - len(frequent)) if layout + 1 < LAYOUTS else ()
+        if not len(more):
+            break
+        frequent = np.union1d(frequent, more)
+    links = _join(source, rows, members.join(sizes.select("s"), "s"), width, percent)
     labels = components(links)
     own = rows.join(labels.select(F.col("v").alias("c"), F.col("c").alias("label")), "c", "left")
     own = own.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("label", "c").alias("component"))
@@ -229,20 +231,19 @@ def _join(source: DataFrame, rows: DataFrame, members: DataFrame, width: int, pe
     the window of an earlier pivot, where it may be linked with the pivot's ball; such a one never becomes part of a
     ball, so links between a ball and any text beyond are impossible by the triangle inequality.
     """
-    members = stored(members, "jaccard-regions")
     sizes = rows.where(F.col("c").isNotNull()).groupBy("c").agg(F.first("n").alias("n"), F.min("th").alias("th"))
     involved = stored(members.select("c").distinct().join(sizes, "c"), "jaccard-involved")
     texts = source.join(small(involved.select("th", "c")), "th").groupBy("c").agg(F.first("__text").alias("__text"))
     texts = stored(texts, "jaccard-texts")
     members = members.join(involved.select("c", "n"), "c").select("s", "c", "n", F.lit(False).alias("ball"), F.lit(False).alias("near"))
-    compared, labels = None, None
+    compared, labels, outright = None, None, SMALL
     while True:
         open_one = F.when(~F.col("ball"), F.struct(F.col("c").alias("pivot"), F.col("n").alias("pivot_n")))
         stats = members.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min(open_one).alias("p")).where("size > 1 and p is not null").select("s", "size", "p.*")
         here = members.join(stats, "s")
         pairs = here.where(F.col("c") != F.col("pivot")).select(F.col("c").alias("x"), F.col("n").alias("nx"), F.col("pivot").alias("y"), F.col("pivot_n").alias("ny"))
         if compared is not None:
-            few = here.where(F.col("size") <= SMALL)
+            few = here.where(F.col("size") <= outright)
             other = few.where(~F.col("ball")).select("s", F.col("c").alias("y"), F.col("n").alias("ny"))
             each = few.select("s", F.col("c").alias("x"), F.col("n").alias("nx"), "ball").join(other, "s").where((F.col("x") != F.col("y")) & (F.col("ball") | (F.col("x") > F.col("y"))))
             pairs = pairs.union(each.select("x", "nx", "y", "ny"))
@@ -259,7 +260,8 @@ def _join(source: DataFrame, rows: DataFrame, members: DataFrame, width: int, pe
 
         pair = here.where(F.col("c") != F.col("pivot")).withColumns({"a": F.greatest("c", "pivot"), "b": F.least("c", "pivot")}).join(compared, ["a", "b"], "left")
         if not first_round:  # small regions have been compared outright
-            pair = pair.where(F.col("size") > SMALL)
+            pair = pair.where(F.col("size") > outright)
+            outright *= 2
         reach = 100 - 2 * (100 - percent)
         inside = F.coalesce(100 * F.col("shared") >= percent * F.col("total"), F.lit(False))
         beyond = F.coalesce(100 * F.col("shared") < reach * F.col("total"), 100 * F.least("n", "pivot_n") < reach * F.greatest("n", "pivot_n"))
