@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PATCH = Window.partitionBy("patch_id")
+def by_patch():
+    return Window.partitionBy("patch_id")
+
 
 
 def downscale(cells: DataFrame, f: int, side: int) -> DataFrame:
@@ -23,18 +25,18 @@ def upscale(cells: DataFrame, f: int) -> DataFrame:
 
 def normalize_by_max(cells: DataFrame, guard: bool = True) -> DataFrame:
     """Divides by the patch's maximum; a maximum of 0 counts as 1, or without the guard gives nulls."""
-    top = F.max("v").over(PATCH)
+    top = F.max("v").over(by_patch())
     return cells.withColumn("v", F.col("v") / F.when(top == 0, 1.0).otherwise(top) if guard else F.try_divide(F.col("v"), top))
 
 
 def rescale_to_sum(cells: DataFrame, to: str) -> DataFrame:
     """Multiplies so that a patch sums to the column named by to; a patch of sum 0 gets nulls."""
-    return cells.withColumn("v", F.try_divide(F.col("v") * F.col(to), F.sum("v").over(PATCH)))
+    return cells.withColumn("v", F.try_divide(F.col("v") * F.col(to), F.sum("v").over(by_patch())))
 
 
 def centroid(cells: DataFrame, threshold: float, height: int, width: int) -> DataFrame:
     """Weighted mean row and column of pixels of at least threshold * maximum; without mass the middle of the patch."""
-    rows = cells.withColumn("w", F.when(F.col("v") < threshold * F.max("v").over(PATCH), 0.0).otherwise(F.col("v")))
+    rows = cells.withColumn("w", F.when(F.col("v") < threshold * F.max("v").over(by_patch()), 0.0).otherwise(F.col("v")))
     mass = rows.groupBy("patch_id").agg(F.sum("w").alias("m"), F.sum(F.col("w") * F.col("row")).alias("mr"), F.sum(F.col("w") * F.col("col")).alias("mc"))
     mean = lambda c, middle: F.when(F.col("m") == 0, middle).otherwise(F.try_divide(F.col(c), F.col("m")))
     return mass.select("patch_id", mean("mr", height / 2).alias("row"), mean("mc", width / 2).alias("col"))
@@ -51,5 +53,5 @@ def min_max_nonzero(cells: DataFrame, value: str, intensity: str = "v", absolute
     x = F.abs(F.col(value)) if absolute else F.col(value)
     x = F.when(F.col(intensity) == 0, 0.0).otherwise(x)
     some = F.when(x != 0, x)
-    low, high = F.min(some).over(PATCH), F.max(some).over(PATCH)
+    low, high = F.min(some).over(by_patch()), F.max(some).over(by_patch())
     return cells.withColumn(value, F.when(x == 0, 0.0).otherwise(F.try_divide(x - low, high - low)))
