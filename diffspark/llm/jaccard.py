@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -30,11 +30,11 @@ from .components import components
 
 #: Shingles held at a time while texts are read.
 CHUNK = 1_000_000
-#: Most shingles that are told to every task as frequent; a region of more texts than OFTEN makes its shingle so; how
-#: often the regions are laid out to find them.
-FREQUENT, OFTEN, LAYOUTS = 1_000_000, 8, 3
-#: Texts of a region that are compared outright in the second round; twice as many in each further one.
-SMALL = 32
+#: Most shingles that are told to every task as frequent; one held by more texts than OFTEN is so. They are counted
+#: among the first LOW percent of each text's shingles, from which the prefixes are taken.
+FREQUENT, OFTEN, LOW = 1_000_000, 8, 40
+#: Texts of a region that are compared outright in the first round, and how many times as many in each further one.
+TINY, GROW = 8, 4
 #: Most rows of a table sent to every executor.
 BROADCAST_ROWS = 1_000_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -93,15 +93,19 @@ def _distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def describe(texts: DataFrame, width: int) -> DataFrame:
-    """texts: doc_id, th (hash of the text), __text. Adds c, the set's digest (null if empty), and n, its size."""
+    """texts: doc_id, th (hash of the text), __text. Adds c, the set's digest (null if empty), n, its size, and low, its
+    first LOW percent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, width) for t in batch.column("__text").to_pylist()]
             c = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), c, pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "th", "c", "n"])
+            low = [s[: -(-len(s) * LOW // 100)] for s in sets]
+            ends = pa.array(np.cumsum([0, *map(len, low)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, _long(np.concatenate([np.empty(0, np.uint64), *low])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), c, pa.array([len(s) for s in sets], pa.int64()), lists], ["doc_id", "th", "c", "n", "low"])
 
-    return texts.mapInArrow(run, "doc_id long, th long, c long, n long")
+    return texts.mapInArrow(run, "doc_id long, th long, c long, n long, low array<long>")
 
 
 def regions(texts: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -190,7 +194,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def _often(sizes: DataFrame, most: int) -> np.ndarray:
-    """The shingles of the largest regions: of all with more than OFTEN texts, or as many as there is room for."""
+    """The shingles found most: all with more than OFTEN texts, or as many as there is room for."""
     least = OFTEN + 1
     while sizes.where(F.col("size") >= least).count() > most:
         least *= 2
@@ -208,24 +212,29 @@ def jaccard_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
     source = source.select("doc_id", F.xxhash64("__text").alias("th"), "__text")
     rows = stored(describe(source, width), "jaccard-sets")
-    frequent = np.empty(0, np.uint64)
-    for layout in range(LAYOUTS):
-        members = stored(regions(source, frequent, width, percent), "jaccard-regions")
-        sizes = stored(members.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "jaccard-sizes")
-        more = _often(sizes, FREQUENT - len(frequent)) if layout + 1 < LAYOUTS else ()
-        if not len(more):
-            break
-        frequent = np.union1d(frequent, more)
-    links = _join(source, rows, members.join(sizes.select("s"), "s"), width, percent)
-    labels = components(links)
+    held = rows.select(F.explode("low").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("size"))
+    frequent = np.sort(_often(stored(held.where(F.col("size") > OFTEN), "jaccard-frequent"), FREQUENT))
+    members = stored(regions(source, frequent, width, percent), "jaccard-regions")
+    kept = stored(_unlike(members.groupBy("s").agg(*_signature("c"))), "jaccard-unlike")
+    labels = _join(source, rows.drop("low"), members.join(small(kept), "s"), width, percent)
     own = rows.join(labels.select(F.col("v").alias("c"), F.col("c").alias("label")), "c", "left")
     own = own.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("label", "c").alias("component"))
     smallest = own.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return own.join(smallest, "component", "left").select("doc_id", "th", "n_shingles", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _signature(*state: str) -> list[Column]:
+    """Aggregates by region that agree where regions hold the same texts in the same state."""
+    return [F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.xxhash64(F.lit(k), *state)).alias(f"sig{k}") for k in (0, 1)]]
+
+
+def _unlike(signatures: DataFrame) -> DataFrame:
+    """s of one region of each set of regions that hold the same two texts or more: they would go on alike."""
+    return signatures.where("size > 1").groupBy("size", "sig0", "sig1").agg(F.min("s").alias("s")).select("s")
+
+
 def _join(source: DataFrame, rows: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links enough to connect whatever is linked, found region by region: a, b.
+    """The classes of whatever is linked, found region by region: v, c as by components().
 
     A member of a region is open, or in the ball of an earlier pivot of the region. An open one is near if it lies in
     the window of an earlier pivot, where it may be linked with the pivot's ball; such a one never becomes part of a
@@ -236,44 +245,44 @@ def _join(source: DataFrame, rows: DataFrame, members: DataFrame, width: int, pe
     texts = source.join(small(involved.select("th", "c")), "th").groupBy("c").agg(F.first("__text").alias("__text"))
     texts = stored(texts, "jaccard-texts")
     members = members.join(involved.select("c", "n"), "c").select("s", "c", "n", F.lit(False).alias("ball"), F.lit(False).alias("near"))
-    compared, labels, outright = None, None, SMALL
+    members = stored(members, "jaccard-members")
+    compared, labels, outright = None, None, TINY
     while True:
         open_one = F.when(~F.col("ball"), F.struct(F.col("c").alias("pivot"), F.col("n").alias("pivot_n")))
         stats = members.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min(open_one).alias("p")).where("size > 1 and p is not null").select("s", "size", "p.*")
         here = members.join(stats, "s")
         pairs = here.where(F.col("c") != F.col("pivot")).select(F.col("c").alias("x"), F.col("n").alias("nx"), F.col("pivot").alias("y"), F.col("pivot_n").alias("ny"))
-        if compared is not None:
-            few = here.where(F.col("size") <= outright)
-            other = few.where(~F.col("ball")).select("s", F.col("c").alias("y"), F.col("n").alias("ny"))
-            each = few.select("s", F.col("c").alias("x"), F.col("n").alias("nx"), "ball").join(other, "s").where((F.col("x") != F.col("y")) & (F.col("ball") | (F.col("x") > F.col("y"))))
-            pairs = pairs.union(each.select("x", "nx", "y", "ny"))
+        few = here.where(F.col("size") <= outright)
+        other = few.where(~F.col("ball")).select("s", F.col("c").alias("y"), F.col("n").alias("ny"))
+        each = few.select("s", F.col("c").alias("x"), F.col("n").alias("nx"), "ball").join(other, "s").where((F.col("x") != F.col("y")) & (F.col("ball") | (F.col("x") > F.col("y"))))
+        pairs = pairs.union(each.select("x", "nx", "y", "ny"))
         pairs = pairs.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))  # else they can't be linked
         pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
         if compared is not None:  # what is known, or connected already, needs no look
             pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti").join(_labelled(labels, "a"), "a", "left").join(_labelled(labels, "b"), "b", "left")
             pairs = pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
         found = stored(overlaps(stored(pairs, "jaccard-pairs"), texts, width), "jaccard-overlaps")
-        first_round = compared is None
-        compared = found if first_round else compared.unionByName(found)
-        links = compared.where(100 * F.col("shared") >= percent * F.col("total")).select("a", "b")
-        labels = components(links)
+        compared = found if compared is None else compared.unionByName(found)
+        linked = 100 * F.col("shared") >= percent * F.col("total")
+        if labels is None or not found.where(linked).isEmpty():
+            labels = components(compared.where(linked).select("a", "b"))
 
         pair = here.where(F.col("c") != F.col("pivot")).withColumns({"a": F.greatest("c", "pivot"), "b": F.least("c", "pivot")}).join(compared, ["a", "b"], "left")
-        if not first_round:  # small regions have been compared outright
-            pair = pair.where(F.col("size") > outright)
-            outright *= 2
+        pair = pair.where(F.col("size") > outright)  # smaller ones have been compared outright
+        outright *= GROW
         reach = 100 - 2 * (100 - percent)
-        inside = F.coalesce(100 * F.col("shared") >= percent * F.col("total"), F.lit(False))
+        inside = F.coalesce(linked, F.lit(False))
         beyond = F.coalesce(100 * F.col("shared") < reach * F.col("total"), 100 * F.least("n", "pivot_n") < reach * F.greatest("n", "pivot_n"))
         ball = F.col("ball") | (inside & ~F.col("near"))
         rest = pair.select("s", "c", "n", ball.alias("ball"), (~ball & (F.col("near") | ~beyond)).alias("near"))
         rest = rest.join(_labelled(labels, "c"), "c", "left").withColumn("label", F.coalesce("label_c", "c"))
         # a region goes on if it holds different classes, and two open texts or a near one beside a ball
-        stats = rest.groupBy("s").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count_if("near").alias("nears"), F.count_if(~F.col("ball")).alias("open"))
-        stats = stats.where("l0 <> l1 and open > 0 and (nears > 0 or open > 1)").select("s", "nears")
+        stats = rest.groupBy("s").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count_if("near").alias("nears"), F.count_if(~F.col("ball")).alias("open"), *_signature("c", "ball", "near"))
+        stats = stats.where("l0 <> l1 and open > 0 and (nears > 0 or open > 1)")
+        stats = stats.groupBy("nears", "size", "sig0", "sig1").agg(F.min("s").alias("s")).select("s", "nears")
         members = stored(rest.join(stats, "s").where("not ball or nears > 0").select("s", "c", "n", "ball", "near"), "jaccard-regions")
         if members.isEmpty():
-            return links
+            return labels
 
 
 def _labelled(labels: DataFrame, c: str) -> DataFrame:
