@@ -264,8 +264,9 @@ def _join(source: DataFrame, rows: DataFrame, members: DataFrame, width: int, pe
         found = stored(overlaps(stored(pairs, "jaccard-pairs"), texts, width), "jaccard-overlaps")
         compared = found if compared is None else compared.unionByName(found)
         linked = 100 * F.col("shared") >= percent * F.col("total")
-        if labels is None or not found.where(linked).isEmpty():
-            labels = components(compared.where(linked).select("a", "b"))
+        links = compared.where(linked).select("a", "b")
+        if labels is None:  # later links join few further texts; these classes only spare work, so they may lag
+            labels = components(links)
 
         pair = here.where(F.col("c") != F.col("pivot")).withColumns({"a": F.greatest("c", "pivot"), "b": F.least("c", "pivot")}).join(compared, ["a", "b"], "left")
         pair = pair.where(F.col("size") > outright)  # smaller ones have been compared outright
@@ -282,7 +283,7 @@ def _join(source: DataFrame, rows: DataFrame, members: DataFrame, width: int, pe
         stats = stats.groupBy("nears", "size", "sig0", "sig1").agg(F.min("s").alias("s")).select("s", "nears")
         members = stored(rest.join(stats, "s").where("not ball or nears > 0").select("s", "c", "n", "ball", "near"), "jaccard-regions")
         if members.isEmpty():
-            return labels
+            return components(links)
 
 
 def _labelled(labels: DataFrame, c: str) -> DataFrame:
