@@ -160,3 +160,10 @@ def test_mix_meets_targets(spark):
     assert abs(sum(w for _, w, _ in sums.values()) - 1.5 * sum(s for *_, s in sums.values())) < 1e-6
     assert sorted(map(str, got)) == sorted(map(str, mix.mix_report(df, keep=["doc_id", "source"], levels=3).collect()))
     assert mix.mix_report(df.limit(0), keep=["doc_id"]).count() == 0
+
+
+def test_jaccard_edges(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (3, "A  b"), (3, "A  b")], "doc_id long, text string")
+    assert jaccard.link_report(df.limit(0)).collect() == []
+    got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard.link_report(df).collect())
+    assert got == [(0, 1, 3), (1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3)]
