@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD_RE
 
-#: (bytes below, least ratio, largest ratio). Short texts hardly compress, whatever they say; long prose reaches 3.
-BANDS = ((128, 0.0, 1e9), (512, 0.9, 3.2), (2048, 1.2, 3.4), (16384, 1.3, 3.8), (float("inf"), 1.3, 4.4))
-#: A chunk's band, and the share of a text's chunks outside it that is still accepted.
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (1.25, 4.0), 0.25
+#: (bytes below, least ratio, largest ratio), for whole texts and for chunks. Texts below 128 bytes hardly compress,
+#: whatever they say. The least ratios lie above base64 of random bytes from 128 bytes on and above hex from 2048 bytes
+#: on; shorter hex compresses as well as prose.
+BANDS = ((128, 0.0, 1e9), (256, 1.12, 2.4), (512, 1.24, 2.6), (1024, 1.4, 2.7), (1536, 1.65, 2.8), (2048, 1.8, 2.8), (4096, 1.92, 3.0), (16384, 1.97, 3.4), (float("inf"), 2.0, 4.0))
+#: Bytes in a chunk, and the share of a text's bytes in chunks outside their band that is still accepted.
+CHUNK, CHUNK_SHARE = 4096, 0.02
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
@@ -65,18 +67,24 @@ def base(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup, repeated_words(words)
 
 
+def outside(n_bytes: int, ratio: float) -> bool:
+    """Whether the ratio lies outside the band of its length."""
+    low, high = next((a, b) for below, a, b in BANDS if n_bytes < below)
+    return not low <= ratio <= high
+
+
 def verdict(data: bytes, pack) -> tuple[float, float, bool]:
-    """Ratio of the whole text, share of chunks outside their band, and whether the text keeps within all limits."""
+    """Ratio of the whole text, share of its bytes in chunks (the shorter last one too) outside the band of their
+    length, and whether the text keeps within all limits."""
     if not data:
         return 0.0, 0.0, True
     ratio = len(data) / len(pack(data))
-    low, high = next((a, b) for below, a, b in BANDS if len(data) < below)
-    odd = 0.0
-    if len(data) >= 2 * CHUNK:
-        starts = range(0, len(data) - CHUNK + 1, CHUNK)
-        ratios = [CHUNK / len(pack(data[k : k + CHUNK])) for k in starts]
-        odd = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in ratios) / len(ratios)
-    return ratio, odd, low <= ratio <= high and odd <= CHUNK_SHARE
+    if len(data) <= CHUNK:
+        odd = float(outside(len(data), ratio))
+    else:
+        chunks = [data[k : k + CHUNK] for k in range(0, len(data), CHUNK)]
+        odd = sum(len(c) for c in chunks if outside(len(c), len(c) / len(pack(c)))) / len(data)
+    return ratio, odd, not outside(len(data), ratio) and odd <= CHUNK_SHARE
 
 
 def compression_bands(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, level: int = 3) -> DataFrame:

@@ -1,5 +1,6 @@
 """The training-data operators against libraries and brute force, with edge cases in one small table."""
 
+import base64
 import hashlib
 import random
 import re
@@ -8,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from diffspark.llm import bpe, common, counts, jaccard, kneser_ney, mix, quality_rules, secrets, tokenfile, topk, warc
@@ -167,3 +169,23 @@ def test_jaccard_edges(spark):
     assert jaccard.link_report(df.limit(0)).collect() == []
     got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard.link_report(df).collect())
     assert got == [(0, 1, 3), (1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3)]
+
+
+def test_compression_bands_catch_junk_and_repetition():
+    pack, r = zstandard.ZstdCompressor(level=3).compress, random.Random(5)
+    part = ["con", "ter", "a", "li", "ment", "so", "re", "per", "ing", "un", "est", "da", "or", "mi", "ve", "th"]
+    lexicon = ["".join(r.choice(part) for _ in range(r.randrange(1, 4))) for _ in range(400)]
+    prose = lambda n: " ".join(r.choice(lexicon) for _ in range(n // 3)).encode()[:n]
+    coded = lambda n, f: "\n".join(f(r.randbytes(n))[k : k + 76].decode() for k in range(0, n, 76)).encode()[:n]
+    kept = lambda t: quality_rules.verdict(t, pack)[2]
+    for n in (200, 400, 800, 1200, 1800, 3000, 6000, 12_000, 40_000):
+        assert kept(prose(n)), n
+        assert not kept(coded(n, base64.b64encode)), n
+        assert not kept((prose(40) * n)[:n]), n
+        assert n < 2048 or not kept(coded(n, lambda b: b.hex().encode())), n
+    long = prose(60_000)
+    for at in (0, 30_000, 60_000):  # one stretch of junk, the last one in the short chunk at the end
+        for junk in (coded(4000, base64.b64encode), prose(40) * 100):
+            assert not kept(long[:at] + junk + long[at:]), at
+    assert quality_rules.verdict(prose(4096) + coded(3000, base64.b64encode), pack)[1] == 3000 / 7096
+    assert quality_rules.verdict(coded(500, base64.b64encode), pack)[1] == 1.0
