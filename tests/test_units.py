@@ -49,3 +49,22 @@ def test_entry_without_llm(spark):
     import __spark_entry__
 
     assert "ring_summary" in __spark_entry__.queries()
+
+
+def test_synthetic_patches_cover_the_bank_and_no_crop_leaves_the_canvas(spark, data, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from diffspark.operators import bank
+    from diffspark.plans import queries
+    from diffspark.sources import fixtures
+
+    asked, seen, render, sample = [], [], synth.render_patches, synth.sample_ring_peaks
+    monkeypatch.setattr(synth, "sample_ring_peaks", lambda spark, n, *rest: asked.append(n) or sample(spark, n, *rest))
+    monkeypatch.setattr(synth, "render_patches", lambda patches, **kw: seen.append((patches, kw)) or render(patches, **kw))
+    queries.QUERIES["synthetic_patches"](spark, data)
+    assert asked == [bank.quality_filter(fixtures.peaks(spark, data), 0.8, 20).count()]
+    # far above the cut, so that a patch can only be blank because its crop leaves the canvas
+    patches, kw = seen[0]
+    bright = patches.withColumn("isum", F.col("isum") * 1000).persist()
+    blanks = lambda cvsz: render(bright, **{**kw, "cvsz": cvsz}).where("blank").count()
+    assert blanks(kw["cvsz"]) == 0 < blanks(40)
