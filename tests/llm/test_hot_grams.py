@@ -1,0 +1,20 @@
+"""Frequent n-grams of op7 are joined apart, with the same results."""
+
+from diffspark.llm import kneser_ney, word_model
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"the common line w{k % 7} w{k % 3}", "en") for k in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    run = lambda: {r.doc_id: round(r.perplexity, 9) for r in kneser_ney.perplexities(docs, labels).collect()}
+    plain, hot, meet = run(), [], word_model._meet
+
+    def counted(left, right, key):
+        hot.append(left.groupBy(*key).count().where(f"count > {word_model.HOT_ROWS}").count())
+        return meet(left, right, key)
+
+    monkeypatch.setattr(word_model, "HOT_ROWS", 3)
+    monkeypatch.setattr(word_model, "_meet", counted)
+    assert run() == plain and len(plain) == 40 and all(hot[2:])
+    # the table of the model stays off the driver
+    assert "toArrow" not in open(kneser_ney.__file__).read() + open(word_model.__file__).read()
