@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a run of anything but space and the ASCII controls TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
+#: Spark drops the shuffle files of a query at its end, where this is set.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,24 +21,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that the cluster names in spark.checkpoint.dir, which all executors share.
-
-    Where the setting is missing (single-machine tests) a temporary folder is made and set.
-    """
+    """A new folder under the one that the cluster names in spark.checkpoint.dir, which all executors share. Where the
+    setting is missing, only a master on this machine alone gets a folder of its own; a cluster raises an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Writes df as Parquet; the shuffle files made for it go at once, since nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN, "false")
+    conf.set(CLEAN, "true")
+    try:
+        df.write.mode(mode).parquet(path)
+    finally:
+        conf.set(CLEAN, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it back, so that a lost executor loses nothing."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, to be sent to every executor if it has few rows; they are counted first."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def n_words(text: str | Column) -> Column:
     """Number of words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

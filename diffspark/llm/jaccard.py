@@ -1,314 +1,311 @@
-"""N-gram Jaccard join as a join in metric space.
-
-Jaccard distance is a metric. Two texts within distance 0.2 share one of the rarest shingles of each (prefix bound), so
-every single shingle s is a first pivot: {s} is nearer than 1 to just the texts that hold it, and each text is copied to
-the regions of its prefix, which is the window it needs. Within a region a text is chosen as pivot: all texts within
-0.2 of it are one class with it. Of the others, those beyond 0.4 of the pivot can't reach a text within 0.2 of it
-(triangle inequality), so the region is split: texts outside the pivot's ball join among themselves, and the ball's
-texts go on only with those in the window up to 0.4. Regions go on recursively, small ones are compared outright, until
-no undecided pair is left. A region whose texts are all in one class is done, so large groups of copies end at once.
+"""N-gram Jaccard join as a join in metric space: pivots, Voronoi regions, triangle windows, recursion; exact.
+
+Jaccard distance is a metric, but texts without a common shingle all lie at distance 1, and no pivot's window separates
+them. So texts are first brought to their neighbourhoods by what they share, and metric space begins there:
+
+1. A text can have a partner only if most of its lowest shingles, by hash, are found in other texts too: at most
+   A = n - ceil(n * percent / 100) of them may be missing from the partner, so of the first 2A + 1 at least A + 1 are
+   shared. Texts without are done (nearly all, unless copies abound). Counts are exact, over all texts.
+2. Of the others, rarest shingles first, each of the first A + 1 is a neighbourhood that any partner is part of.
+   Neighbourhoods with the same texts are one.
+3. A neighbourhood of bounded size is joined in one task (regions.py): pivots from its texts, balls of one class, Voronoi
+   cells with all texts in the window of twice the reach about their borders, recursively; where windows leave no cell
+   smaller, pairs are compared that the pivots' distances don't rule out. Larger ones are split in the same way by
+   Spark first, over all executors; those that windows don't split go on in pairs of blocks.
+4. Links join classes by rounds of joins.
 
 Shingles are 64-bit hashes of five words (of the whole sequence where there are fewer); texts with equal sets are one
-class under a 64-bit digest. Chance agreements have odds of 2**-64 a pair.
-
-A null or empty text has no shingles and no links. Null ids are carried along; repeated ids are told apart by text.
+class under a 128-bit digest. A null or empty text has no shingles and no links. Null ids are carried along; repeated
+ids are told apart by text.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import WORD, small, stored
 from .components import components
+from .regions import SLACK, Region
+from .shingle_sets import digests, shingle_sets
 
-#: Shingles held at a time while texts are read.
-CHUNK = 1_000_000
-#: Most shingles that are told to every task as frequent; one held by more texts than OFTEN is so. They are counted
-#: among the first LOW percent of each text's shingles, from which the prefixes are taken.
-FREQUENT, OFTEN, LOW = 1_000_000, 8, 40
-#: Texts of a region that are compared outright in the first round, and how many times as many in each further one.
-TINY, GROW = 8, 4
-#: Most rows of a table sent to every executor.
-BROADCAST_ROWS = 1_000_000
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-P = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingles(text: str, width: int = 5) -> np.ndarray:
-    """The sorted distinct hashes of a text's word shingles. Bytes.lower() and .split() take just the letters A-Z and
-    the ASCII white space of the contract."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    k = min(width, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
-    for j in range(k):
-        h = h * P + w[j : len(w) - k + 1 + j]
-    h = (h ^ h >> np.uint64(30)) * M1
-    h = (h ^ h >> np.uint64(27)) * M2
-    return np.unique(h ^ h >> np.uint64(31))
-
-
-def set_id(s: np.ndarray) -> int:
-    """A signed 64-bit digest of a set."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
-def _long(a: np.ndarray) -> pa.Array:
-    return pa.array(a.view(np.int64))
-
-
-def chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
-    """The batches' rows with the shingles of column __text, in runs of about CHUNK shingles."""
-    held: list[pa.RecordBatch] = []
-    sets: list[np.ndarray] = []
-    total = 0
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 256):
-            batch = whole.slice(lo, 256)
-            new = [shingles(t, width) for t in batch.column("__text").to_pylist()]
-            held.append(batch)
-            sets += new
-            total += sum(map(len, new))
-            if total >= CHUNK:
-                yield held, sets
-                held, sets, total = [], [], 0
-    if held:
-        yield held, sets
+#: Shingles of texts that are looked at together before the shuffle, and of a bucket after it.
+CHUNK, BUCKET = 1_000_000, 2_000_000
+#: Shingles of all texts of a region that one task joins; larger regions are split, by so many pivots each time.
+BOUND, PIVOTS = 2_000_000, 16
 
 
-def _distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Digest of each set (0 for an empty one), and one copy of each different non-empty set."""
-    ids = np.array([set_id(s) if len(s) else 0 for s in sets], np.int64)
-    _, first = np.unique(ids, return_index=True)
-    return ids, [k for k in first if len(sets[k])]
+def _spare(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of a set's n shingles a partner may lack."""
+    return n + (-n * percent // 100)
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
 
 
 def describe(texts: DataFrame, width: int) -> DataFrame:
-    """texts: doc_id, th (hash of the text), __text. Adds c, the set's digest (null if empty), n, its size, and low, its
-    first LOW percent."""
+    """texts: doc_id, th, __text. Returns doc_id, th, c, the digest of the text's set, key, its first half (null if the set
+    is empty), and n, its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, width) for t in batch.column("__text").to_pylist()]
-            c = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-            low = [s[: -(-len(s) * LOW // 100)] for s in sets]
-            ends = pa.array(np.cumsum([0, *map(len, low)]), pa.int32())
-            lists = pa.ListArray.from_arrays(ends, _long(np.concatenate([np.empty(0, np.uint64), *low])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), c, pa.array([len(s) for s in sets], pa.int64()), lists], ["doc_id", "th", "c", "n", "low"])
+            flat, n = shingle_sets(batch.column("__text"), width)
+            c = digests(flat, n)
+            key = np.zeros(len(n), np.int64)
+            key[n > 0] = _key(c)
+            columns = [batch.column(0), batch.column(1), pa.array(c, pa.binary()), pa.array(key, mask=n == 0), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "c", "key", "n"])
+
+    return texts.select("doc_id", "th", "__text").mapInArrow(run, "doc_id long, th long, c binary, key long, n long")
+
 
-    return texts.mapInArrow(run, "doc_id long, th long, c long, n long, low array<long>")
+def _key(digest: list[bytes | None]) -> np.ndarray:
+    """The first half of each digest."""
+    return np.frombuffer(b"".join([x[:8] for x in digest if x is not None]), np.int64)
 
 
-def regions(texts: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """s, c: the sets in the region of shingle s, of all regions with two sets at least.
+def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """key, n, shingles of runs of different sets that hold about CHUNK shingles."""
+    held: dict[int, np.ndarray] = {}
+    total = 0
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 512):
+            flat, n = shingle_sets(whole.column("__text").slice(lo, 512), width)
+            some = n[n > 0]
+            for k, a, b in zip(_key(digests(flat, some)).tolist(), _starts(some).tolist(), np.cumsum(some).tolist(), strict=True):
+                if k not in held:
+                    held[k] = flat[a:b]
+                    total += b - a
+            if total >= CHUNK or len(held) > 50_000:
+                yield np.array(list(held), np.int64), np.array([len(x) for x in held.values()]), np.concatenate(list(held.values()))
+                held, total = {}, 0
+    if held:
+        yield np.array(list(held), np.int64), np.array([len(x) for x in held.values()]), np.concatenate(list(held.values()))
+
+
+def shared_counts(texts: DataFrame, buckets: int, width: int, percent: int) -> DataFrame:
+    """key, k: how many of a set's first 2A + 1 shingles other sets have among theirs, or more where a set is found in
+    several chunks. Sets without any have no row.
 
-    A set goes to the regions of its n - ceil(n * percent / 100) + 1 first shingles in an order that has the frequent
-    ones last. In a chunk, sets that share a region are known to do so; of those only one goes to the shuffle by
-    region, where single ones are left out, and the others are dealt anywhere: no region lands in one task.
+    In a chunk, sets that share a shingle know; one of them goes on for all. The others meet in buckets of the hash, a
+    chunk's part of a bucket in one row: the low halves of the shingles, the place of each one's set among the keys.
     """
-    told = texts.sparkSession.sparkContext.broadcast(frequent)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = told.value
-        for _, sets in chunks(batches, width):
-            ids, kept = _distinct(sets)
-            if not kept:
-                continue
-            sizes = np.array([len(sets[k]) for k in kept])
-            flat, owner = np.concatenate([sets[k] for k in kept]), np.repeat(np.arange(len(kept)), sizes)
-            late = np.zeros(len(flat), bool)
-            if len(often):
-                at = np.minimum(np.searchsorted(often, flat), len(often) - 1)
-                late = often[at] == flat
-            order = np.lexsort((late, owner)) if late.any() else np.arange(len(flat))  # stable: by hash within each
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            length = sizes + (-sizes * percent // 100) + 1
-            chosen = order[place < np.repeat(length, sizes)]
-            s, c = flat[chosen], ids[np.array(kept)][owner[chosen]]
-            order = np.argsort(s, kind="stable")
-            s, c = s[order], c[order]
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, flat in _chunks(batches, width):
+            owner = np.repeat(np.arange(len(n)), n)
+            first = np.arange(len(flat)) - np.repeat(_starts(n), n) < np.repeat(2 * _spare(n, percent) + 1, n)
+            s, owner = flat[first], owner[first]
+            order = np.argsort(s)
+            s, owner = s[order], owner[order]
             new = np.concatenate([[True], s[1:] != s[:-1]])
             group = np.cumsum(new) - 1
             several = np.bincount(group)[group] > 1
-            # 0: alone in this chunk; 1: one of several; over 1: the others of them, with a number to be dealt by
-            mark = np.where(several, np.where(new, 1, 2 + (c.view(np.uint64) % np.uint64(1 << 30)).astype(np.int64)), 0)
-            yield pa.RecordBatch.from_arrays([_long(s), pa.array(c), pa.array(mark.astype(np.int32))], ["s", "c", "mark"])
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
+            known = np.bincount(owner[several], minlength=len(n))
+            s, owner, several = s[new], owner[new], several[new]
+            bucket = ((s >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(s)], strict=True):
+                present, place = np.unique(owner[a:b], return_inverse=True)
+                yield _row(int(bucket[a]), key[present], s[a:b].astype(np.uint32), place.astype(np.uint16), np.packbits(several[a:b]), np.zeros(0, np.int32))
+            at = np.flatnonzero(known)
+            yield _row(int(at[0]) % buckets if len(at) else 0, key[at], np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.zeros(0, np.uint8), known[at].astype(np.int32))
+
+    names = ["bucket", "keys", "s", "place", "several", "known"]
+
+    def _row(bucket: int, *arrays: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], names)
+
+    def meet(rows: list[dict]) -> pa.RecordBatch:
+        key = np.concatenate([np.frombuffer(r["keys"], np.int64)[np.frombuffer(r["place"], np.uint16)] for r in rows])
+        s = np.concatenate([np.frombuffer(r["s"], np.uint32) for r in rows])
+        several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(r["s"]) // 4) for r in rows]).astype(bool)
+        order = np.argsort(s, kind="stable")
+        key, s, several = key[order], s[order], several[order]
+        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        shared = np.zeros(int(new.sum()), bool)
+        shared[group[several | (key != key[new][group])]] = True
+        keys, k = np.unique(key[shared[group] & ~several], return_counts=True)
+        told = [np.frombuffer(r["keys"], np.int64) for r in rows if r["known"]]
+        known = [np.frombuffer(r["known"], np.int32) for r in rows if r["known"]]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys, *told])), pa.array(np.concatenate([k.astype(np.int64), *known]))], ["key", "k"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
-            s, c, mark = (batch.column(k).to_numpy() for k in range(3))
-            if carry is not None:
-                s, c, mark = (np.concatenate(x) for x in zip(carry, (s, c, mark), strict=True))
-            end = np.searchsorted(s, s[-1]) if len(s) else 0  # the last region may go on in the next batch
-            carry = s[end:], c[end:], mark[end:]
-            yield from _shared(s[:end], c[:end], mark[:end])
-        if carry is not None:
-            yield from _shared(*carry)
-
-    def _shared(s, c, mark):
-        if len(s):
-            main = mark < 2
-            _, group = np.unique(s, return_inverse=True)
-            single = np.bincount(group, weights=main)[group] < 2
-            keep = ~(single & (mark == 0))
-            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(c[keep])], ["s", "c"])
-
-    rows = texts.select("__text").mapInArrow(first, "s long, c long, mark int")
-    dealt = rows.repartition("s", F.when(F.col("mark") > 1, F.col("mark")).otherwise(0)).sortWithinPartitions("s")
-    return dealt.mapInArrow(several, "s long, c long").distinct()
-
-
-def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """pairs: a, b; texts: c, __text. Returns a, b, shared, total: sizes of intersection and union."""
-    left = texts.select(F.col("c").alias("a"), F.col("__text").alias("ta"))
-    right = texts.select(F.col("c").alias("b"), F.col("__text").alias("tb"))
-    rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+            for r in batch.to_pylist():
+                if rows and r["bucket"] != rows[0]["bucket"]:
+                    yield meet(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield meet(rows)
+
+    dealt = texts.select("__text").mapInArrow(scatter, "bucket int, keys binary, s binary, place binary, several binary, known binary")
+    dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(gather, "key long, k long").groupBy("key").agg(F.sum("k").alias("k"))
+
+
+def sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """texts: c, __text. Returns v, a number, c, n and the set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, y = None, np.empty(0, np.uint64)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                a, b = (batch.column(k).to_pylist() for k in (0, 1))
-                out = []
-                for k in range(len(a)):
-                    if b[k] != last:
-                        last, y = b[k], shingles(batch.column(3)[k].as_py(), width)
-                    x = shingles(batch.column(2)[k].as_py(), width)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    out.append((both, len(x) + len(y) - both))
-                n = np.array(out, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n[:, 0]), pa.array(n[:, 1])], ["a", "b", "shared", "total"])
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                flat, n = shingle_sets(batch.column("__text"), width)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(n), lists], ["c", "n", "shingles"])
 
-    return rows.mapInArrow(run, "a long, b long, shared long, total long")
+    return texts.select("c", "__text").mapInArrow(run, "c binary, n long, shingles array<long>").select(F.monotonically_increasing_id().alias("v"), "*")
 
 
-def _often(sizes: DataFrame, most: int) -> np.ndarray:
-    """The shingles found most: all with more than OFTEN texts, or as many as there is room for."""
-    least = OFTEN + 1
-    while sizes.where(F.col("size") >= least).count() > most:
-        least *= 2
-    return sizes.where(F.col("size") >= least).select("s").toArrow().column("s").to_numpy().view(np.uint64)
+def neighbourhoods(sets: DataFrame, percent: int) -> DataFrame:
+    """s, v: the sets that meet at shingle s, one of several s with the same sets, of all with two sets at least.
 
+    A set goes to its A + 1 rarest shingles; those that no other set has take their places among these without a row.
+    """
+    each = sets.select("v", "n", F.explode("shingles").alias("s"))
+    counts = each.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    n = F.col("n")
+    places = n + F.floor(-n * percent / 100).cast("long") + 1 - (n - F.size("near"))
+    rows = each.join(counts, "s").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("near")).where(places > 0)
+    members = stored(rows.select("v", F.explode(F.transform(F.slice("near", F.lit(1), places.cast("int")), lambda x: x["s"])).alias("s")), "jaccard-members")
+    alike = members.groupBy("s").agg(F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.xxhash64(F.lit(k), "v")).alias(f"x{k}") for k in (0, 1)])
+    one = stored(alike.where("size > 1").groupBy("size", "x0", "x1").agg(F.min("s").alias("s")).select("s"), "jaccard-unlike")
+    return members.join(small(one), "s").select("s", "v")
+
+
+def join_regions(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: s, v, label, shingles, regions of bounded size. Returns a, b: links that join all linked classes of a region."""
+
+    def region(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        if len({r[1] for r in rows}) > 1:
+            ids = [r[0] for r in rows]
+            for i, j in Region([r[2] for r in rows], [r[1] for r in rows], percent).links():
+                yield ids[i], ids[j]
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be sent to every executor if it has few rows; they are counted first."""
-    return F.broadcast(df) if df.count() <= rows else df
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, out = None, {}, []
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                s, v, label = (batch.column(k).to_pylist() for k in range(3))
+                lists = batch.column("shingles")
+                ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+                for k in range(len(s)):
+                    if s[k] != at:
+                        out += region(list(held.values()))
+                        at, held = s[k], {}
+                    held[v[k]] = v[k], label[k], flat[ends[k] : ends[k + 1]]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+                    out = []
+        out += region(list(held.values()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+
+    return rows.select("s", "v", "label", "shingles").repartition("s").sortWithinPartitions("s").mapInArrow(run, "a long, b long")
+
+
+def split_regions(members: DataFrame, sets: DataFrame, level: int, percent: int) -> DataFrame:
+    """members: s, v, of regions too large for a task. Returns s (of the cell), parent, v, p (the cell's pivot), linked:
+    a row for every cell that a set lies in or whose border it may be linked across. Pivots are told to a region's rows."""
+    salt = F.pmod(F.xxhash64("v", F.lit(level)), F.lit(PIVOTS))
+    chosen = members.groupBy("s", salt.alias("salt")).agg(F.min("v").alias("v")).join(sets.select("v", "shingles"), "v")
+    chosen = stored(chosen.groupBy("s").agg(F.collect_list(F.struct(F.col("v").alias("p"), F.col("shingles").alias("set"))).alias("pivots")), "jaccard-pivots")
+    rows = members.join(sets.select("v", "shingles"), "v").join(small(chosen, 1000), "s")
+    reach = 1 - percent / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):
+                out = []
+                for r in whole.slice(lo, 64).to_pylist():
+                    x = np.array(r["shingles"])
+                    both = np.array([np.isin(x, p["set"], assume_unique=True).sum() for p in r["pivots"]])
+                    union = len(x) + np.array([len(p["set"]) for p in r["pivots"]]) - both
+                    d = 1 - both / union
+                    for k in np.flatnonzero(d <= d.min() + 2 * reach + SLACK).tolist():
+                        out.append((r["s"], r["v"], r["pivots"][k]["p"], bool(100 * both[k] >= percent * union[k])))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["parent", "v", "p", "linked"])
+
+    cells = rows.select("s", "v", "shingles", "pivots").mapInArrow(run, "parent long, v long, p long, linked boolean")
+    return cells.select(F.xxhash64("parent", "p").alias("s"), "*")
+
+
+def find_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members: s, v. Returns a, b: links of all regions that join whatever is linked."""
+    spark = members.sparkSession
+    sizes = sets.select("v", "n")
+    members = stored(members.join(sizes, "v"), "jaccard-regions")
+    total = stored(members.groupBy("s").agg(F.sum("n").alias("total")).where(F.col("total") > BOUND), "jaccard-large")
+    fits = members.join(small(total), "s", "left_anti").select("s", "v", F.col("v").alias("label"))
+    links, level = None, 0
+    large = members.join(small(total), "s") if not total.isEmpty() else None
+    while large is not None:
+        cells = stored(split_regions(large.select("s", "v"), sets, level, percent), "jaccard-cells")
+        new = cells.where("linked and v <> p").select(F.col("v").alias("a"), F.col("p").alias("b"))
+        links = new if links is None else links.unionByName(new)
+        labels = stored(components(links).select("v", F.col("c").alias("known")), "jaccard-labels")
+        rows = cells.join(labels, "v", "left").join(sizes, "v").select("s", "parent", "v", "n", F.coalesce("known", "v").alias("label"))
+        of = rows.groupBy("s", "parent").agg(F.sum("n").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+        of = stored(of.join(large.groupBy(F.col("s").alias("parent")).agg(F.max("total").alias("total")), "parent"), "jaccard-cell-sizes").drop("parent", "l0", "l1")
+        rows = stored(rows.select("s", "v", "n", "label").join(small(of), "s"), "jaccard-cells")
+        fits = fits.unionByName(rows.where(F.col("size") <= BOUND).select("s", "v", "label"))
+        # what windows leave nearly whole is compared by pairs of blocks, each of bounded size
+        blocks = F.ceil(2 * F.col("size") / BOUND).cast("int")
+        own = F.pmod(F.xxhash64("v"), blocks).cast("int")
+        whole = rows.where((F.col("size") > BOUND) & (F.col("size") > 0.8 * F.col("total"))).select("s", "v", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        fits = fits.unionByName(whole.select(F.xxhash64("s", F.least("own", "other"), F.greatest("own", "other")).alias("s"), "v", "label"))
+        rest = rows.where((F.col("size") > BOUND) & (F.col("size") <= 0.8 * F.col("total")))
+        large = None if rest.isEmpty() else rest.select("s", "v", "n", F.col("size").alias("total"))
+        level += 1
+    found = stored(join_regions(fits.join(sets.select("v", "shingles"), "v"), percent), "jaccard-links")
+    return found if links is None else spark.createDataFrame([], "a long, b long").unionByName(links).unionByName(found)
 
 
 def jaccard_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs: doc_id, th (hash of its text), n_shingles, component (a set digest, null without shingles) and
-    component_id, the smallest doc_id reachable by links of Jaccard similarity >= percent / 100."""
+    """Per row of docs: doc_id, th (hash of its text), n_shingles, component (a key of its class, null without shingles)
+    and component_id, the smallest doc_id reachable by links of Jaccard similarity >= percent / 100."""
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
     source = source.select("doc_id", F.xxhash64("__text").alias("th"), "__text")
     rows = stored(describe(source, width), "jaccard-sets")
-    held = rows.select(F.explode("low").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("size"))
-    frequent = np.sort(_often(stored(held.where(F.col("size") > OFTEN), "jaccard-frequent"), FREQUENT))
-    members = stored(regions(source, frequent, width, percent), "jaccard-regions")
-    kept = stored(_unlike(members.groupBy("s").agg(*_signature("c"))), "jaccard-unlike")
-    labels = _join(source, rows.drop("low"), members.join(small(kept), "s"), width, percent)
-    own = rows.join(labels.select(F.col("v").alias("c"), F.col("c").alias("label")), "c", "left")
-    own = own.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("label", "c").alias("component"))
+    different = rows.where(F.col("c").isNotNull()).groupBy("c").agg(F.first("key").alias("key"), F.first("n").alias("n"), F.min("th").alias("th"))
+    spare = F.col("n") + F.floor(-F.col("n") * percent / 100).cast("long")
+    total = different.agg(F.sum(2 * spare + 1)).first()[0] or 0
+    counts = shared_counts(source, max(1, -(-total // BUCKET)), width, percent)
+    involved = stored(different.join(counts, "key").where(F.col("k") > spare).select("th", "c"), "jaccard-near")
+    texts = source.select("th", "__text").join(small(involved), "th").groupBy("c").agg(F.first("__text").alias("__text"))
+    sets = stored(sets_of(texts, width), "jaccard-involved")
+    labels = components(find_links(neighbourhoods(sets, percent), sets, percent)).join(sets.select("v", "c").withColumnRenamed("c", "digest"), "v")
+    own = rows.join(labels.select(F.col("digest").alias("c"), F.col("c").alias("label")), "c", "left")
+    own = own.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce(F.col("label").cast("string"), F.hex("c")).alias("component"))
     smallest = own.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return own.join(smallest, "component", "left").select("doc_id", "th", "n_shingles", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _signature(*state: str) -> list[Column]:
-    """Aggregates by region that agree where regions hold the same texts in the same state."""
-    return [F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.xxhash64(F.lit(k), *state)).alias(f"sig{k}") for k in (0, 1)]]
-
-
-def _unlike(signatures: DataFrame) -> DataFrame:
-    """s of one region of each set of regions that hold the same two texts or more: they would go on alike."""
-    return signatures.where("size > 1").groupBy("size", "sig0", "sig1").agg(F.min("s").alias("s")).select("s")
-
-
-def _join(source: DataFrame, rows: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """The classes of whatever is linked, found region by region: v, c as by components().
-
-    A member of a region is open, or in the ball of an earlier pivot of the region. An open one is near if it lies in
-    the window of an earlier pivot, where it may be linked with the pivot's ball; such a one never becomes part of a
-    ball, so links between a ball and any text beyond are impossible by the triangle inequality.
-    """
-    sizes = rows.where(F.col("c").isNotNull()).groupBy("c").agg(F.first("n").alias("n"), F.min("th").alias("th"))
-    involved = stored(members.select("c").distinct().join(sizes, "c"), "jaccard-involved")
-    texts = source.join(small(involved.select("th", "c")), "th").groupBy("c").agg(F.first("__text").alias("__text"))
-    texts = stored(texts, "jaccard-texts")
-    members = members.join(involved.select("c", "n"), "c").select("s", "c", "n", F.lit(False).alias("ball"), F.lit(False).alias("near"))
-    members = stored(members, "jaccard-members")
-    compared, labels, outright = None, None, TINY
-    while True:
-        open_one = F.when(~F.col("ball"), F.struct(F.col("c").alias("pivot"), F.col("n").alias("pivot_n")))
-        stats = members.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min(open_one).alias("p")).where("size > 1 and p is not null").select("s", "size", "p.*")
-        here = members.join(stats, "s")
-        pairs = here.where(F.col("c") != F.col("pivot")).select(F.col("c").alias("x"), F.col("n").alias("nx"), F.col("pivot").alias("y"), F.col("pivot_n").alias("ny"))
-        few = here.where(F.col("size") <= outright)
-        other = few.where(~F.col("ball")).select("s", F.col("c").alias("y"), F.col("n").alias("ny"))
-        each = few.select("s", F.col("c").alias("x"), F.col("n").alias("nx"), "ball").join(other, "s").where((F.col("x") != F.col("y")) & (F.col("ball") | (F.col("x") > F.col("y"))))
-        pairs = pairs.union(each.select("x", "nx", "y", "ny"))
-        pairs = pairs.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))  # else they can't be linked
-        pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        if compared is not None:  # what is known, or connected already, needs no look
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti").join(_labelled(labels, "a"), "a", "left").join(_labelled(labels, "b"), "b", "left")
-            pairs = pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-        found = stored(overlaps(stored(pairs, "jaccard-pairs"), texts, width), "jaccard-overlaps")
-        compared = found if compared is None else compared.unionByName(found)
-        linked = 100 * F.col("shared") >= percent * F.col("total")
-        links = compared.where(linked).select("a", "b")
-        if labels is None:  # later links join few further texts; these classes only spare work, so they may lag
-            labels = components(links)
-
-        pair = here.where(F.col("c") != F.col("pivot")).withColumns({"a": F.greatest("c", "pivot"), "b": F.least("c", "pivot")}).join(compared, ["a", "b"], "left")
-        pair = pair.where(F.col("size") > outright)  # smaller ones have been compared outright
-        outright *= GROW
-        reach = 100 - 2 * (100 - percent)
-        inside = F.coalesce(linked, F.lit(False))
-        beyond = F.coalesce(100 * F.col("shared") < reach * F.col("total"), 100 * F.least("n", "pivot_n") < reach * F.greatest("n", "pivot_n"))
-        ball = F.col("ball") | (inside & ~F.col("near"))
-        rest = pair.select("s", "c", "n", ball.alias("ball"), (~ball & (F.col("near") | ~beyond)).alias("near"))
-        rest = rest.join(_labelled(labels, "c"), "c", "left").withColumn("label", F.coalesce("label_c", "c"))
-        # a region goes on if it holds different classes, and two open texts or a near one beside a ball
-        stats = rest.groupBy("s").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count_if("near").alias("nears"), F.count_if(~F.col("ball")).alias("open"), *_signature("c", "ball", "near"))
-        stats = stats.where("l0 <> l1 and open > 0 and (nears > 0 or open > 1)")
-        stats = stats.groupBy("nears", "size", "sig0", "sig1").agg(F.min("s").alias("s")).select("s", "nears")
-        members = stored(rest.join(stats, "s").where("not ball or nears > 0").select("s", "c", "n", "ball", "near"), "jaccard-regions")
-        if members.isEmpty():
-            return components(links)
-
-
-def _labelled(labels: DataFrame, c: str) -> DataFrame:
-    return labels.select(F.col("v").alias(c), F.col("c").alias(f"label_{c}"))
-
-
 def link_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id per row."""
     return jaccard_groups(docs, **options).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs without all but one of each group of linked texts: that with the smallest id stays (of equal
-    ids that with the smallest text hash; rows equal in both count as one). Rows without shingles all stay."""
-    groups = stored(jaccard_groups(docs, text=text, doc_id=doc_id, **options), "jaccard-groups")
+    """The rows of docs without all but one of each group of linked texts: that with the smallest id stays (null ids
+    last; of equal ids that with the smallest text hash; of rows equal in both one). Rows without a word all stay."""
+    groups = stored(jaccard_groups(docs, text=text, doc_id=doc_id, **options).where("component is not null"), "jaccard-groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
-    chosen = groups.where(F.col("component").isNotNull()).groupBy("component").agg(first.alias("k")).select("k.doc_id", "k.th")
-    others = groups.where(F.col("component").isNull()).select("doc_id", "th").distinct()
-    kept = chosen.unionByName(others).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    kept = stored(groups.groupBy("component").agg(first.alias("k")).select(F.col("k.doc_id").alias("__jaccard_id"), F.col("k.th").alias("__jaccard_th")), "jaccard-kept")
+    words = F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(WORD)
     th = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__id")) & (th == F.col("__th"))
-    stay = docs.join(kept, same, "left_semi")
-    twice = groups.where(F.col("component").isNotNull()).groupBy("doc_id", "th").count().where("count > 1").isEmpty()
-    if twice:
-        return stay
-    whole = stay.withColumn("__th", th)
-    single, empty = whole.where(F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))) > 0), whole.where(F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == 0)
-    return single.dropDuplicates([doc_id, "__th"]).unionByName(empty).drop("__th")
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__jaccard_id")) & (th == F.col("__jaccard_th"))
+    stay = docs.where(words).join(kept, same, "left_semi")
+    if not groups.groupBy("doc_id", "th").count().where("count > 1").isEmpty():  # repeated rows: one of each
+        stay = stay.withColumn("__jaccard_th", th).dropDuplicates([doc_id, "__jaccard_th"]).drop("__jaccard_th")
+    return stay.unionByName(docs.where(~words))
