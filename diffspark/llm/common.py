@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a run of anything but space and the ASCII controls TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
-#: Spark drops the shuffle files of a query at its end, where this is set.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For tables written between steps: Spark drops the shuffle files of the query at its end; Python workers get few rows
+#: at a time, since these may hold whole texts.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +38,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def write(df: DataFrame, path: str, mode: str = "error") -> None:
     """Writes df as Parquet; the shuffle files made for it go at once, since nothing reads them again."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEAN, "false")
-    conf.set(CLEAN, "true")
+    before = {k: conf.get(k) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            conf.set(k, v)
         df.write.mode(mode).parquet(path)
     finally:
-        conf.set(CLEAN, before)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

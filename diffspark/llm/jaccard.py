@@ -34,7 +34,7 @@ from .regions import SLACK, Region
 from .shingle_sets import digests, shingle_sets
 
 #: Shingles of texts that are looked at together before the shuffle, and of a bucket after it.
-CHUNK, BUCKET = 1_000_000, 2_000_000
+CHUNK, BUCKET = 1_000_000, 1_000_000
 #: Shingles of all texts of a region that one task joins; larger regions are split, by so many pivots each time.
 BOUND, PIVOTS = 2_000_000, 16
 
@@ -167,7 +167,7 @@ def sets_of(texts: DataFrame, width: int) -> DataFrame:
 
 
 def neighbourhoods(sets: DataFrame, percent: int) -> DataFrame:
-    """s, v: the sets that meet at shingle s, one of several s with the same sets, of all with two sets at least.
+    """s, v, size: the sets that meet at shingle s, one of several s with the same sets, of all with two sets at least.
 
     A set goes to its A + 1 rarest shingles; those that no other set has take their places among these without a row.
     """
@@ -178,8 +178,8 @@ def neighbourhoods(sets: DataFrame, percent: int) -> DataFrame:
     rows = each.join(counts, "s").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("near")).where(places > 0)
     members = stored(rows.select("v", F.explode(F.transform(F.slice("near", F.lit(1), places.cast("int")), lambda x: x["s"])).alias("s")), "jaccard-members")
     alike = members.groupBy("s").agg(F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.xxhash64(F.lit(k), "v")).alias(f"x{k}") for k in (0, 1)])
-    one = stored(alike.where("size > 1").groupBy("size", "x0", "x1").agg(F.min("s").alias("s")).select("s"), "jaccard-unlike")
-    return members.join(small(one), "s").select("s", "v")
+    one = stored(alike.where("size > 1").groupBy("size", "x0", "x1").agg(F.min("s").alias("s")).select("s", "size"), "jaccard-unlike")
+    return members.join(small(one), "s").select("s", "v", "size")
 
 
 def join_regions(rows: DataFrame, percent: int) -> DataFrame:
@@ -241,18 +241,23 @@ def split_regions(members: DataFrame, sets: DataFrame, level: int, percent: int)
 
 
 def find_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members: s, v. Returns a, b: links of all regions that join whatever is linked."""
-    spark = members.sparkSession
+    """members: s, v, size. Returns a, b: links of all regions that join whatever is linked.
+
+    Regions overlap, so those come first that are the largest one of any of their sets; of the others only those that
+    still hold several classes are joined.
+    """
     sizes = sets.select("v", "n")
     members = stored(members.join(sizes, "v"), "jaccard-regions")
     total = stored(members.groupBy("s").agg(F.sum("n").alias("total")).where(F.col("total") > BOUND), "jaccard-large")
-    fits = members.join(small(total), "s", "left_anti").select("s", "v", F.col("v").alias("label"))
-    links, level = None, 0
+    fits = members.join(small(total), "s", "left_anti")
+    first = stored(fits.groupBy("v").agg(F.max(F.struct("size", "s")).alias("k")).select(F.col("k.s").alias("s")).distinct(), "jaccard-first")
+    links = stored(join_regions(fits.join(small(first), "s", "left_semi").select("s", "v", F.col("v").alias("label")).join(sets.select("v", "shingles"), "v"), percent), "jaccard-links")
+    fits, level = fits.join(small(first), "s", "left_anti").select("s", "v", F.col("v").alias("label")), 0
     large = members.join(small(total), "s") if not total.isEmpty() else None
     while large is not None:
         cells = stored(split_regions(large.select("s", "v"), sets, level, percent), "jaccard-cells")
         new = cells.where("linked and v <> p").select(F.col("v").alias("a"), F.col("p").alias("b"))
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         labels = stored(components(links).select("v", F.col("c").alias("known")), "jaccard-labels")
         rows = cells.join(labels, "v", "left").join(sizes, "v").select("s", "parent", "v", "n", F.coalesce("known", "v").alias("label"))
         of = rows.groupBy("s", "parent").agg(F.sum("n").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
@@ -267,8 +272,11 @@ def find_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         rest = rows.where((F.col("size") > BOUND) & (F.col("size") <= 0.8 * F.col("total")))
         large = None if rest.isEmpty() else rest.select("s", "v", "n", F.col("size").alias("total"))
         level += 1
-    found = stored(join_regions(fits.join(sets.select("v", "shingles"), "v"), percent), "jaccard-links")
-    return found if links is None else spark.createDataFrame([], "a long, b long").unionByName(links).unionByName(found)
+    labels = stored(components(links).select("v", F.col("c").alias("known")), "jaccard-labels")
+    fits = stored(fits.join(small(labels), "v", "left").select("s", "v", F.coalesce("known", "label").alias("label")), "jaccard-regions")
+    several = fits.groupBy("s").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("s")
+    left = fits.join(small(stored(several, "jaccard-several")), "s").join(sets.select("v", "shingles"), "v")
+    return links.unionByName(stored(join_regions(left, percent), "jaccard-links"))
 
 
 def jaccard_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
@@ -280,7 +288,7 @@ def jaccard_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     different = rows.where(F.col("c").isNotNull()).groupBy("c").agg(F.first("key").alias("key"), F.first("n").alias("n"), F.min("th").alias("th"))
     spare = F.col("n") + F.floor(-F.col("n") * percent / 100).cast("long")
     total = different.agg(F.sum(2 * spare + 1)).first()[0] or 0
-    counts = shared_counts(source, max(1, -(-total // BUCKET)), width, percent)
+    counts = stored(shared_counts(source, max(1, -(-total // BUCKET)), width, percent), "jaccard-counts")
     involved = stored(different.join(counts, "key").where(F.col("k") > spare).select("th", "c"), "jaccard-near")
     texts = source.select("th", "__text").join(small(involved), "th").groupBy("c").agg(F.first("__text").alias("__text"))
     sets = stored(sets_of(texts, width), "jaccard-involved")
