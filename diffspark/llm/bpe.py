@@ -190,7 +190,7 @@ def words_of(text: str) -> list[str]:
 _memos: dict[str, tuple[SegmentTreeBPE, Memo]] = {}
 
 
-def _coder(path: str, entries: int) -> tuple[SegmentTreeBPE, Memo]:
+def _coder(path: str) -> tuple[SegmentTreeBPE, Memo]:
     if path not in _memos:
         coder = SegmentTreeBPE(path)
 
@@ -198,12 +198,12 @@ def _coder(path: str, entries: int) -> tuple[SegmentTreeBPE, Memo]:
             for ids in coder.encode_words(words):
                 yield " ".join([coder.id_text[i] for i in ids]), coder.decode(ids)
 
-        _memos[path] = coder, Memo(compute, entries)
+        _memos[path] = coder, Memo(compute, lambda v: len(v[0]) + len(v[1]))
     return _memos[path]
 
 
 def bpe_encode_decode(
-    docs: DataFrame, path: str, *, text: str = "text", keep: list[str] | None = None, more: tuple[str, ...] = (), memo_entries: int = 300_000
+    docs: DataFrame, path: str, *, text: str = "text", keep: list[str] | None = None, more: tuple[str, ...] = ()
 ) -> DataFrame:
     """Encodes and decodes every whole text.
 
@@ -211,7 +211,7 @@ def bpe_encode_decode(
     (lowercase hex of the decimal ids joined by a space, and of the decoded text in UTF-8), and those of ids
     (array<int>) and decoded that `more` names. No shuffle: each input row is handled where it is read.
 
-    path: the vocabulary file, present on every machine. memo_entries bounds the words that a worker remembers.
+    path: the vocabulary file, present on every machine.
     Result columns win over input columns of the same names.
     """
     own = ["n_tokens", "ids_sha256", "decoded_sha256", *more]
@@ -221,7 +221,7 @@ def bpe_encode_decode(
     spark_kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": T.ArrayType(T.IntegerType()), "decoded": "string"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, memo = _coder(path, memo_entries)
+        _, memo = _coder(path)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)

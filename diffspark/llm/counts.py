@@ -23,7 +23,7 @@ CACHE = T.StructType([T.StructField("version", T.StringType()), T.StructField("d
 _memos: dict[str, Memo] = {}
 
 
-def _counter(path: str, entries: int) -> Memo:
+def _counter(path: str) -> Memo:
     """Word -> number of tokens. White space ends words for this kind of tokenizer and gives no token itself."""
     if path not in _memos:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,7 +32,7 @@ def _counter(path: str, entries: int) -> Memo:
         library = Tokenizer.from_file(path)
         library.no_truncation()
         library.no_padding()
-        _memos[path] = Memo(lambda words: [len(e.ids) for e in library.encode_batch_fast(words, add_special_tokens=False)], entries)
+        _memos[path] = Memo(lambda words: [len(e.ids) for e in library.encode_batch_fast(words, add_special_tokens=False)], lambda v: 0)
     return _memos[path]
 
 
@@ -48,7 +48,7 @@ def cached(spark, cache: str, version: str) -> DataFrame | None:
 
 
 def token_counts(
-    docs: DataFrame, path: str, cache: str, *, text: str = "text", keep: list[str] | None = None, limit: int = 2048, memo_entries: int = 600_000
+    docs: DataFrame, path: str, cache: str, *, text: str = "text", keep: list[str] | None = None, limit: int = 2048
 ) -> DataFrame:
     """Token counts of every whole text by the library for the vocabulary file at path.
 
@@ -75,7 +75,7 @@ def token_counts(
     misses = texts.groupBy("digest").agg(F.first("__text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _counter(path, memo_entries)
+        memo = _counter(path)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)

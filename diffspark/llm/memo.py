@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+#: About what an entry takes besides its characters.
+ENTRY = 250
+
 
 class Memo(dict):
-    """word -> value, filled by whole batches of misses.
+    """word -> value, filled by compute(words).
 
-    Two generations of at most `entries` words or `chars` characters each: a full one becomes the old one, and words
-    asked for again move up, so frequent words stay. It only saves work: values depend on the word alone.
+    Two generations of at most about `limit` bytes each, keys and values counted: a full one becomes the old one, and
+    words asked for again move up, so frequent words stay. It only saves work: values depend on the word alone. size:
+    what a value takes.
     """
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], entries: int, chars: int = 12_000_000):
+    def __init__(self, compute: Callable[[list[str]], Iterable], size: Callable = len, limit: int = 80_000_000):
         super().__init__()
-        self.compute, self.entries, self.chars, self.held, self.old = compute, entries, chars, 0, {}
+        self.compute, self.size, self.limit, self.held, self.old = compute, size, limit, 0, {}
 
     def values_of(self, texts: list[list[str]]) -> list[list]:
         """The values of every word of every text; words not known yet are computed in one batch."""
@@ -27,10 +31,10 @@ class Memo(dict):
         return found
 
     def _add(self, absent: set[str]) -> None:
-        if len(self) > self.entries or self.held > self.chars:
+        if self.held > self.limit:
             self.old, self.held = dict(self), 0
             self.clear()
-        self.held += sum(map(len, absent))
         new = [w for w in absent if w not in self.old]
-        self.update((w, self.old[w]) for w in absent if w in self.old)
-        self.update(zip(new, self.compute(new), strict=True))
+        added = {w: self.old[w] for w in absent if w in self.old} | dict(zip(new, self.compute(new), strict=True))
+        self.held += ENTRY * len(added) + sum(map(len, added)) + sum(map(self.size, added.values()))
+        self.update(added)

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -155,15 +156,18 @@ def from_bytes(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray
     return WaveletMatrix(header["n"], header["bits"], planes, header["zeros"], ranks), doc_ids, np.frombuffer(parts[2], "<i8")
 
 
-#: What keeps a text from being cut at each blank and line end: two of them in a row, other white space (as the
-#: byte-level split pattern takes it), and the mark that cuts.
-UNCUT = ["  ", "\n\n", " \n", "\n ", "\x01", *"\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
+#: What keeps a text from being cut at each blank and line end: two of them in a row, one at the end, other white space
+#: (as the byte-level split pattern takes it), and the mark that cuts.
+UNCUT = r"[ \n]{2}|[ \n]\z|[\x01\t\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Latin letters, which every Unicode version takes as such; a blank and these are one pre-token, and a sign after a letter
+#: begins the next.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+SINGLE = re.compile(f" ?[{LETTERS}]+")
 _encoders: dict[str, tuple] = {}
 
 
-def _encoder(path: str, entries: int):
-    """Text -> ids as bytes. Words repeat, so a text is cut where the split pattern always cuts: before a blank that a
-    word follows, and around single line ends. Texts with longer runs of white space or special strings go whole."""
+def _encoder(path: str):
+    """Memory of words' ids, as bytes; whole texts' ids by the library; the ids' type; the pattern of texts to go whole."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -171,40 +175,59 @@ def _encoder(path: str, entries: int):
         library = Tokenizer.from_file(path)
         library.no_truncation()
         library.no_padding()
-        kind = "H" if library.get_vocab_size() <= 1 << 16 else "I"
-        special = [t.content for t in library.get_added_tokens_decoder().values()]
+        kind = np.dtype(np.uint16 if library.get_vocab_size() <= 1 << 16 else np.uint32)
+        model, bytes_as_chars = library.model, str.maketrans({chr(b): c for b, c in enumerate(byte_chars())})
 
-        model, stand_in = library.model, byte_chars()
+        def whole(texts: list[str]):
+            for e in library.encode_batch_fast(texts, add_special_tokens=False):
+                yield np.array(e.ids, kind)
 
         def compute(words: list[str]):
             """A blank and letters are one pre-token, for the model alone; the rest takes the library's whole way."""
-            single = [w[1:].isalpha() and (w[0] == " " or w[0].isalpha()) for w in words]
-            rest = iter(library.encode_batch_fast([w for w, one in zip(words, single, strict=True) if not one], add_special_tokens=False))
+            single = list(map(SINGLE.fullmatch, words))
+            rest = whole([w for w, one in zip(words, single, strict=True) if not one])
             for w, one in zip(words, single, strict=True):
                 if one:
-                    yield array(kind, [t.id for t in model.tokenize("".join([stand_in[b] for b in w.encode()]))]).tobytes()
+                    yield np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(bytes_as_chars))], kind).tobytes()
                 else:
-                    yield array(kind, next(rest).ids).tobytes()
+                    yield next(rest).tobytes()
 
-        _encoders[path] = Memo(compute, entries), compute, kind, special
+        special = [re.escape(t.content) for t in library.get_added_tokens_decoder().values()]
+        _encoders[path] = Memo(compute), whole, kind, "|".join([UNCUT, *special])
     return _encoders[path]
 
 
-def encode_texts(texts: list[str], path: str, entries: int) -> tuple[list[bytes], str]:
-    """Ids of whole texts as machine integers, and their array type code."""
-    memo, compute, kind, special = _encoder(path, entries)
-    units: list[list[str] | None] = []
-    uncut = UNCUT + special
-    for t in texts:
-        whole = t[-1:] in (" ", "\n") or any(map(t.__contains__, uncut))
-        units.append(None if whole else t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01"))
-    parts = iter(memo.values_of([u for u in units if u is not None]))
-    whole = compute([t for t, u in zip(texts, units, strict=True) if u is None])
-    return [next(whole) if u is None else b"".join(next(parts)) for u in units], kind
+def encode_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
+    """Ids of the whole texts of a string column.
+
+    Words repeat, so a text is cut where the split pattern always cuts: before a blank that a word follows, around single
+    line ends, and between letter and sign. Texts with longer runs of white space or special strings go whole.
+    """
+    memo, whole, kind, uncut = _encoder(path)
+    out: list[np.ndarray | None] = [None] * len(texts)
+    odd = pc.match_substring_regex(texts, uncut)
+    at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    for k, ids in zip(at.tolist(), whole(texts.take(at).to_pylist()), strict=True):
+        out[k] = ids
+    at = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+    if len(at):
+        marked = pc.replace_substring(pc.replace_substring(texts.take(at), " ", "\x01 "), "\n", "\x01\n\x01")
+        cut = pc.split_pattern(pc.replace_substring_regex(marked, f"([{LETTERS}])([.,;:!?])", "\\1\x01\\2"), "\x01")
+        words = cut.flatten().dictionary_encode()
+        values = memo.values_of([words.dictionary.to_pylist()])[0]
+        flat, size = np.frombuffer(b"".join(values), kind), np.array([len(v) for v in values]) // kind.itemsize
+        index = words.indices.to_numpy()
+        n = size[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat((np.cumsum(size) - size)[index] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+        for k, a, b in zip(at.tolist(), bounds[:-1], bounds[1:], strict=True):
+            out[k] = ids[a:b]
+    return out  # type: ignore[return-value]
 
 
 def write_token_files(
-    docs: DataFrame, path: str, out: str, *, text: str = "text", doc_id: str = "doc_id", end_id: int = 2, shard_tokens: int = 1_000_000, memo_entries: int = 400_000
+    docs: DataFrame, path: str, out: str, *, text: str = "text", doc_id: str = "doc_id", end_id: int = 2, shard_tokens: int = 1_000_000
 ) -> None:
     """Encodes every whole text (null: empty), appends end_id, and writes token files in ascending doc_id order.
 
@@ -228,12 +251,11 @@ def write_token_files(
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_docs": [len(ids)], "n_tokens": [total], "file": [data]}, schema=FILES)
 
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                found, kind = encode_texts(batch.column("text").to_pylist(), path, memo_entries)
-                for d, b in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                for d, found in zip(batch.column("doc_id").to_pylist(), encode_texts(batch.column("text"), path), strict=True):
                     ids.append(d)
-                    parts.append(np.append(np.frombuffer(b, kind), np.array([end_id], kind)))
+                    parts.append(np.append(found, found.dtype.type(end_id)))
                     total += len(parts[-1])
                     if total >= shard_tokens:
                         yield shard()
@@ -251,7 +273,7 @@ DOCS = "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long"
 def read_token_files(spark, out: str) -> DataFrame:
     """Per document, from the files alone: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Only one number per shard is summed up in order; documents join their shard's start.
+    Only numbers of tokens are summed up in order, by part and then of each part's shards; documents join their start.
     """
     files = spark.read.schema("part int, seq int, n_docs long, n_tokens long, file binary").parquet(out)
 
@@ -268,7 +290,10 @@ def read_token_files(spark, out: str) -> DataFrame:
                     ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per part in the window over all
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = parts.select("part", before("n", Window.orderBy("part")).alias("first"))
+    inside = files.select("part", "seq", before("n_tokens", Window.partitionBy("part").orderBy("seq")).alias("inside"))
+    starts = inside.join(F.broadcast(first), "part").select("part", "seq", (F.col("first") + F.col("inside")).alias("before"))
     docs = files.select("part", "seq", "file").mapInArrow(run, DOCS)
     return docs.join(starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
