@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from ..functions.geometry import patch_grid
-from ..functions.shapes import pseudo_voigt
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def single_peak_filter(peaks: DataFrame) -> DataFrame:
@@ -32,32 +33,55 @@ def quality_filter(bank: DataFrame, error_below: float, intensity_above: float)
     return bank.where(ok)
 
 
-def _drawn(peaks: DataFrame, size: int, ybc: float, zbc: float) -> DataFrame:
-    rows = patch_grid(peaks, "ycen", "zcen", size, 1, ybc, zbc)
-    widths = lambda s: (F.col(f"sigma_{s}r"), F.col(f"sigma_{s}eta"))
-    v = pseudo_voigt(F.col("grid_r"), F.col("grid_eta"), F.col("radius"), F.col("eta"), widths("g"), F.col("mu"), F.col("imax"), widths("l"))
-    return rows.withColumns({"v": v, "z": F.col("gz").cast("int"), "y": F.col("gy").cast("int")})
+DRAWN = ["ycen", "zcen", "radius", "eta", "sigma_gr", "sigma_geta", "sigma_lr", "sigma_leta", "mu", "imax", "bg"]
 
 
 def draw_frame(peaks: DataFrame, ybc: float, zbc: float, height: int, width: int, i_thresh: float = 0.0, size: int = 10) -> DataFrame:
     """scan_id, frame_id, z, y, intensity: every peak drawn into a window of size pixels, its background added where it
-    exceeds 5 % of its maximum; windows add up and are clipped to the frame; sums below i_thresh become 0."""
-    rows = _drawn(peaks, size, ybc, zbc)
-    top = F.max("v").over(Window.partitionBy("scan_id", "peak_id"))
-    rows = rows.withColumn("v", F.when(F.col("v") > 0.05 * top, F.col("v") + F.col("bg")).otherwise(F.col("v")))
-    rows = rows.where(F.col("z").between(0, height - 1) & F.col("y").between(0, width - 1))
+    exceeds 5 % of its maximum; windows add up and are clipped to the frame; sums below i_thresh become 0. Peaks with a
+    null or NaN parameter are left out. A batch of peaks is drawn at once; the one shuffle adds windows up by place."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yc, zc, r0, e0, gr, ge, lr, le, mu, top, bg = (pdf[c].to_numpy(float)[:, None, None] for c in DRAWN)
+            step = np.arange(size)
+            y, z = np.broadcast_arrays(((yc.astype(int) - size / 2).astype(int) + step), ((zc.astype(int) - size / 2).astype(int) + step[:, None]))
+            r = np.sqrt((y - ybc) ** 2 + (z - zbc) ** 2)
+            e = np.degrees(np.arccos(np.clip((z - zbc) / np.where(r == 0, 1, r), -1, 1))) * np.where(y < ybc, -1, 1)
+            v = mu * top / ((1 + ((r - r0) / lr) ** 2) * (1 + ((e - e0) / le) ** 2)) + (1 - mu) * top * np.exp(-0.5 * ((r - r0) / gr) ** 2 - 0.5 * ((e - e0) / ge) ** 2)
+            v = np.where(v > 0.05 * v.max((1, 2), keepdims=True), v + bg, v)
+            on = (z >= 0) & (z < height) & (y >= 0) & (y < width)
+            of = np.broadcast_to(np.arange(len(pdf))[:, None, None], on.shape)[on]
+            yield pd.DataFrame({"scan_id": pdf["scan_id"].to_numpy()[of], "frame_id": pdf["frame_id"].to_numpy()[of], "z": z[on], "y": y[on], "v": v[on]})
+
+    whole = peaks.select("scan_id", F.col("frame_id").cast("long"), *[F.col(c).cast("double") for c in DRAWN]).dropna(subset=DRAWN)
+    rows = whole.mapInPandas(run, "scan_id string, frame_id long, z int, y int, v double")
     sums = rows.groupBy("scan_id", "frame_id", "z", "y").agg(F.sum("v").alias("intensity"))
     return sums.withColumn("intensity", F.when(F.col("intensity") < i_thresh, 0.0).otherwise(F.col("intensity")))
 
 
 def reconstruction_error(peaks: DataFrame, generated: DataFrame, measured: DataFrame, size: int) -> DataFrame:
     """scan_id, peak_id, error_reconstruction: sum of absolute differences over the sum measured, in each peak's window
-    (clipped to the frame). Windows are spelled out and met by place: equi-joins only. No measured intensity: null."""
-    at = ["scan_id", "frame_id", "z", "y"]
-    span = F.sequence(F.lit(0), F.lit(size - 1))
-    first = lambda c: (F.col(c).cast("int") - size / 2).cast("int")
-    cells = peaks.select("scan_id", "frame_id", "peak_id", first("zcen").alias("z0"), first("ycen").alias("y0"), F.explode(span).alias("i")).select("*", F.explode(span).alias("j"))
-    cells = cells.select("scan_id", "frame_id", "peak_id", (F.col("z0") + F.col("i")).alias("z"), (F.col("y0") + F.col("j")).alias("y"))
-    both = generated.select(*at, F.col("intensity").alias("g")).join(measured.select(*at, F.col("intensity").alias("e")), at, "full")
-    rows = cells.join(both, at, "left").select("scan_id", "peak_id", F.coalesce("g", F.lit(0.0)).alias("g"), F.coalesce("e", F.lit(0.0)).alias("e"))
-    return rows.groupBy("scan_id", "peak_id").agg(F.try_divide(F.sum(F.abs(F.col("g") - F.col("e"))), F.sum("e")).alias("error_reconstruction"))
+    (clipped to what has pixels). A frame's peaks and pixels, both bounded by the detector, meet by one shuffle of each
+    side; pixels given more than once add up. No measured intensity: null."""
+    pixel = lambda df, g, e: df.select("scan_id", F.col("frame_id").cast("long").alias("frame_id"), F.col("z").cast("long").alias("z"), F.col("y").cast("long").alias("y"), g.alias("g"), e.alias("e"))
+    value = F.coalesce(F.col("intensity"), F.lit(0.0)).cast("double")
+    both = pixel(generated, value, F.lit(0.0)).unionByName(pixel(measured, F.lit(0.0), value))
+    first = lambda c: (F.col(c).cast("long") - size / 2).cast("long")
+    windows = peaks.select("scan_id", F.col("frame_id").cast("long").alias("frame_id"), F.col("peak_id").cast("long").alias("peak_id"), first("zcen").alias("z0"), first("ycen").alias("y0"))
+
+    def run(own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        step = np.arange(size)
+        z = own["z0"].to_numpy()[:, None, None] + step[:, None]
+        y = own["y0"].to_numpy()[:, None, None] + step
+        key, inverse = np.unique(cells["z"].to_numpy() << 32 | cells["y"].to_numpy() & 0xFFFFFFFF, return_inverse=True)
+        g, e = (np.append(np.bincount(inverse, cells[c].to_numpy(), len(key)), 0.0) for c in "ge")
+        wanted = z << 32 | y & 0xFFFFFFFF
+        at = np.searchsorted(key, wanted)
+        at = np.where(np.append(key, -(1 << 62))[at] == wanted, at, len(key))
+        difference, total = np.abs(g[at] - e[at]).sum((1, 2)), e[at].sum((1, 2))
+        error = [None if t == 0 else d / t for d, t in zip(difference, total, strict=True)]
+        return pd.DataFrame({"scan_id": own["scan_id"], "peak_id": own["peak_id"], "error_reconstruction": pd.Series(error, index=own.index, dtype=object)})
+
+    keys = ["scan_id", "frame_id"]
+    return windows.groupBy(*keys).cogroup(both.groupBy(*keys)).applyInPandas(run, "scan_id string, peak_id long, error_reconstruction double")

@@ -30,13 +30,26 @@ def dark_mean(dark_frames: DataFrame) -> DataFrame:
     return dark_frames.groupBy("scan_id", "z", "y").agg(F.avg("value").alias("dark"))
 
 
-def correct_pixels(pixels: DataFrame, correction: DataFrame, bc: float = 1.0, bad: float = 0.0) -> DataFrame:
+def turn_correction(correction: DataFrame, ops: list[int], height: int, width: int) -> DataFrame:
+    """correction with dark and flood turned as image_transform() turns frames; the mask is given as it lies afterwards."""
+    turned = image_transform(correction.select("scan_id", "z", "y", "dark", "flood"), ops, height, width)
+    return turned.join(correction.select("scan_id", "z", "y", "mask"), ["scan_id", "z", "y"], "full")
+
+
+#: Rows of a correction table (some 50 bytes each) that are sent to every task; more are joined by position.
+CORRECTION_ROWS = 2_000_000
+
+
+def correct_pixels(pixels: DataFrame, correction: DataFrame, bc: float = 1.0, bad: float = 0.0, told_rows: int = CORRECTION_ROWS) -> DataFrame:
     """(I - dark) / flood * bc, then the bad value to 0, then masked pixels to 0. correction (scan_id, z, y, dark, flood,
-    mask) is bounded by the detector's size; Spark sends it to all tasks if it is small, else joins by position.
-    Pixels without a row are 0; after dark correction they can't reach a positive threshold."""
-    rows = pixels.join(correction, ["scan_id", "z", "y"], "left")
-    value = F.try_divide(F.col("intensity") - F.coalesce("dark", F.lit(0.0)), F.coalesce("flood", F.lit(1.0))) * bc
-    rows = rows.withColumn("intensity", value)
+    mask) is counted first and sent to all tasks if it has at most told_rows rows, else joined by position. A flood of 0
+    gives an infinite value of the difference's sign, and null for a difference of 0. Pixels without a row are 0; after
+    dark correction they can't reach a positive threshold."""
+    told = F.broadcast(correction) if correction.count() <= told_rows else correction
+    rows = pixels.join(told, ["scan_id", "z", "y"], "left")
+    rows = rows.withColumns({"__i": F.col("intensity") - F.coalesce("dark", F.lit(0.0)), "flood": F.coalesce("flood", F.lit(1.0))})
+    endless = F.when(F.col("__i") > 0, float("inf")).when(F.col("__i") < 0, float("-inf"))
+    rows = rows.withColumn("intensity", F.when(F.col("flood") == 0, endless).otherwise(F.try_divide("__i", "flood")) * bc).drop("__i")
     if bad:
         rows = rows.withColumn("intensity", F.when(F.col("intensity") == bad, 0.0).otherwise(F.col("intensity")))
     masked = F.coalesce("mask", F.lit(0.0)) > 0
@@ -59,6 +72,17 @@ def with_ring(pixels: DataFrame, params: dict, rings: list[float], residual: Col
     return pixels.withColumn("radius_px", radius).withColumn("ring_idx", ring_index(F.col("radius_px"), rings, params["ring_width"] / params["px"]))
 
 
+def on_rings(pixels: DataFrame, params: dict, rings: list[float]) -> DataFrame:
+    """The rows whose place lies on a ring, whatever their intensity; what is joined by place later gets small."""
+    return with_ring(pixels, params, rings).where("ring_idx >= 0").drop("radius_px", "ring_idx")
+
+
+def ring_lists(table: DataFrame) -> tuple[list[float], list[float]]:
+    """Radii and thresholds of a ring_table(), a row for each ring in use, as lists in their order."""
+    rows = sorted(table.select("ring_idx", "radius_px", "thresh").collect())
+    return [r.radius_px for r in rows], [r.thresh for r in rows]
+
+
 def ring_map(spark, params: dict, rings: list[float]) -> DataFrame:
     """z, y, ring_idx of every detector pixel on a ring."""
     cells = spark.range(params["height"] * params["width"]).select(F.expr(f"cast(id div {params['width']} as int)").alias("z"), (F.col("id") % params["width"]).cast("int").alias("y"))

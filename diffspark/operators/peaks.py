@@ -11,23 +11,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import patch_pixel_to_detector, reta_from_yz
-from ..functions.shapes import pseudo_voigt_np
 
 
-def local_maxima(cells: DataFrame, d: int, rel: float, side: int) -> DataFrame:
-    """patch_id, row, col, v of pixels that equal the maximum of their (2d+1) square, exceed rel * patch maximum and 0.
-    Of touching equal peaks those without an equal peak left, above, above left or above right stay; then a border of d
-    pixels is left out. Each pixel is offered to its neighbours and met by place: one equi-join's worth of rows."""
-    top = cells.withColumn("top", F.max("v").over(Window.partitionBy("patch_id"))).where((F.col("v") > 0) & (F.col("v") > rel * F.col("top")))
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in range(-d, d + 1) for b in range(-d, d + 1)])).alias("s")
-    offered = cells.where("v > 0").select("patch_id", "row", "col", "v", steps).select("patch_id", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), F.col("v").alias("w"))
-    around = offered.groupBy("patch_id", "row", "col").agg(F.max("w").alias("w"))
-    peak = top.join(around, ["patch_id", "row", "col"]).where("v = w").select("patch_id", "row", "col", "v")
-    back = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, 0), (1, 1), (1, -1))])).alias("s")
-    shadow = peak.select("patch_id", F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("v").alias("u"), back)
-    shadow = shadow.select("patch_id", (F.col("r0") + F.col("s.dr")).alias("row"), (F.col("c0") + F.col("s.dc")).alias("col"), F.col("u").alias("v")).distinct()
-    inside = F.col("row").between(d, side - d - 1) & F.col("col").between(d, side - d - 1)
-    return peak.join(shadow, ["patch_id", "row", "col", "v"], "left_anti").where(inside)
+def image(px) -> np.ndarray:
+    """A row-major array as a square."""
+    return np.asarray(px, float).reshape(int(len(px) ** 0.5), -1)
+
+
+def shifted(x: np.ndarray, dr: int, dc: int, fill: float) -> np.ndarray:
+    """x[r + dr, c + dc] at r, c; fill beyond the edges."""
+    reach = max(abs(dr), abs(dc))
+    wide = np.pad(x, reach, constant_values=fill)
+    return wide[reach + dr : reach + dr + x.shape[0], reach + dc : reach + dc + x.shape[1]]
+
+
+def maxima_of(x: np.ndarray, d: int, rel: float) -> np.ndarray:
+    """Where an image has its local maxima, as local_maxima() defines them."""
+    around = x
+    for axis in ((0, 1), (1, 0)):  # the maximum of a square is that of its rows' maxima
+        around = np.max([shifted(around, k * axis[0], k * axis[1], -np.inf) for k in range(-d, d + 1)], axis=0)
+    peak = (x == around) & (x > 0) & (x > rel * x.max())
+    level = np.where(peak, x, np.nan)
+    for dr, dc in ((0, -1), (-1, 0), (-1, -1), (-1, 1)):
+        peak = peak & (shifted(level, dr, dc, np.nan) != x)
+    if d:
+        peak[:d], peak[-d:], peak[:, :d], peak[:, -d:] = False, False, False, False
+    return peak
+
+
+def local_maxima(patches: DataFrame, d: int, rel: float, px: str = "px") -> DataFrame:
+    """patches: patch_id, px. patch_id, row, col, v of pixels that equal the maximum of their (2d+1) square, exceed rel *
+    patch maximum and 0. Of touching equal peaks those without an equal peak left, above, above left or above right stay;
+    then a border of d pixels is left out. One patch is one row: nothing is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for pid, values in zip(pdf["patch_id"], pdf["px"], strict=True):
+                x = image(values)
+                row, col = np.nonzero(maxima_of(x, d, rel))
+                out.append((np.full(len(row), pid), row, col, x[row, col]))
+            yield pd.DataFrame(dict(zip(("patch_id", "row", "col", "v"), map(np.concatenate, zip(*out, strict=True)), strict=True)) if out else {})
+
+    return patches.select("patch_id", F.col(px).alias("px")).mapInPandas(run, "patch_id long, row int, col int, v double")
 
 
 def top_peaks(maxima: DataFrame, cells: DataFrame, k: int = 5) -> DataFrame:
@@ -47,20 +73,32 @@ def edge_filter(maxima: DataFrame, lrsz: int, srfac: int, c: float | None = None
     return maxima.where(F.col("row").between(c, lrsz * srfac - c) & F.col("col").between(c, lrsz * srfac - c))
 
 
-def com_peaks(cells: DataFrame, peaks: DataFrame, crop: int, threshold: float = 0.7) -> DataFrame:
-    """Centre of mass around each peak (patch_id, peak_no, row, col): of the pixels of the crop box, clipped to the
-    patch, at least threshold * the box's maximum; given from the unclipped box's corner, as an offset within the
-    clipped one. Without mass: the middle of the clipped box."""
-    box = peaks.select("patch_id", "peak_no", (F.col("row") - crop // 2).alias("r0"), (F.col("col") - crop // 2).alias("c0"))
-    span = F.sequence(F.lit(0), F.lit(crop - 1))
-    asked = box.select("*", F.explode(span).alias("dr")).select("*", F.explode(span).alias("dc"))
-    asked = asked.select("patch_id", "peak_no", "r0", "c0", (F.col("r0") + F.col("dr")).alias("row"), (F.col("c0") + F.col("dc")).alias("col"))
-    rows = asked.join(cells, ["patch_id", "row", "col"])
-    group = Window.partitionBy("patch_id", "peak_no")
-    rows = rows.withColumns({"w": F.when(F.col("v") < threshold * F.max("v").over(group), 0.0).otherwise(F.col("v")), "rt": F.col("row") - F.greatest("r0", F.lit(0)), "ct": F.col("col") - F.greatest("c0", F.lit(0))})
-    sums = rows.groupBy("patch_id", "peak_no", "r0", "c0").agg(F.sum("w").alias("m"), F.sum(F.col("w") * F.col("rt")).alias("mr"), F.sum(F.col("w") * F.col("ct")).alias("mc"), F.max("rt").alias("h"), F.max("ct").alias("l"))
-    mean = lambda a, n: F.when(F.col("m") == 0, (F.col(n) + 1) / 2).otherwise(F.try_divide(F.col(a), F.col("m")))
-    return sums.select("patch_id", "peak_no", (F.col("r0") + mean("mr", "h")).alias("row"), (F.col("c0") + mean("mc", "l")).alias("col"))
+def com_peaks(patches: DataFrame, crop: int, threshold: float = 0.7) -> DataFrame:
+    """patches: patch_id, px, peaks (array of (peak_no, row, col)). Centre of mass around each peak (patch_id, peak_no,
+    row, col): of the pixels of the crop box, clipped to the patch, at least threshold * the box's maximum; given from the
+    unclipped box's corner, as an offset within the clipped one. Without mass: the middle of the clipped box."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for pid, values, peaks in zip(pdf["patch_id"], pdf["px"], pdf["peaks"], strict=True):
+                x = image(values)
+                for p in peaks:
+                    r0, c0 = p["row"] - crop // 2, p["col"] - crop // 2
+                    box = x[max(r0, 0) : r0 + crop, max(c0, 0) : c0 + crop]
+                    w = np.where(box < threshold * box.max(), 0, box)
+                    mass = w.sum()
+                    row, col = (w.sum(1) @ np.arange(len(w)) / mass, w.sum(0) @ np.arange(w.shape[1]) / mass) if mass else (len(w) / 2, w.shape[1] / 2)
+                    out.append((pid, p["peak_no"], r0 + row, c0 + col))
+            yield pd.DataFrame(out, columns=["patch_id", "peak_no", "row", "col"])
+
+    return patches.select("patch_id", "px", "peaks").mapInPandas(run, "patch_id long, peak_no int, row double, col double")
+
+
+def listed(peaks: DataFrame) -> DataFrame:
+    """patch_id, peaks: each patch's peaks (peak_no, row, col), in order."""
+    one = F.struct(*[F.col(c).cast("int").alias(c) for c in ("peak_no", "row", "col")])
+    return peaks.groupBy("patch_id").agg(F.array_sort(F.collect_list(one)).alias("peaks"))
 
 
 def flood(px: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -86,14 +124,16 @@ def watershed(patches: DataFrame, rel: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out = []
             for pid, px, peaks in zip(pdf["patch_id"], pdf["px"], pdf["peaks"], strict=True):
-                side = int(len(px) ** 0.5)
-                image, markers = np.asarray(px, float).reshape(side, side), np.zeros((side, side), int)
+                x = image(px)
+                markers = np.zeros(x.shape, int)
                 for p in peaks:
                     markers[p["row"], p["col"]] = p["peak_no"]
-                label = flood(image, markers, image > rel * image.max())
+                label = flood(x, markers, x > rel * x.max())
                 r, c = np.nonzero(label)
-                yield pd.DataFrame({"patch_id": pid, "row": r, "col": c, "v": image[r, c], "peak_no": label[r, c]})
+                out.append((np.full(len(r), pid), r, c, x[r, c], label[r, c]))
+            yield pd.DataFrame(dict(zip(("patch_id", "row", "col", "v", "peak_no"), map(np.concatenate, zip(*out, strict=True)), strict=True)) if out else {})
 
     return patches.select("patch_id", "px", "peaks").mapInPandas(run, "patch_id long, row int, col int, v double, peak_no int")
 
@@ -152,62 +192,94 @@ START = (0.5, 0.3, 0.5, 0.3, 0.5)
 LOW, HIGH = (0.1, 0.05, 0.1, 0.05, 0.0), (3.0, 3.0, 3.0, 3.0, 1.0)
 
 
-def fit_patch(target: np.ndarray, r: np.ndarray, e: np.ndarray, guess: np.ndarray, srfac: int, cut: float, steps: int = 20, rate: float = 0.15) -> tuple[np.ndarray, float]:
-    """Parameters (peaks x 8) and mean squared error after `steps` Adam steps on the squared error, bounds kept by a
-    logistic map. guess: R, eta, intensity of each peak. The cut applies to the final error alone."""
-    n = len(guess)
-    start, low, high = np.empty((n, 8)), np.empty((n, 8)), np.empty((n, 8))
-    start[:, :2], start[:, 2:7], start[:, 7] = guess[:, :2], START, guess[:, 2]
-    low[:, :2], low[:, 2:7], low[:, 7] = guess[:, :2] - (2.0, 0.1), LOW, 0
-    high[:, :2], high[:, 2:7], high[:, 7] = guess[:, :2] + (2.0, 0.1), HIGH, guess[:, 2] + 400 / max(srfac, 1)
+def _sum_peaks(p: np.ndarray, r: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Every peak's shape, (patches, peaks, rows, columns)."""
+    r0, e0, gr, ge, lr, le, mix, top = (p[:, :, k, None, None] for k in range(8))
+    low = 1 / ((1 + ((r - r0) / lr) ** 2) * (1 + ((e - e0) / le) ** 2))
+    return top * (mix * low + (1 - mix) * np.exp(-0.5 * ((r - r0) / gr) ** 2 - 0.5 * ((e - e0) / ge) ** 2))
+
+
+def fit_batch(target: np.ndarray, r: np.ndarray, e: np.ndarray, guess: np.ndarray, real: np.ndarray, srfac: int, cut: float, steps: int = 20, rate: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters (patches x peaks x 8) and mean squared error of each patch after `steps` Adam steps on the squared error,
+    bounds kept by a logistic map. target, r, e: (patches, rows, columns); guess: R, eta, intensity (patches x peaks x 3);
+    real: which peaks there are, patches being padded to the same number. The cut applies to the final error alone."""
+    shape = (*guess.shape[:2], 8)
+    start, low, high = np.empty(shape), np.empty(shape), np.empty(shape)
+    start[..., :2], start[..., 2:7], start[..., 7] = guess[..., :2], START, guess[..., 2]
+    low[..., :2], low[..., 2:7], low[..., 7] = guess[..., :2] - (2.0, 0.1), LOW, 0
+    high[..., :2], high[..., 2:7], high[..., 7] = guess[..., :2] + (2.0, 0.1), HIGH, guess[..., 2] + 400 / max(srfac, 1)
     t = np.clip((start - low) / (high - low + 1e-12), 1e-6, 1 - 1e-6)
-    raw, m, v = np.log(t / (1 - t)), np.zeros((n, 8)), np.zeros((n, 8))
+    raw, m, v = np.log(t / (1 - t)), np.zeros(shape), np.zeros(shape)
+    r, e, there = r[:, None], e[:, None], real[:, :, None, None]
     for step in range(1, steps + 1):
         s = 1 / (1 + np.exp(-raw))
         p = low + (high - low) * s
-        r0, e0, gr, ge, lr, le, mix, top = (p[:, k, None, None] for k in range(8))
+        r0, e0, gr, ge, lr, le, mix, top = (p[:, :, k, None, None] for k in range(8))
         a, b, c, d = (r - r0) / gr, (e - e0) / ge, (r - r0) / lr, (e - e0) / le
         g, ca, da = np.exp(-0.5 * a * a - 0.5 * b * b), 1 + c * c, 1 + d * d
         low_part = 1 / (ca * da)
-        error = 2 * ((top * (mix * low_part + (1 - mix) * g)).sum(0) - target)
+        error = 2 * (np.where(there, top * (mix * low_part + (1 - mix) * g), 0).sum(1) - target)[:, None]
         gg, ll = top * (1 - mix) * g, top * mix * low_part
         slope = (gg * a / gr + ll * 2 * c / (lr * ca), gg * b / ge + ll * 2 * d / (le * da), gg * a * a / gr, gg * b * b / ge, ll * 2 * c * c / (lr * ca), ll * 2 * d * d / (le * da), top * (low_part - g), mix * low_part + (1 - mix) * g)
-        grad = np.stack([(error * x).sum((1, 2)) for x in slope], 1) * (high - low) * s * (1 - s)
+        grad = np.stack([(error * x).sum((2, 3)) for x in slope], 2) * (high - low) * s * (1 - s)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         raw = raw - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     p = low + (high - low) / (1 + np.exp(-raw))
-    fit = pseudo_voigt_np(r, e, p).sum(0)
+    fit = np.where(there, _sum_peaks(p, r, e), 0).sum(1)
     fit = np.where(fit >= cut, fit, 0) if cut > 0 else fit
-    return p, float(((fit - target) ** 2).mean())
+    return p, ((fit - target) ** 2).mean((1, 2))
+
+
+def fit_patch(target: np.ndarray, r: np.ndarray, e: np.ndarray, guess: np.ndarray, srfac: int, cut: float, steps: int = 20, rate: float = 0.15) -> tuple[np.ndarray, float]:
+    """fit_batch() of one patch: parameters (peaks x 8) and mean squared error."""
+    p, cost = fit_batch(target[None], r[None], e[None], guess[None], np.ones((1, len(guess)), bool), srfac, cut, steps, rate)
+    return p[0], float(cost[0])
 
 
+#: Numbers in the arrays of patches that are fitted together (peaks x pixels).
+FIT_CELLS = 1_000_000
 FIT = "patch_id long, peak_no int, r double, eta double, sigma_gr double, sigma_geta double, sigma_lr double, sigma_leta double, mu double, imax_fit double, integrated_intensity double, imax double, max_row int, max_col int, nr_pixels long, fit_rmse double, failed boolean"
 
 
 def fit_pseudo_voigt(patches: DataFrame, srfac: int, ybc: float, zbc: float, int_thresh: float = 10.0) -> DataFrame:
     """patches: patch_id, z00, y00, px, native (native-resolution px), peaks (array of (peak_no, row, col)). One row per
-    peak; patches whose fit fails give a single row with failed set, to be kept as an error table. No shuffle."""
+    peak; patches whose fit fails give a single row with failed set, to be kept as an error table. Patches of a batch are
+    fitted together, padded to the same number of peaks. No shuffle."""
+
+    def some(pdf: pd.DataFrame) -> list[tuple]:
+        most = max(map(len, pdf["peaks"]))
+        x = np.stack([image(px) for px in pdf["px"]])
+        side = x.shape[1]
+        gy = pdf["y00"].to_numpy(float)[:, None, None] + np.arange(side) / srfac
+        gz = pdf["z00"].to_numpy(float)[:, None, None] + np.arange(side)[:, None] / srfac
+        r = np.hypot(gy - ybc, gz - zbc)
+        e = np.degrees(np.arccos(np.clip((gz - zbc) / np.where(r == 0, 1, r), -1, 1))) * np.where(gy < ybc, -1, 1)
+        guess, real = np.ones((len(pdf), most, 3)), np.zeros((len(pdf), most), bool)
+        for n, peaks in enumerate(pdf["peaks"]):
+            for k, q in enumerate(peaks):
+                at = n, q["row"], q["col"]
+                guess[n, k], real[n, k] = (r[at], e[at], x[at]), True
+        with np.errstate(all="ignore"):
+            p, cost = fit_batch(x, r, e, guess, real, srfac, int_thresh / srfac**2)
+            each = _sum_peaks(p, r[:, None], e[:, None])
+        rows: list[tuple] = []
+        for n, (pid, native, peaks) in enumerate(zip(pdf["patch_id"], pdf["native"], pdf["peaks"], strict=True)):
+            if not (len(peaks) and np.isfinite(cost[n]) and np.isfinite(p[n][real[n]]).all()):
+                rows.append((pid, None, *[None] * 13, None, True))
+                continue
+            own = image(native)
+            for k, q in enumerate(peaks):
+                pooled = each[n, k].reshape(side // srfac, srfac, side // srfac, srfac).sum((1, 3))
+                row, col = np.unravel_index(pooled.argmax(), pooled.shape)
+                rows.append((pid, q["peak_no"], *p[n, k].tolist(), each[n, k].sum(), pooled.max(), row, col, np.count_nonzero(pooled * own), cost[n] ** 0.5, False))
+        return rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for pid, z00, y00, px, native, peaks in pdf[["patch_id", "z00", "y00", "px", "native", "peaks"]].itertuples(index=False):
-                side = int(len(px) ** 0.5)
-                image, own = np.asarray(px, float).reshape(side, side), np.asarray(native, float).reshape(side // srfac, -1)
-                gy, gz = np.meshgrid(y00 + np.arange(side) / srfac, z00 + np.arange(side) / srfac)
-                r = np.hypot(gy - ybc, gz - zbc)
-                e = np.degrees(np.arccos(np.clip((gz - zbc) / np.where(r == 0, 1, r), -1, 1))) * np.where(gy < ybc, -1, 1)
-                guess = np.array([[r[p["row"], p["col"]], e[p["row"], p["col"]], image[p["row"], p["col"]]] for p in peaks])
-                with np.errstate(all="ignore"):
-                    p, cost = fit_patch(image, r, e, guess, srfac, int_thresh / srfac**2) if len(guess) else (guess, np.nan)
-                if not (np.isfinite(cost) and np.isfinite(p).all()):
-                    rows.append((pid, None, *[None] * 13, None, True))
-                    continue
-                for q, one in zip(peaks, p, strict=True):
-                    shape = pseudo_voigt_np(r, e, one)
-                    pooled = shape.reshape(side // srfac, srfac, side // srfac, srfac).sum((1, 3))
-                    row, col = np.unravel_index(pooled.argmax(), pooled.shape)
-                    rows.append((pid, q["peak_no"], *one.tolist(), shape.sum(), pooled.max(), row, col, np.count_nonzero(pooled * own), cost**0.5, False))
+            if not len(pdf):
+                continue
+            step = max(1, FIT_CELLS // (len(pdf["px"].iloc[0]) * max(1, max(map(len, pdf["peaks"])))))
+            rows = [row for lo in range(0, len(pdf), step) for row in some(pdf.iloc[lo : lo + step])]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in FIT.split(", ")])
 
     return patches.mapInPandas(run, FIT)

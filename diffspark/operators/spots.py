@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,16 @@ def label_spots(good: DataFrame, connectivity: int = 8) -> DataFrame:
 SPOT = ["scan_id", "frame_id", "spot_id"]
 
 
+def patch_ids(origins: DataFrame) -> DataFrame:
+    """Adds patch_id, a number of its own for every spot: the scan's place in order (scans are few and told to all tasks),
+    frame (below 2**20) and spot (below 2**24)."""
+    scans = origins.select("scan_id").distinct().withColumn("__no", F.row_number().over(Window.orderBy("scan_id")))
+    number = (F.col("__no").cast("long") * (1 << 44)) + F.col("frame_id") * (1 << 24) + F.col("spot_id")
+    fits = (F.col("frame_id") < 1 << 20) & (F.col("spot_id") < 1 << 24)
+    checked = F.when(fits, number).otherwise(F.raise_error(F.lit("frame or spot number too large")).cast("long"))
+    return origins.join(F.broadcast(scans), "scan_id").withColumn("patch_id", checked).drop("__no")
+
+
 def spot_stats(spots: DataFrame) -> DataFrame:
     """Per spot: n_pixels, bounding box, brightest pixel (ties: lowest row, then column) and intensity sum."""
     best = F.max(F.struct("intensity", (-F.col("z")).alias("mz"), (-F.col("y")).alias("my"))).alias("b")
@@ -73,9 +83,17 @@ def extract_patches(spots: DataFrame, origins: DataFrame, size: int) -> DataFram
 
 def to_arrays(cells: DataFrame, keys: list[str], side: int) -> DataFrame:
     """Pixel rows to one row-major array per patch; absent pixels are 0."""
-    place = F.map_from_entries(F.collect_list(F.struct((F.col("row") * side + F.col("col")).cast("int").alias("k"), F.col("v").cast("double").alias("x"))))
-    fill = lambda m: F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.0)))
-    return cells.groupBy(*keys).agg(place.alias("__m")).select(*keys, fill(F.col("__m")).alias("px"))
+    k, v = (F.col("row") * side + F.col("col")).cast("int"), F.col("v").cast("double")
+    listed = cells.groupBy(*keys).agg(F.collect_list(k).alias("__k"), F.collect_list(F.coalesce(v, F.lit(0.0))).alias("__v"))
+
+    @F.pandas_udf("array<double>")
+    def fill(places: pd.Series, values: pd.Series) -> pd.Series:
+        out = np.zeros((len(places), side * side))
+        for px, at, x in zip(out, places, values, strict=True):
+            px[at] = x
+        return pd.Series(list(out))
+
+    return listed.select(*keys, fill("__k", "__v").alias("px"))
 
 
 def to_pixels(patches: DataFrame, side: int, px: str = "px") -> DataFrame:

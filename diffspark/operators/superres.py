@@ -65,6 +65,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / (x.max() or 1)
 
 
+#: Pixels of results that are handed back together.
+OUT_CELLS = 1_000_000
+
+
 def super_resolve(patches: DataFrame, model_layers: DataFrame, stages: list[tuple[str, int]], normalise: bool = False, rescale_at: tuple[int, ...] = (8,)) -> DataFrame:
     """patches: patch_id, px. One row per patch and stage: patch_id, srfac, side, px.
 
@@ -76,6 +80,7 @@ def super_resolve(patches: DataFrame, model_layers: DataFrame, stages: list[tupl
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out = []
             for pid, px in zip(pdf["patch_id"], pdf["px"], strict=True):
                 x = np.asarray(px, np.float32).reshape(int(len(px) ** 0.5), -1)
                 total, factor = float(x.sum()), 1
@@ -86,6 +91,10 @@ def super_resolve(patches: DataFrame, model_layers: DataFrame, stages: list[tupl
                         x = unit(x)
                     elif factor in rescale_at:
                         x = x * (total / (float(x.sum()) or 1))
-                    yield pd.DataFrame({"patch_id": [pid], "srfac": [factor], "side": [len(x)], "px": [x.ravel().astype(float).tolist()]})
+                    out.append((pid, factor, len(x), x.ravel().astype(float)))
+                if sum(len(o[3]) for o in out) > OUT_CELLS:
+                    yield pd.DataFrame(out, columns=["patch_id", "srfac", "side", "px"])
+                    out = []
+            yield pd.DataFrame(out, columns=["patch_id", "srfac", "side", "px"])
 
     return patches.select("patch_id", "px").repartition("patch_id").mapInPandas(run, "patch_id long, srfac int, side int, px array<double>")

@@ -217,8 +217,13 @@ def render_patches(patches: DataFrame, *, lrsz: int, cvsz: int, src: int, factor
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            rows: list[tuple] = []
             for pid, isum, peaks in pdf[["patch_id", "isum", "peaks"]].itertuples(index=False):
-                yield pd.DataFrame(one(pid, isum, peaks), columns=[c.split()[0] for c in schema.split(", ")])
+                rows += one(pid, isum, peaks)
+                if len(rows) > 200:
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+                    rows = []
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return patches.select("patch_id", "isum", "peaks").mapInPandas(run, schema)
 

@@ -113,6 +113,22 @@ def spot_statistics(spark, sf_dir):
     return rounded(spots.spot_stats(labelled(spark, sf_dir)).drop("scan_id", "spot_id"))
 
 
+_MOVED = """moved AS (SELECT p.frame_id-2 AS frame_id, 95-p.y AS z, p.z AS y, (intensity-dark)/flood*1.5 AS v FROM pixels p JOIN correction c ON p.z=c.z AND p.y=c.y WHERE frame_id >= 2),
+  fixed AS (SELECT m.frame_id, m.z, m.y, CASE WHEN mask > 0 OR v = 30.0 THEN 0.0 ELSE v END AS intensity FROM moved m JOIN correction c ON m.z=c.z AND m.y=c.y)"""
+ORIENTED = tuple(x if k else "RECURSIVE " + x for k, x in enumerate((fx.PIXELS, fx.CORRECTION, _MOVED, ringed("fixed"), GOOD[-1], _COMPONENT, _STATS)))
+
+
+@query("""SELECT frame_id, round(CASE WHEN (frame_id+2) % 2 = 0 THEN (frame_id+2)*1.5 ELSE -180 + 0.25*(frame_id+2) END, 6) AS omega, n_pixels, round(isum, 4) AS isum, round(imax, 4) AS imax,
+  CAST(z_peak AS BIGINT) AS z_peak, CAST(y_peak AS BIGINT) AS y_peak FROM stats""", *ORIENTED)
+def oriented_spots(spark, sf_dir):
+    """Spots of frames skipped, corrected and turned; dark and flood turn, the mask doesn't; omega by the original frame."""
+    rows = fx.pixels(spark, sf_dir)
+    found = spots.spot_stats(workloads.frames_to_spots(rows, P, fx.RINGS, fx.THRESH, fx.correction(spark), 1.5, 30.0, skip=2, transform=(1, 3)))
+    known = rows.where("frame_id % 2 = 0").selectExpr("frame_id as frame_idx", "frame_id*1.5D as omega").distinct()
+    found = omega(found.withColumn("frame_orig", F.col("frame_id") + 2), "frame_orig", -180, 0.25, known)
+    return rounded(found.select("frame_id", "omega", "n_pixels", "isum", "imax", "z_peak", "y_peak"), 4)
+
+
 @query("""SELECT s.frame_id, CAST(z_peak-10 AS BIGINT) AS z00, CAST(y_peak-10 AS BIGINT) AS y00, CAST(s.z-z_peak+10 AS BIGINT) AS row, CAST(s.y-y_peak+10 AS BIGINT) AS col, s.intensity AS v FROM spot s JOIN stats t ON s.frame_id=t.frame_id AND s.root=t.root
   WHERE n_pixels >= 3 AND z_peak-10 >= 0 AND z_peak-10 < 76 AND y_peak-10 >= 0 AND y_peak-10 < 76 AND s.z BETWEEN z_peak-10 AND z_peak+9 AND s.y BETWEEN y_peak-10 AND y_peak+9""", *SPOTS)
 def spot_patches(spark, sf_dir):
@@ -188,7 +204,7 @@ _TOP = """ranked AS (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY
 
 
 def maxima(spark, sf_dir):
-    return peaks.local_maxima(fx.cells(spark, sf_dir), 1, 0.3, 8)
+    return peaks.local_maxima(fx.patches(spark, sf_dir), 1, 0.3)
 
 
 @query("SELECT patch_id, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, v FROM found", fx.CELLS, _MAXIMA)
@@ -214,7 +230,8 @@ _COM = """com AS (SELECT patch_id, peak_no, r0 + CASE WHEN m=0 THEN (h+1)/2 ELSE
 
 @query("SELECT patch_id, peak_no, round(row, 6) AS row, round(col, 6) AS col FROM com", fx.CELLS, _MAXIMA, _TOP, _COM)
 def centres_of_mass(spark, sf_dir):
-    return rounded(peaks.com_peaks(fx.cells(spark, sf_dir), peaks.top_peaks(maxima(spark, sf_dir), fx.cells(spark, sf_dir)), 4))
+    found = peaks.top_peaks(maxima(spark, sf_dir), fx.cells(spark, sf_dir))
+    return rounded(peaks.com_peaks(fx.patches(spark, sf_dir).join(peaks.listed(found), "patch_id"), 4))
 
 
 _HALF = "half AS (SELECT patch_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col, v, CAST(1 + col // 4 AS INT) AS peak_no FROM cells WHERE v > 0)"
@@ -327,7 +344,7 @@ def peakbank(spark, sf_dir):
 _WINDOWS = """windows AS (SELECT p.peak_id, p.imax, p.integrated_intensity, r.no AS ring_no, row_number() OVER (PARTITION BY r.no ORDER BY peak_id)-1 AS rank, count(*) OVER (PARTITION BY r.no) AS ring_size
   FROM peaks p JOIN (VALUES (0, 12.0), (1, 20.0), (2, 28.0)) r(no, rr) ON radius > rr-2 AND radius < rr+2)"""
 _h = lambda *x: "cast('0x'||substr(md5(concat_ws('|','7'," + ",".join(x) + ")),1,13) as bigint)"
-_SAMPLE = f"""patch AS (SELECT i AS patch_id, 1 + {_h('i', "'n'")} % 3 AS n_peaks, {_h('i', "'ring'")} % 3 AS ring_no FROM range(500) t(i)),
+_SAMPLE = f"""patch AS (SELECT i AS patch_id, 1 + {_h('i', "'n'")} % 3 AS n_peaks, {_h('i', "'ring'")} % 3 AS ring_no FROM range((SELECT count(*) FROM peaks)) t(i)),
   tries AS (SELECT p.*, t.i AS t, {_h('p.patch_id', 't.i')} % s.ring_size AS rank FROM patch p JOIN (SELECT DISTINCT ring_no, ring_size FROM windows) s USING (ring_no) JOIN range(24) t(i) ON t.i < p.n_peaks*8),
   firsts AS (SELECT patch_id, n_peaks, ring_no, rank, min(t) AS t FROM tries GROUP BY ALL), ks AS (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY t) AS k0 FROM firsts),
   sampled AS (SELECT ks.patch_id, ks.ring_no, w.peak_id, w.imax, w.integrated_intensity, row_number() OVER (PARTITION BY patch_id ORDER BY w.imax DESC, w.peak_id) AS k FROM ks JOIN windows w USING (ring_no, rank) WHERE k0 <= n_peaks)"""
@@ -340,8 +357,10 @@ def ring_windows(spark, sf_dir):
 
 
 def sampled(spark, sf_dir):
-    windows = synth.ring_windows(fx.peaks(spark, sf_dir), [12.0, 20.0, 28.0], 2.0)
-    return synth.order_by_imax(synth.sample_ring_peaks(spark, 500, [1, 2, 3], windows, 3, 7))
+    """As many patches as there are peaks."""
+    found = fx.peaks(spark, sf_dir)
+    windows = synth.ring_windows(found, [12.0, 20.0, 28.0], 2.0)
+    return synth.order_by_imax(synth.sample_ring_peaks(spark, found.count(), [1, 2, 3], windows, 3, 7))
 
 
 @query("SELECT patch_id, ring_no, k, peak_id, round(greatest(least(imax, 60.0), 5.0), 6) AS imax FROM sampled", fx.PEAKS, _WINDOWS, _SAMPLE)
@@ -411,7 +430,7 @@ def pairs(spark, sf_dir):
 
 @query("SELECT epoch, round(avg(abs(truth-pred)), 6) AS mean_error, round(quantile_cont(abs(truth-pred), 0.5), 6) AS p50, round(quantile_cont(abs(truth-pred), 0.75), 6) AS p75, round(quantile_cont(abs(truth-pred), 0.95), 6) AS p95, round(quantile_cont(abs(truth-pred), 0.995), 6) AS p99_5 FROM pairs GROUP BY 1", fx.CELLS, _PAIRS)
 def error_statistics(spark, sf_dir):
-    return rounded(training.error_stats(pairs(spark, sf_dir), ["epoch"]))
+    return rounded(training.error_stats(pairs(spark, sf_dir), ["epoch"], accuracy=None))
 
 
 @query("SELECT epoch, round(avg(m), 4) AS mse, round(avg(a), 4) AS mae FROM (SELECT epoch, batch, avg((truth-pred)*(truth-pred)) AS m, avg(abs(truth-pred)) AS a FROM pairs GROUP BY 1, 2) GROUP BY 1", fx.CELLS, _PAIRS)
@@ -492,8 +511,7 @@ def synthetic_patches(spark, sf_dir):
 @query()
 def watershed_regions(spark, sf_dir):
     found = peaks.top_peaks(maxima(spark, sf_dir), fx.cells(spark, sf_dir))
-    listed = found.groupBy("patch_id").agg(F.array_sort(F.collect_list(F.struct(F.col("peak_no").cast("int").alias("peak_no"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")))).alias("peaks"))
-    return peaks.watershed_stats(peaks.watershed(fx.patches(spark, sf_dir).join(listed, "patch_id"), 0.1))
+    return peaks.watershed_stats(peaks.watershed(fx.patches(spark, sf_dir).join(peaks.listed(found), "patch_id"), 0.1))
 
 
 @query()

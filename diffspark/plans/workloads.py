@@ -7,58 +7,74 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import omega
 from ..operators import bank, frames, peaks, spots, superres, synth
+from ..sources.staging import staged
+
+
+def turned(params: dict, transform: tuple[int, ...]) -> dict:
+    """params of frames after image_transform(): every transpose swaps height and width."""
+    return {**params, "height": params["width"], "width": params["height"]} if list(transform).count(3) % 2 else params
 
 
 def frames_to_spots(pixels: DataFrame, params: dict, rings: list[float], thresholds: list[float], correction: DataFrame | None = None, bc: float = 1.0, bad: float = 0.0, skip: int = 0, transform: tuple[int, ...] = ()) -> DataFrame:
-    """Frames to labelled spots; narrow up to the one shuffle by frame."""
+    """Frames to labelled spots. params hold for frames as given; frames, dark and flood are turned alike, the mask is not.
+    rings and thresholds: as by frames.ring_lists(). Pixels off the rings go before the correction is joined, on both
+    sides; up to the one shuffle by frame nothing is shuffled as long as the correction can be told to all tasks."""
     rows = frames.skip_frames(pixels, skip) if skip else pixels
+    own = turned(params, transform)
     if transform:
         rows = frames.image_transform(rows, list(transform), params["height"], params["width"])
     if correction is not None:
-        rows = frames.correct_pixels(rows, correction, bc, bad)
-    return spots.label_spots(frames.good_pixels(rows, params, rings, thresholds))
+        if transform:
+            correction = frames.turn_correction(correction, list(transform), params["height"], params["width"])
+        rows = frames.correct_pixels(frames.on_rings(rows, own, rings), frames.on_rings(correction, own, rings), bc, bad)
+    return spots.label_spots(frames.good_pixels(rows, own, rings, thresholds))
+
+
+#: By factor, the least distance of maxima, their least share of the patch's maximum, the box about a
+#: maximum, and the cut of fits.
+MIN_D, REL, CROP, FIT_CUT = {1: 2, 2: 2, 4: 4, 8: 5}, {1: 0.2, 2: 0.2, 4: 0.2, 8: 0.1}, {1: 2, 2: 8, 4: 10, 8: 20}, {1: 60.0, 2: 20.0, 4: 15.0, 8: 10.0}
 
 
 def frames_to_peaks(
-    labelled: DataFrame, params: dict, *, size: int = 20, srfac: int = 1, model_layers: DataFrame | None = None, stages: list[tuple[str, int]] | None = None, min_d: int = 1, rel: float = 0.1,
-    mask_rel: float = 0.1, crop: int = 4, method: str = "com", edge: float | None = 0.0, least_pixels: int = 1, omega_start: float = 0.0, omega_step: float = 1.0, int_thresh: float = 10.0,
+    labelled: DataFrame, params: dict, *, size: int = 20, srfac: int = 1, model_layers: DataFrame | None = None, stages: list[tuple[str, int]] | None = None, min_d: int | None = None, rel: float | None = None,
+    crop: int | None = None, method: str = "com", edge: float | None = None, least_pixels: int = 2, sigma: float = 0, median: int = 1, omega_start: float = 0.0, omega_step: float = 1.0, listed_omega: DataFrame | None = None,
+    skip: int = 0, int_thresh: float | None = None,
 ) -> DataFrame:
     """Labelled spots to peak rows. method com: maxima, regions and centres of mass; pv: shapes fitted to the five
     brightest maxima; auto: com for patches of one maximum, pv for more. Without a model patches are taken as they are
-    (srfac 1)."""
+    (srfac 1). Maxima are sought in smoothed patches (sigma, median; the defaults change nothing), measured in the
+    patches themselves. skip: frames left out before numbering; omega goes by the original number. edge: fine pixels
+    (2.5 native ones by default). The labelled spots and the model's results are written once."""
     if method not in ("com", "pv", "auto"):
         raise ValueError(method)
     ybc, zbc = params["ybc"], params["zbc"]
-    labelled = labelled.persist()  # read by statistics and by patches; labelling is the costly step
-    origins = spots.patch_origins(spots.spot_stats(labelled), size, params["height"], params["width"], least_pixels)
-    origins = origins.withColumn("patch_id", F.xxhash64(*spots.SPOT))
+    min_d, rel, crop, cut = (given if given is not None else usual[srfac] for given, usual in ((min_d, MIN_D), (rel, REL), (crop, CROP), (int_thresh, FIT_CUT)))
+    labelled = staged(labelled, "labelled-spots")
+    origins = spots.patch_ids(spots.patch_origins(spots.spot_stats(labelled), size, params["height"], params["width"], least_pixels))
     native = spots.extract_patches(labelled, origins, size).join(origins.select(*spots.SPOT, "patch_id"), spots.SPOT)
     arrays = spots.to_arrays(native, ["patch_id"], size)
     info = arrays.select("patch_id", spots.patch_sum(F.col("px")).alias("isum"), spots.patch_max(F.col("px")).alias("raw_imax"), F.col("px").alias("native"))
     info = info.join(origins.select("patch_id", "scan_id", "frame_id", "spot_id", "z00", "y00", "n_pixels"), "patch_id").withColumnRenamed("spot_id", "label")
     fine = arrays if model_layers is None else superres.super_resolve(arrays, model_layers, stages or []).where(F.col("srfac") == srfac).select("patch_id", "px")
-    side = size * srfac
-    cells = spots.to_pixels(fine, side).where("v > 0")  # blank pixels are no peaks and weigh nothing
-    maxima = peaks.local_maxima(cells, min_d, rel, side)
+    fine = staged(fine, "patches")
+    maxima = peaks.local_maxima(peaks.smooth(fine, sigma, median), min_d, rel)
     of_patch = maxima.groupBy("patch_id").agg(F.count(F.lit(1)).alias("n_peaks"))
     about = info.select("patch_id", "scan_id", "frame_id", "z00", "y00", "n_pixels", "raw_imax", "isum")
-    listed = lambda p: p.groupBy("patch_id").agg(F.array_sort(F.collect_list(F.struct(F.col("peak_no").cast("int").alias("peak_no"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")))).alias("peaks"))
     out = []
     if method in ("com", "auto"):
         some = maxima if method == "com" else maxima.join(of_patch.where("n_peaks = 1").select("patch_id"), "patch_id")
         some = peaks.edge_filter(some, size, srfac, edge)
         some = some.withColumn("peak_no", F.expr("row_number() over (partition by patch_id order by v desc, row, col)"))
-        regions = peaks.watershed(fine.join(listed(some), "patch_id"), mask_rel)
-        rows = peaks.peak_summary(regions, peaks.com_peaks(cells, some, crop), about.join(of_patch, "patch_id"), srfac, ybc, zbc)
-        out.append(rows)
+        marked = fine.join(peaks.listed(some), "patch_id")
+        out.append(peaks.peak_summary(peaks.watershed(marked, rel), peaks.com_peaks(marked, crop), about.join(of_patch, "patch_id"), srfac, ybc, zbc))
     if method in ("pv", "auto"):
+        cells = spots.to_pixels(fine, size * srfac).where("v > 0")  # blank patches have no peak
         some = peaks.top_peaks(maxima, cells) if method == "pv" else peaks.top_peaks(maxima.join(of_patch.where("n_peaks > 1").select("patch_id"), "patch_id"), cells.limit(0))
-        rows = fine.join(listed(some), "patch_id").join(info.select("patch_id", "z00", "y00", "native"), "patch_id")
-        fits = peaks.fit_pseudo_voigt(rows, srfac, ybc, zbc, int_thresh)
-        out.append(peaks.fit_peak_rows(fits, about, srfac, ybc, zbc))
+        rows = fine.join(peaks.listed(some), "patch_id").join(info.select("patch_id", "z00", "y00", "native"), "patch_id")
+        out.append(peaks.fit_peak_rows(peaks.fit_pseudo_voigt(rows, srfac, ybc, zbc, cut), about, srfac, ybc, zbc))
     rows = out[0] if len(out) == 1 else out[0].unionByName(out[1], allowMissingColumns=True)
     numbered = peaks.spot_number(rows, ("scan_id", "frame_id"), ("z00", "y00", "patch_id", "peak_no"))
-    return omega(numbered, "frame_id", omega_start, omega_step)
+    return omega(numbered.withColumn("frame_orig", F.col("frame_id") + skip), "frame_orig", omega_start, omega_step, listed_omega)
 
 
 def peakbank(found: DataFrame, measured: DataFrame, params: dict, *, size: int, i_thresh: float, error_below: float | None) -> DataFrame:

@@ -71,12 +71,12 @@ CELLS = """cells AS (SELECT patch_id, CAST((k-1) // 8 AS INT) AS row, CAST((k-1)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr("o_custkey % 20 as trial", "o_orderkey", "round(cast((cast(o_totalprice as double)*7) % 1000 as double)/1000, 3) as val_loss")
-    return rows.selectExpr("trial", "row_number() over (partition by trial order by o_orderkey) - 1 as epoch", "val_loss").where("epoch < 50")
+    rows = table(spark, sf_dir, "orders").selectExpr("o_custkey as trial", "o_orderkey", "round(cast((cast(o_totalprice as double)*7) % 1000 as double)/1000, 3) as val_loss")
+    return rows.selectExpr("trial", "row_number() over (partition by trial order by o_orderkey) - 1 as epoch", "val_loss")
 
 
-HISTORY = """history AS (SELECT * FROM (SELECT trial, row_number() OVER (PARTITION BY trial ORDER BY o_orderkey) - 1 AS epoch, val_loss FROM (
-  SELECT o_custkey % 20 AS trial, o_orderkey, round((CAST(o_totalprice AS DOUBLE)*7) % 1000/1000, 3) AS val_loss FROM orders)) WHERE epoch < 50)"""
+HISTORY = """history AS (SELECT trial, row_number() OVER (PARTITION BY trial ORDER BY o_orderkey) - 1 AS epoch, val_loss FROM (
+  SELECT o_custkey AS trial, o_orderkey, round((CAST(o_totalprice AS DOUBLE)*7) % 1000/1000, 3) AS val_loss FROM orders))"""
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,20 +24,25 @@ def to_file_names(peaks: DataFrame) -> DataFrame:
     return peaks.select(*[F.col(a).cast("double").alias(b) for a, b in zip(SNAKE, PEAK_COLUMNS, strict=True)])
 
 
-def read_peaks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_peaks(spark: SparkSession, path: str | list[str], scan_id: str | None = None) -> DataFrame:
     """Peak files of one or more scans: tab-separated with header, one a frame, named {number}_PS.csv with numbers from
-    1; or folders frame_id=N as write_peaks() makes them. Adds frame_id (from 0)."""
+    1; or folders frame_id=N as write_peaks() makes them. Adds frame_id (from 0) and scan_id: the name given, else that of
+    the folder that holds a scan's files (the one that write_peaks() was given)."""
     rows = spark.read.schema(PEAKS).option("recursiveFileLookup", True).csv(path, sep="\t", header=True)
     name = F.col("_metadata.file_path")
     numbered, folder = F.regexp_extract(name, r"(\d+)_PS\.csv$", 1), F.regexp_extract(name, r"frame_id=(\d+)/", 1)
     frame = F.when(numbered != "", numbered.try_cast("long") - 1).when(folder != "", folder.try_cast("long"))
-    return rows.select(*[F.col(f"`{a}`").alias(b) for a, b in zip(PEAK_COLUMNS, SNAKE, strict=True)], frame.alias("frame_id"))
+    holder = F.when(numbered != "", F.regexp_extract(name, r"([^/]+)/[^/]*$", 1)).otherwise(F.regexp_extract(name, r"([^/]+)/peaks/frame_id=", 1))
+    scan = holder if scan_id is None else F.lit(scan_id)
+    return rows.select(*[F.col(f"`{a}`").alias(b) for a, b in zip(PEAK_COLUMNS, SNAKE, strict=True)], frame.alias("frame_id"), scan.alias("scan_id"))
 
 
 def read_rings(spark: SparkSession, path: str) -> DataFrame:
-    """Space-separated ring list with header; RingNr and Radius are used. line keeps the file's order."""
+    """Space-separated ring list with header; RingNr and Radius are used. line keeps the file's order: the file, the place
+    of the split that a row was read with, and the row's place in it."""
     rows = spark.read.option("header", True).option("sep", " ").csv(path)
-    return rows.select(F.col("RingNr").cast("int"), F.col("Radius").cast("double"), F.monotonically_increasing_id().alias("line"))
+    line = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select(F.col("RingNr").cast("int"), F.col("Radius").cast("double"), line.alias("line"))
 
 
 def read_frames(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -109,6 +114,14 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.withColumn("px", F.col("px").cast("array<float>")).write.partitionBy("srfac").parquet(path)
 
 
+def patches_info(cells: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Per patch: y00, z00, nr_pixels_in_patch (non-zero ones), patches_isum, n_peaks_in_patches. cells: patch_id, z00, y00,
+    v; peaks: patch_id, a row for each."""
+    sums = cells.groupBy("patch_id", "y00", "z00").agg(F.count_if(F.col("v") != 0).alias("nr_pixels_in_patch"), F.sum("v").alias("patches_isum"))
+    found = peaks.groupBy("patch_id").agg(F.count(F.lit(1)).alias("n"))
+    return sums.join(found, "patch_id", "left").withColumn("n_peaks_in_patches", F.coalesce("n", F.lit(0))).drop("n")
+
+
 def write_outputs(tables: dict[str, DataFrame], path: str, wanted: tuple[str, ...] = ()) -> None:
     """Optional intermediate tables: good_pixels, patches_info, sr_patches, drawn_frames."""
     for name in wanted:

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .io import SNAKE
+
 #: Numbers in a peak, bytes of a number.
 COLUMNS, WIDTH = 29, 8
 
 
 def pending_frames(frames: DataFrame, done: DataFrame) -> DataFrame:
-    """Frames without output yet."""
-    return frames.join(done.select("frame_id").distinct(), "frame_id", "left_anti")
+    """Frames without output yet, by scan where both sides name it."""
+    keys = [c for c in ("scan_id", "frame_id") if c in frames.columns and c in done.columns]
+    return frames.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 def resume(new_peaks: DataFrame, done_peaks: DataFrame) -> DataFrame:
-    """New peaks and those of earlier runs, if they have the full set of columns."""
-    return new_peaks.unionByName(done_peaks) if set(new_peaks.columns) <= set(done_peaks.columns) else new_peaks
+    """New peaks and those of earlier runs: scan_id and frame_id (where both have them) and the 29 columns. Earlier peaks
+    that lack one of the 29 aren't kept, and a warning says so; columns besides are left out."""
+    keys = [c for c in ("scan_id", "frame_id") if c in new_peaks.columns and c in done_peaks.columns]
+    lacking = [c for c in SNAKE if c not in done_peaks.columns]
+    if lacking:
+        warnings.warn(f"peaks of earlier runs lack {', '.join(lacking)} and are not kept", stacklevel=2)
+        return new_peaks.select(*keys, *SNAKE)
+    both = [df.select(*keys, *[F.col(c).cast("double").alias(c) for c in SNAKE]) for df in (new_peaks, done_peaks)]
+    return both[0].unionByName(both[1])
 
 
 def all_frames(frames: DataFrame, counts: DataFrame, name: str) -> DataFrame:

@@ -3,15 +3,16 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from diffspark.plans.queries import QUERIES, SQL
 
-NAMES = ["ring_summary", "spot_statistics", "corrected_pixels", "centroids", "top_peaks", "drawn_frames", "sampled_peaks", "error_statistics", "early_stops", "peak_file_index", "multires_cells"]
+NAMES = ["ring_summary", "spot_statistics", "corrected_pixels", "centroids", "top_peaks", "drawn_frames", "sampled_peaks", "error_statistics", "early_stops", "peak_file_index", "multires_cells", "oriented_spots", "local_maxima", "centres_of_mass", "reconstruction_errors"]
 
 
 def rows(df, columns):
-    out = [tuple(None if v is None or v != v else v for v in r) for r in df[columns].astype(object).values.tolist()]
+    out = [tuple(None if pd.isna(v) else v for v in r) for r in df[columns].astype(object).values.tolist()]
     return sorted(out, key=lambda t: tuple((x is None, x if x is not None else 0) for x in t))
 
 
