@@ -240,6 +240,15 @@ def split_regions(members: DataFrame, sets: DataFrame, level: int, percent: int)
     return cells.select(F.xxhash64("parent", "p").alias("s"), "*")
 
 
+def size_windows(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: s, v, label, n. Cells of each region by size, which is a distance from the empty text's side: partners' sizes
+    differ by a factor of 100 / percent at most, so they lie in the same band of that width or in two next to each other.
+    Returns s (of the cell), v, label, home: every set in its own band's cell, and in the window of the next one."""
+    band = F.floor(F.log("n") / F.lit(np.log(100 / percent) * (1 + 1e-6)))
+    each = rows.select("s", "v", "label", band.alias("band"), F.explode(F.array(F.lit(0), F.lit(1))).alias("up"))
+    return each.select(F.xxhash64("s", F.col("band") + F.col("up")).alias("s"), "v", "label", (F.col("up") == 0).alias("home"))
+
+
 def find_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """members: s, v, size. Returns a, b: links of all regions that join whatever is linked.
 
@@ -273,8 +282,9 @@ def find_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         large = None if rest.isEmpty() else rest.select("s", "v", "n", F.col("size").alias("total"))
         level += 1
     labels = stored(components(links).select("v", F.col("c").alias("known")), "jaccard-labels")
-    fits = stored(fits.join(small(labels), "v", "left").select("s", "v", F.coalesce("known", "label").alias("label")), "jaccard-regions")
-    several = fits.groupBy("s").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("s")
+    fits = fits.join(small(labels), "v", "left").join(sizes, "v").select("s", "v", F.coalesce("known", "label").alias("label"), "n")
+    fits = stored(size_windows(fits, percent), "jaccard-regions")
+    several = fits.groupBy("s").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("home").alias("home")).where("l0 <> l1 and home").select("s")
     left = fits.join(small(stored(several, "jaccard-several")), "s").join(sets.select("v", "shingles"), "v")
     return links.unionByName(stored(join_regions(left, percent), "jaccard-links"))
 
