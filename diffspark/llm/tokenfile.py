@@ -13,6 +13,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,6 +178,7 @@ def _encoder(path: str):
         library.no_padding()
         kind = np.dtype(np.uint16 if library.get_vocab_size() <= 1 << 16 else np.uint32)
         model, bytes_as_chars = library.model, str.maketrans({chr(b): c for b, c in enumerate(byte_chars())})
+        line_end = byte_chars()[10]
 
         def whole(texts: list[str]):
             for e in library.encode_batch_fast(texts, add_special_tokens=False):
@@ -186,14 +188,14 @@ def _encoder(path: str):
             """A blank and letters are one pre-token, for the model alone; the rest takes the library's whole way."""
             single = list(map(SINGLE.fullmatch, words))
             rest = whole([w for w, one in zip(words, single, strict=True) if not one])
-            for w, one in zip(words, single, strict=True):
-                if one:
-                    yield np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(bytes_as_chars))], kind).tobytes()
-                else:
-                    yield next(rest).tobytes()
+            bare = "\n".join([w for w, one in zip(words, single, strict=True) if one])  # none of them holds a line end
+            parts = iter(bare.encode().decode("latin-1").translate(bytes_as_chars).split(line_end))
+            tokenize, code = model.tokenize, kind.char
+            for one in single:
+                yield array(code, [t.id for t in tokenize(next(parts))]).tobytes() if one else next(rest).tobytes()
 
         special = [re.escape(t.content) for t in library.get_added_tokens_decoder().values()]
-        _encoders[path] = Memo(compute), whole, kind, "|".join([UNCUT, *special])
+        _encoders[path] = Memo(compute, limit=150_000_000), whole, kind, "|".join([UNCUT, *special])
     return _encoders[path]
 
 
