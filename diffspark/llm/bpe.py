@@ -1,20 +1,21 @@
 """BPE encoding and decoding by a segment tree over adjacent pair ranks.
 
-The leaves of a word's tree hold the ranks of its adjacent symbol pairs, every inner node the minimum of its children
+A file must name the parts that are built in here, else it is refused. The leaves of a word's tree hold the ranks of its adjacent symbol pairs, every inner node the minimum of its children
 (rank first, then position), so the root yields the leftmost pair of lowest rank. A merge changes three leaves, each
 updated along its path, and the tree is asked again until no mergeable pair remains. The trees of many words of like
 length are held side by side in one array and stepped together.
 
 Null and empty texts give no tokens. Repeated rows, null ids and extra columns are of no effect: every row is encoded
-for itself. Very long words only make a larger tree.
+for itself. A pair's rank always comes before those of the pairs that its merge makes, so in very long words all places
+of one rank are merged at once, ranks in order, with the same result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
 from .memo import Memo
 
 NONE = np.int64(1) << 60
-#: What the public word tokenizer names as its split pattern.
+#: The normalizer and the split pattern that the public word tokenizer's file names.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": PRETOKEN}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: ASCII and Latin letters, which every Unicode version takes alike; words with other characters are split by the library.
+PLAIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+#: Symbols from which on a word's equal merges are made together.
+LONG = 2048
 #: Characters that Python takes as white space but the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -54,6 +63,17 @@ class SegmentTreeBPE:
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in merges]
         suffix = spec["model"]["end_of_word_suffix"] or ""
+        unused = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+        parts = {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+        if spec["normalizer"] != NORMAL or spec["pre_tokenizer"] != parts or spec["decoder"] or spec["post_processor"] or any(spec["model"].get(k) for k in unused):
+            raise ValueError(f"{path} names other parts than this encoder has")
+        made = {x for c in byte_chars() for x in (c, c + suffix)}
+        if not made <= vocab.keys():
+            raise ValueError(f"{path} lacks bytes")
+        for a, b in merges:
+            if a not in made or b not in made or a + b in made:
+                raise ValueError(f"{path} lists merges out of order")
+            made.add(a + b)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_re = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         size = max([*vocab.values(), *self.special.values()]) + 1
@@ -62,13 +82,19 @@ class SegmentTreeBPE:
             self.token[i] = t
         self.id_text = [str(i) for i in range(size)]
         chars = byte_chars()
-        self.inner = np.array([vocab.get(c, -1) for c in chars], np.int64)
-        self.last = np.array([vocab.get(c + suffix, -1) for c in chars], np.int64)
+        self.inner = np.array([vocab[c] for c in chars], np.int64)
+        self.last = np.array([vocab[c + suffix] for c in chars], np.int64)
+        self.pair = np.array([(vocab[a], vocab[b]) for a, b in merges], np.int64)
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.pattern = regex.compile(PRETOKEN)
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normalize, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.byte_of = {c: b for b, c in enumerate(chars)}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of symbol pairs; NONE where there is no merge."""
@@ -124,12 +150,53 @@ class SegmentTreeBPE:
         live = sym >= 0
         return sym[live], live.sum(1)
 
+    def _merge_long(self, word: bytes) -> list[int]:
+        """Ids of one word: every rank that occurs is taken once, in order, and merged at all its places."""
+        sym = self.inner[np.frombuffer(word, np.uint8)]
+        n = len(sym)
+        sym[-1] = self.last[word[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def add(at: np.ndarray) -> None:
+            rank = self._rank(sym[at], sym[after[at]])
+            at, rank = at[rank < NONE], rank[rank < NONE]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cut = np.flatnonzero(np.diff(rank, prepend=-1))
+            for r, places in zip(rank[cut].tolist(), np.split(at, cut[1:]), strict=True) if len(cut) else ():
+                if r not in waiting:
+                    heapq.heappush(ranks, r)
+                waiting.setdefault(r, []).append(places)
+
+        add(np.arange(n - 1))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            left, right = self.pair[r]
+            at = at[(sym[at] == left) & (after[at] < n)]
+            at = at[sym[after[at]] == right]
+            if left == right and len(at):  # of overlapping places the first, third, ... are merged
+                new = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                run = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - run) % 2 == 0]
+            gone = after[at]
+            sym[at], sym[gone] = self.merged[r], -1
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at[inside]]] = at[inside]
+            add(np.unique(np.concatenate([before[at[before[at] >= 0]], at[inside]])))
+        return sym[sym >= 0].tolist()
+
     def pieces(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word, given in UTF-8; the words of one size class are merged together, in blocks."""
         out: list[list[int]] = [[]] * len(words)
         classes: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            if w:
+            if len(w) > LONG:
+                out[k] = self._merge_long(w)
+            elif w:
                 classes.setdefault(max(2, 1 << (len(w) - 1).bit_length()), []).append(k)
         for leaves, members in classes.items():
             step = max(1, 1_000_000 // leaves)
@@ -160,8 +227,8 @@ class SegmentTreeBPE:
         return out + self._plain(word[at:])
 
     def _plain(self, part: str) -> list[bytes]:
-        if not part.isascii():
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+        if not PLAIN.fullmatch(part):
+            return [bytes([self.byte_of[c] for c in piece]) for piece, _ in self.cut(self.normalize(part))]
         part = part.lower()
         return [part.encode()] if part.isalpha() else [x.encode() for x in self.pattern.findall(part)]
 
@@ -216,7 +283,7 @@ def bpe_encode_decode(
     """
     own = ["n_tokens", "ids_sha256", "decoded_sha256", *more]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in own and c != text]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(fresh("text", keep)))
     kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.list_(pa.int32()), "decoded": pa.string()}
     spark_kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": T.ArrayType(T.IntegerType()), "decoded": "string"}
 
@@ -226,7 +293,7 @@ def bpe_encode_decode(
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
                 rows: dict[str, list] = {c: [] for c in own}
-                for found in memo.values_of([words_of(t) for t in batch.column("__text").to_pylist()]):
+                for found in memo.values_of([words_of(t) for t in batch.column(len(keep)).to_pylist()]):
                     ids = " ".join([f[0] for f in found if f[0]])
                     decoded = " ".join([f[1] for f in found if f[0]])
                     rows["n_tokens"].append(ids.count(" ") + 1 if ids else 0)

@@ -60,6 +60,13 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that isn't taken (names differ without regard to case)."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 def n_words(text: str | Column) -> Column:
     """Number of words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
