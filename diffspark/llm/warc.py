@@ -28,9 +28,9 @@ DATE = "1970-01-01T00:00:00Z"  # no capture time in the rows; a fixed one keeps
 CRLF = b"\r\n"
 
 
-def record_id(row: str) -> str:
-    """A stable record identifier."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, row)}>"
+def record_id(page_id: int | None, digest: str, turn: int = 0) -> str:
+    """A record's identifier, the same in every run: of a page and its payload; turn counts rows that repeat both."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/{turn}')}>"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -149,6 +149,7 @@ def write_warc(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+        turns: dict[tuple, int] = {}  # of the bundle at hand
 
         def close() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_records": [len(held)], "file": [bundle(held, frame_bytes)]}, schema=BUNDLES)
@@ -157,16 +158,18 @@ def write_warc(
             for k in range(batch.num_rows):
                 pid, target, text, ref = (batch.column(c)[k].as_py() for c in range(4))
                 payload = text.encode()
-                rid = record_id(f"{part}/{seq}/{len(held)}/{pid}")
+                digest = payload_digest(payload)
+                turn = turns[pid, digest] = turns.get((pid, digest), -1) + 1
+                rid = record_id(pid, digest, turn)
                 extra = {"X-Page-ID": "" if pid is None else str(pid)}
                 if ref is not None:
-                    extra |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-ID": str(ref)}
-                data = record("response" if ref is None else "revisit", target, rid, payload_digest(payload), payload, extra)
+                    extra |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(ref, digest), "X-Refers-To-Page-ID": str(ref)}
+                data = record("response" if ref is None else "revisit", target, rid, digest, payload, extra)
                 held.append((rid, data))
                 size += len(data)
                 if size >= bundle_bytes:
                     yield close()
-                    held, size, seq = [], 0, seq + 1
+                    held, size, seq, turns = [], 0, seq + 1, {}
         if held:
             yield close()
 
