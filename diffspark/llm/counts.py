@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import words_of
+from .common import fresh
 from .memo import Memo
 
 CACHE = T.StructType([T.StructField("version", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
@@ -85,6 +86,7 @@ def token_counts(
                 )
 
     misses.mapInArrow(run, CACHE).write.mode("append").parquet(cache)
-    keyed = docs.select(*[F.col(f"`{c}`") for c in keep], F.octet_length(whole).cast("long").alias("n_bytes"), digest.alias("__digest"))
-    counts = cached(spark, cache, version).withColumnRenamed("digest", "__digest")
-    return keyed.join(counts, "__digest").select(*[F.col(f"`{c}`") for c in keep], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    key = fresh("digest", [*keep, *own])
+    keyed = docs.select(*[F.col(f"`{c}`") for c in keep], F.octet_length(whole).cast("long").alias("n_bytes"), digest.alias(key))
+    counts = cached(spark, cache, version).withColumnRenamed("digest", key)
+    return keyed.join(counts, key).select(*[F.col(f"`{c}`") for c in keep], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

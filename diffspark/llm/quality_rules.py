@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE
+from .common import WORD_RE, fresh
 
 #: (bytes below, least ratio, largest ratio), for whole texts and for chunks. Texts below 128 bytes hardly compress,
 #: whatever they say. The least ratios lie above base64 of random bytes from 128 bytes on and above hex from 2048 bytes
@@ -97,7 +97,7 @@ def compression_bands(docs: DataFrame, *, text: str = "text", keep: list[str] |
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     own = [*counts, "base_failed", "ratio", "chunks_odd", "kept"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(fresh("text", keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=level).compress
@@ -105,7 +105,7 @@ def compression_bands(docs: DataFrame, *, text: str = "text", keep: list[str] |
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 rows = []
-                for t in batch.column("__text").to_pylist():
+                for t in batch.column(len(keep)).to_pylist():
                     b = base(t)
                     failed = b[0] < 20 or 100 * b[4] > 30 * b[0]
                     ratio, odd, good = verdict(t.encode(), pack)

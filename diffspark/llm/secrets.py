@@ -15,6 +15,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: (kind, pattern, group that must be long enough, its least length), in order. The first three are the base rules.
 RULES = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -100,10 +102,12 @@ def update_ledger(docs: DataFrame, ledger: str, *, text: str = "text") -> DataFr
 def find_secrets(docs: DataFrame, ledger: str, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns named in keep (by default all) and spans: array of (start, kind number, end) for every row of docs."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
-    found = update_ledger(docs, ledger, text=text).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    paths = docs.select(*[F.col(f"`{c}`") for c in keep], blob_of(text).alias("__blob"))
+    blob = fresh("blob", keep)
+    own = fresh("found", [*keep, blob])
+    found = update_ledger(docs, ledger, text=text).select(F.col("blob").alias(blob), F.col("spans").alias(own))
+    paths = docs.select(*[F.col(f"`{c}`") for c in keep], blob_of(text).alias(blob))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return paths.join(found, "__blob", "left").select(*[F.col(f"`{c}`") for c in keep], F.coalesce("__spans", none).alias("spans"))
+    return paths.join(found, blob, "left").select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{own}`"), none).alias("spans"))
 
 
 def span_digest(spans: Column) -> Column:
