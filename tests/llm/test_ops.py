@@ -12,7 +12,7 @@ import pytest
 import zstandard
 from tokenizers import Tokenizer
 
-from diffspark.llm import bpe, common, counts, jaccard, kneser_ney, mix, quality_rules, secrets, tokenfile, topk, warc
+from diffspark.llm import bpe, common, counts, jaccard, mix, quality_rules, secrets, tokenfile, topk, warc
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 rng = random.Random(3)
@@ -135,19 +135,6 @@ def test_jaccard_groups(docs):
     assert got[0].n_shingles == 0 and got[4].n_shingles == 1 and got[1].component_id == 1
 
 
-def test_kneser_ney_sums_to_one(spark):
-    texts = ["abab", "abc", "bca", "cab abc"]
-    rows = spark.createDataFrame([(True, t) for t in texts] + [(False, "zz")], "trusted boolean, __text string")
-    model = kneser_ney.probabilities(kneser_ney.gram_counts(rows)).collect()
-    by_context = {}
-    for r in model:
-        assert 0 < r.p <= 1
-        by_context.setdefault((r.g & (2**64 - 1)) >> 16, []).append(r.p)
-    assert max(map(sum, by_context.values())) <= 1 + 1e-9
-    scored = kneser_ney.log_likelihood(rows, spark.createDataFrame(model), ["trusted"])
-    assert scored.count() == 5 and {r.n_chars for r in scored.collect()} == {5, 4, 8, 3}
-
-
 def test_mix_meets_targets(spark):
     rows = [(k, " ".join(["w"] * (k % 7 + 1)), ["b", "a", None, "c"][k % 4]) for k in range(400)] + [(999, None, "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
