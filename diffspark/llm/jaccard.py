@@ -167,19 +167,20 @@ def sets_of(texts: DataFrame, width: int) -> DataFrame:
 
 
 def neighbourhoods(sets: DataFrame, percent: int) -> DataFrame:
-    """s, v, size: the sets that meet at shingle s, one of several s with the same sets, of all with two sets at least.
-
-    A set goes to its A + 1 rarest shingles; those that no other set has take their places among these without a row.
+    """s, v, size, pos: the sets that meet at shingle s, of all s with two sets at least; of several s with the same sets
+    the first in order. A set goes to its A + 1 rarest shingles, of which s is number pos, from 0; those that no other set
+    has come first, without a row.
     """
     each = sets.select("v", "n", F.explode("shingles").alias("s"))
     counts = each.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     n = F.col("n")
     places = n + F.floor(-n * percent / 100).cast("long") + 1 - (n - F.size("near"))
     rows = each.join(counts, "s").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("near")).where(places > 0)
-    members = stored(rows.select("v", F.explode(F.transform(F.slice("near", F.lit(1), places.cast("int")), lambda x: x["s"])).alias("s")), "jaccard-members")
-    alike = members.groupBy("s").agg(F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.xxhash64(F.lit(k), "v")).alias(f"x{k}") for k in (0, 1)])
-    one = stored(alike.where("size > 1").groupBy("size", "x0", "x1").agg(F.min("s").alias("s")).select("s", "size"), "jaccard-unlike")
-    return members.join(small(one), "s").select("s", "v", "size")
+    rows = rows.select("v", (n - F.size("near")).alias("alone"), F.posexplode(F.slice("near", F.lit(1), places.cast("int"))).alias("at", "x"))
+    members = stored(rows.select("v", F.col("x.s").alias("s"), F.col("x.k").alias("k"), (F.col("alone") + F.col("at")).alias("pos")), "jaccard-members")
+    alike = members.groupBy("s").agg(F.first("k").alias("k"), F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.xxhash64(F.lit(k), "v")).alias(f"x{k}") for k in (0, 1)])
+    one = alike.where("size > 1").groupBy("size", "x0", "x1").agg(F.min(F.struct("k", "s")).alias("first")).select(F.col("first.s").alias("s"), "size")
+    return members.join(small(stored(one, "jaccard-unlike")), "s").select("s", "v", "size", "pos")
 
 
 def join_regions(rows: DataFrame, percent: int) -> DataFrame:
@@ -249,8 +250,20 @@ def size_windows(rows: DataFrame, percent: int) -> DataFrame:
     return each.select(F.xxhash64("s", F.col("band") + F.col("up")).alias("s"), "v", "label", (F.col("up") == 0).alias("home"))
 
 
+def _may_link(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: s, v, label, n, pos. Without those that can't be linked to a set of another class whose first shingle in common
+    s is: with pos shingles before s each, none in common, the union has at least n plus the other's pos, the intersection
+    n less the own pos at most. Pairs with an earlier one in common meet there."""
+    low = stored(rows.groupBy("s", "label").agg(F.min("pos").alias("p")), "jaccard-first-places")
+    best = low.groupBy("s").agg(F.min(F.struct("p", "label")).alias("best"))
+    other = low.join(small(best), "s").where(F.col("label") != F.col("best.label")).groupBy("s", "best").agg(F.min("p").alias("p2"))
+    both = rows.join(small(stored(other, "jaccard-others")), "s")
+    least = F.when(F.col("label") == F.col("best.label"), F.col("p2")).otherwise(F.col("best.p"))
+    return both.where(100 * (F.col("n") - F.col("pos")) >= percent * (F.col("n") + least)).select(*rows.columns)
+
+
 def find_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members: s, v, size. Returns a, b: links of all regions that join whatever is linked.
+    """members: s, v, size, pos. Returns a, b: links of all regions that join whatever is linked.
 
     Regions overlap, so those come first that are the largest one of any of their sets; of the others only those that
     still hold several classes are joined.
@@ -261,7 +274,7 @@ def find_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     fits = members.join(small(total), "s", "left_anti")
     first = stored(fits.groupBy("v").agg(F.max(F.struct("size", "s")).alias("k")).select(F.col("k.s").alias("s")).distinct(), "jaccard-first")
     links = stored(join_regions(fits.join(small(first), "s", "left_semi").select("s", "v", F.col("v").alias("label")).join(sets.select("v", "shingles"), "v"), percent), "jaccard-links")
-    fits, level = fits.join(small(first), "s", "left_anti").select("s", "v", F.col("v").alias("label")), 0
+    fits, level = fits.join(small(first), "s", "left_anti").select("s", "v", F.col("v").alias("label"), "pos"), 0
     large = members.join(small(total), "s") if not total.isEmpty() else None
     while large is not None:
         cells = stored(split_regions(large.select("s", "v"), sets, level, percent), "jaccard-cells")
@@ -272,18 +285,18 @@ def find_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         of = rows.groupBy("s", "parent").agg(F.sum("n").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
         of = stored(of.join(large.groupBy(F.col("s").alias("parent")).agg(F.max("total").alias("total")), "parent"), "jaccard-cell-sizes").drop("parent", "l0", "l1")
         rows = stored(rows.select("s", "v", "n", "label").join(small(of), "s"), "jaccard-cells")
-        fits = fits.unionByName(rows.where(F.col("size") <= BOUND).select("s", "v", "label"))
+        fits = fits.unionByName(rows.where(F.col("size") <= BOUND).select("s", "v", "label", F.lit(0).cast("long").alias("pos")))
         # what windows leave nearly whole is compared by pairs of blocks, each of bounded size
         blocks = F.ceil(2 * F.col("size") / BOUND).cast("int")
         own = F.pmod(F.xxhash64("v"), blocks).cast("int")
         whole = rows.where((F.col("size") > BOUND) & (F.col("size") > 0.8 * F.col("total"))).select("s", "v", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        fits = fits.unionByName(whole.select(F.xxhash64("s", F.least("own", "other"), F.greatest("own", "other")).alias("s"), "v", "label"))
+        fits = fits.unionByName(whole.select(F.xxhash64("s", F.least("own", "other"), F.greatest("own", "other")).alias("s"), "v", "label", F.lit(0).cast("long").alias("pos")))
         rest = rows.where((F.col("size") > BOUND) & (F.col("size") <= 0.8 * F.col("total")))
         large = None if rest.isEmpty() else rest.select("s", "v", "n", F.col("size").alias("total"))
         level += 1
     labels = stored(components(links).select("v", F.col("c").alias("known")), "jaccard-labels")
-    fits = fits.join(small(labels), "v", "left").join(sizes, "v").select("s", "v", F.coalesce("known", "label").alias("label"), "n")
-    fits = stored(size_windows(fits, percent), "jaccard-regions")
+    fits = fits.join(small(labels), "v", "left").join(sizes, "v").select("s", "v", F.coalesce("known", "label").alias("label"), "n", "pos")
+    fits = stored(size_windows(_may_link(stored(fits, "jaccard-regions"), percent), percent), "jaccard-regions")
     several = fits.groupBy("s").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("home").alias("home")).where("l0 <> l1 and home").select("s")
     left = fits.join(small(stored(several, "jaccard-several")), "s").join(sets.select("v", "shingles"), "v")
     return links.unionByName(stored(join_regions(left, percent), "jaccard-links"))
