@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable
 
 #: About what an entry takes besides its characters.
@@ -35,6 +36,12 @@ class Memo(dict):
             self.old, self.held = dict(self), 0
             self.clear()
         new = [w for w in absent if w not in self.old]
-        added = {w: self.old[w] for w in absent if w in self.old} | dict(zip(new, self.compute(new), strict=True))
+        collects = gc.isenabled()
+        gc.disable()  # many small objects without cycles: the collector would only walk through them
+        try:
+            added = {w: self.old[w] for w in absent if w in self.old} | dict(zip(new, self.compute(new), strict=True))
+        finally:
+            if collects:
+                gc.enable()
         self.held += ENTRY * len(added) + sum(map(len, added)) + sum(map(self.size, added.values()))
         self.update(added)

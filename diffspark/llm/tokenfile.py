@@ -45,12 +45,12 @@ class WaveletMatrix:
         v = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, zeros = [], []
         for b in range(bits - 1, -1, -1):
-            one = (v >> b & 1).astype(bool)
+            one = (v & v.dtype.type(1 << b)) != 0
             packed = np.packbits(one, bitorder="little")
             planes.append(np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view("<u8"))
-            low = v[~one]
+            low = np.flatnonzero(~one)  # places are faster to gather by than flags
             zeros.append(len(low))
-            v = np.concatenate([low, v[one]])
+            v = v[np.concatenate([low, np.flatnonzero(one)])]
         return cls(n, bits, planes, zeros)
 
     @staticmethod
@@ -123,8 +123,8 @@ class WaveletMatrix:
         for k in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[k].view(np.uint8), count=self.n, bitorder="little").view(bool)
             z, up = self.zeros[k], np.empty_like(v)
-            up[~one] = v[:z]
-            up[one] = v[z:] | v.dtype.type(1 << (self.bits - 1 - k))
+            up[np.flatnonzero(~one)] = v[:z]
+            up[np.flatnonzero(one)] = v[z:] | v.dtype.type(1 << (self.bits - 1 - k))
             v = up
         return v
 
@@ -163,7 +163,8 @@ UNCUT = r"[ \n]{2}|[ \n]\z|[\x01\t\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a
 #: Latin letters, which every Unicode version takes as such; a blank and these are one pre-token, and a sign after a letter
 #: begins the next.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-SINGLE = re.compile(f" ?[{LETTERS}]+")
+SIGNS = ".,;:!?"
+SINGLE = re.compile(f"( ?[{LETTERS}]+)([{SIGNS}]?)")
 _encoders: dict[str, tuple] = {}
 
 
@@ -185,25 +186,32 @@ def _encoder(path: str):
                 yield np.array(e.ids, kind)
 
         def compute(words: list[str]):
-            """A blank and letters are one pre-token, for the model alone; the rest takes the library's whole way."""
-            single = list(map(SINGLE.fullmatch, words))
-            rest = whole([w for w, one in zip(words, single, strict=True) if not one])
-            bare = "\n".join([w for w, one in zip(words, single, strict=True) if one])  # none of them holds a line end
-            parts = iter(bare.encode().decode("latin-1").translate(bytes_as_chars).split(line_end))
+            """A blank and letters are one pre-token, for the model alone, a sign behind them another; the rest takes the
+            library's whole way."""
+            found = list(map(SINGLE.fullmatch, words))
+            rest = whole([w for w, m in zip(words, found, strict=True) if not m])
+            bare = {m[1] for m in found if m}
+            ids = {w: memo.get(w) or memo.old.get(w) for w in bare}
+            new = [w for w, v in ids.items() if v is None]
+            parts = "\n".join(new).encode().decode("latin-1").translate(bytes_as_chars).split(line_end)  # none holds a line end
             tokenize, code = model.tokenize, kind.char
-            for one in single:
-                yield array(code, [t.id for t in tokenize(next(parts))]).tobytes() if one else next(rest).tobytes()
+            for w, part in zip(new, parts, strict=False):
+                ids[w] = array(code, [t.id for t in tokenize(part)]).tobytes()
+            for m in found:
+                yield (ids[m[1]] + sign[m[2]] if m[2] else ids[m[1]]) if m else next(rest).tobytes()
 
         special = [re.escape(t.content) for t in library.get_added_tokens_decoder().values()]
-        _encoders[path] = Memo(compute, limit=150_000_000), whole, kind, "|".join([UNCUT, *special])
+        sign = {c: next(whole([c])).tobytes() for c in SIGNS}
+        memo = Memo(compute, limit=150_000_000)
+        _encoders[path] = memo, whole, kind, "|".join([UNCUT, *special])
     return _encoders[path]
 
 
 def encode_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
     """Ids of the whole texts of a string column.
 
-    Words repeat, so a text is cut where the split pattern always cuts: before a blank that a word follows, around single
-    line ends, and between letter and sign. Texts with longer runs of white space or special strings go whole.
+    Words repeat, so a text is cut where the split pattern always cuts: before a blank that a word follows and around single
+    line ends. Texts with longer runs of white space or special strings go whole.
     """
     memo, whole, kind, uncut = _encoder(path)
     out: list[np.ndarray | None] = [None] * len(texts)
@@ -214,7 +222,7 @@ def encode_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
     at = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
     if len(at):
         marked = pc.replace_substring(pc.replace_substring(texts.take(at), " ", "\x01 "), "\n", "\x01\n\x01")
-        cut = pc.split_pattern(pc.replace_substring_regex(marked, f"([{LETTERS}])([.,;:!?])", "\\1\x01\\2"), "\x01")
+        cut = pc.split_pattern(marked, "\x01")
         words = cut.flatten().dictionary_encode()
         values = memo.values_of([words.dictionary.to_pylist()])[0]
         flat, size = np.frombuffer(b"".join(values), kind), np.array([len(v) for v in values]) // kind.itemsize
