@@ -40,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("tokens", tokens)]
 
-#: SQL can't express the language model, the hash-based mix or the encoder; tests hold the stages against brute force.
+#: SQL can't express the language model, the hash-based mix or the encoder; tests/llm/test_pipeline.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 
