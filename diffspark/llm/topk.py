@@ -98,6 +98,7 @@ class Best:
         self.ids, self.q, self.d, self.k = ids, q, d, k
         self.norm = (q * q).sum(1)
         self.top: list[list[tuple[int, int]]] = [[] for _ in ids]
+        self.seen = self.evaluated = 0  # candidates met, and those whose score was worked out
 
     def search(self, ids: np.ndarray, v: np.ndarray, d: np.ndarray) -> None:
         norm = (v * v).sum(1)
@@ -107,6 +108,7 @@ class Best:
             high = (norm + self.norm[n] - low * low) / 2 + slack
             top = self.top[n]
             floor = top[-1][0] if len(top) == self.k else None
+            self.seen += len(ids)
             left = np.flatnonzero((ids != qid) if floor is None else (ids != qid) & (high >= floor))
             order = left[np.argsort(-high[left], kind="stable")]
             for lo in range(0, len(order), STEP):
@@ -114,6 +116,7 @@ class Best:
                 if len(top) == self.k and high[at[0]] < top[-1][0]:
                     break
                 score = _scores(v[at], q)
+                self.evaluated += len(at)
                 if len(at) > self.k:  # what can't be among the k best of this step, ties kept
                     keep = score >= np.partition(score, len(score) - self.k)[len(score) - self.k]
                     at, score = at[keep], score[keep]
