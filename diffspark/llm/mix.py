@@ -227,7 +227,9 @@ def assigned(sized: DataFrame, decisions: dict[str, DataFrame]) -> DataFrame:
 
 
 def mix_report(docs: DataFrame, *, keep: list[str], **options) -> DataFrame:
-    """Per row of docs: the columns in keep, size, source_size, target, taken (words the mix takes), shards."""
+    """Per row of docs: the columns in keep, size, source_size, target, taken (words the mix takes), shards. Columns in keep
+    with the names of results give way."""
+    keep = [c for c in keep if c not in ("size", "source_size", "target", "taken", "shards")]
     rows = assigned(*plan_mix(docs, **options))
     taken = F.col("__size") * F.size("__shards")
     return rows.select(*[F.col(f"`{c}`") for c in keep], F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("taken"), F.col("__shards").alias("shards"))

@@ -83,8 +83,9 @@ def update_ledger(docs: DataFrame, ledger: str, *, text: str = "text") -> DataFr
     """Scans the blobs of docs that the ledger doesn't hold for these rules, appends them, and returns the findings by
     blob (blobs without any have no row).
 
-    Equal texts meet by partial aggregation before the one shuffle, so a hot blob costs one row a task. What is known
-    is taken off before that shuffle.
+    Equal texts meet by partial aggregation before the one shuffle, so a hot blob costs one row a task. Known blobs are
+    taken off before that shuffle while the ledger's addresses can be sent to every executor; a larger ledger meets the
+    texts in a shuffle by address, which the aggregation then goes on with.
     """
     spark = docs.sparkSession
     texts = docs.select(blob_of(text).alias("blob"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
