@@ -71,7 +71,7 @@ def test_against_all_pairs(spark):
     assert got(df) == brute(ROWS)
 
 
-@pytest.mark.parametrize("bound", [3000, 300])
+@pytest.mark.parametrize("bound", [300])
 def test_regions_split_by_spark(spark, monkeypatch, bound):
     """Regions beyond the bound go through cells of pivots, and what windows leave whole through pairs of blocks."""
     monkeypatch.setattr(jaccard, "BOUND", bound)
