@@ -52,7 +52,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it back, so that a lost executor loses nothing."""
     path = shared_dir(df.sparkSession, name)
     write(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Empties tables made by stored() that nothing reads any more."""
+    for df in tables:
+        df.sparkSession.range(0).write.mode("overwrite").parquet(df.stored_path)
 
 
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
