@@ -35,13 +35,16 @@ class Memo(dict):
         if self.held > self.limit:
             self.old, self.held = dict(self), 0
             self.clear()
-        new = [w for w in absent if w not in self.old]
+        again = {w: v for w, v in zip(absent, map(self.old.get, absent), strict=True) if v is not None} if self.old else {}
+        new = [w for w in absent if w not in again]
         collects = gc.isenabled()
         gc.disable()  # many small objects without cycles: the collector would only walk through them
         try:
-            added = {w: self.old[w] for w in absent if w in self.old} | dict(zip(new, self.compute(new), strict=True))
+            values = list(self.compute(new))
         finally:
             if collects:
                 gc.enable()
-        self.held += ENTRY * len(added) + sum(map(len, added)) + sum(map(self.size, added.values()))
-        self.update(added)
+        self.update(zip(new, values, strict=True))
+        self.update(again)
+        for words, found in ((new, values), (again, again.values())):
+            self.held += ENTRY * len(words) + sum(map(len, words)) + sum(map(self.size, found))

@@ -198,7 +198,11 @@ def _encoder(path: str):
             for w, part in zip(new, parts, strict=False):
                 ids[w] = array(code, [t.id for t in tokenize(part)]).tobytes()
             for m in found:
-                yield (ids[m[1]] + sign[m[2]] if m[2] else ids[m[1]]) if m else next(rest).tobytes()
+                if not m:
+                    yield next(rest).tobytes()
+                else:
+                    w, after = m.groups()
+                    yield ids[w] + sign[after] if after else ids[w]
 
         special = [re.escape(t.content) for t in library.get_added_tokens_decoder().values()]
         sign = {c: next(whole([c])).tobytes() for c in SIGNS}
@@ -261,8 +265,8 @@ def write_token_files(
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_docs": [len(ids)], "n_tokens": [total], "file": [data]}, schema=FILES)
 
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
+            for lo in range(0, whole.num_rows, 4096):
+                batch = whole.slice(lo, 4096)
                 for d, found in zip(batch.column("doc_id").to_pylist(), encode_texts(batch.column("text"), path), strict=True):
                     ids.append(d)
                     parts.append(np.append(found, found.dtype.type(end_id)))
