@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_encode_decode
 from .common import shared_dir, table
 from .counts import token_counts
+from .importance import importance_resample
 from .jaccard import link_report
 from .kneser_ney import classify
 from .mix import mix_report
@@ -15,7 +17,9 @@ from .quality_rules import compression_bands
 from .secrets import secret_report
 from .tokenfile import read_token_files, write_token_files
 from .topk import exact_top_k
+from .toxicity import toxicity
 from .warc import read_warc, write_warc
+from .whitening import whiten
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +73,47 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), shared_dir(spark, "counts"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_top_k, op3_token_files, op4_compression_bands, op5_secret_scan, op6_warc, op7_kneser_ney, op8_jaccard_join, op9_bpe, op10_token_counts)}
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws 5 % of the documents of at least 20 words towards the benchmark's n-grams."""
+    rows = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"], percent=5, least_words=20)
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 16 components of all distinct vectors."""
+    return whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic from a score of 0.7 on."""
+    rows = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"], limit=0.7)
+    return rows.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_top_k, op3_token_files, op4_compression_bands, op5_secret_scan, op6_warc, op7_kneser_ney, op8_jaccard_join, op9_bpe, op10_token_counts, op11_importance_resample, op12_whiten, op13_toxicity)}
 
 ORACLE_SQL = {
+    "op11_importance_resample": r""""
+WITH RECURSIVE byte_step AS (SELECT i, 0 AS k, i::UINTEGER AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, (CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END)::UINTEGER FROM byte_step WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM byte_step WHERE k = 8),
+texts AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+words AS (SELECT kind, id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (SELECT kind, id, r, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM (SELECT kind, id, r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, range(1, 4) o(n))),
+grams AS (SELECT kind, id, r, g, count(*) AS k FROM runs GROUP BY ALL),
+bucket AS (SELECT g, CAST(xor(list_reduce(list_prepend(4294967295::UINTEGER, list_transform(range(1, strlen(g) + 1), lambda j: ('0x' || substr(hex(encode(g)), 2 * j - 1, 2))::UINTEGER)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])::UINTEGER), 4294967295::UINTEGER) % 10000 AS INTEGER) AS b
+  FROM (SELECT DISTINCT g FROM grams), tab),
+counts AS (SELECT b, sum(k) FILTER (kind = 0) AS s, sum(k) FILTER (kind = 1) AS t FROM grams JOIN bucket USING (g) GROUP BY b),
+gain AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (total_s + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (total_t + 10000)))) AS BIGINT) AS gain
+  FROM counts, (SELECT coalesce(sum(s), 0)::DOUBLE AS total_s, coalesce(sum(t), 0)::DOUBLE AS total_t FROM counts)),
+weight AS (SELECT r, sum(k * gain) AS w, sum(k) AS n FROM grams JOIN bucket USING (g) JOIN gain USING (b) WHERE kind = 0 GROUP BY r),
+scored AS (SELECT id AS doc_id, len(words.w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight.w, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight.w, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM words LEFT JOIN weight USING (r) WHERE kind = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM placed""",
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS f FROM p),
