@@ -93,7 +93,7 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_top_k, op3_token_files, op4_compression_bands, op5_secret_scan, op6_warc, op7_kneser_ney, op8_jaccard_join, op9_bpe, op10_token_counts, op11_importance_resample, op12_whiten, op13_toxicity)}
 
 ORACLE_SQL = {
-    "op11_importance_resample": r""""
+    "op11_importance_resample": r"""
 WITH RECURSIVE byte_step AS (SELECT i, 0 AS k, i::UINTEGER AS c FROM range(256) t(i)
   UNION ALL SELECT i, k + 1, (CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END)::UINTEGER FROM byte_step WHERE k < 8),
 tab AS (SELECT list(c ORDER BY i) AS tab FROM byte_step WHERE k = 8),

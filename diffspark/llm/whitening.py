@@ -99,7 +99,7 @@ def refined_eigh(a: np.ndarray, steps: int = 12) -> tuple[np.ndarray, np.ndarray
     """Eigenvalues (falling) and unit eigenvectors of a symmetric matrix in extended precision.
 
     Starts from float32 eigenvectors. A step has four matrix products; it stops once corrections are below the precision
-    or no longer shrink. Eigenvalues that agree to that precision have any orthonormal basis of their space.
+    or no longer halve. Eigenvalues that agree to that precision have any orthonormal basis of their space.
     """
     scale = HIGH(np.abs(a).max())
     if not scale > 0:
@@ -108,7 +108,7 @@ def refined_eigh(a: np.ndarray, steps: int = 12) -> tuple[np.ndarray, np.ndarray
     x = np.linalg.eigh(a.astype(np.float32))[1].astype(HIGH)
     one, last = np.eye(len(a), dtype=HIGH), np.inf
     size = np.linalg.norm(a.astype(float), 2)
-    for _ in range(steps):
+    for step in range(steps):
         r = one - x.T @ x
         s = x.T @ a @ x
         e = np.diag(s) / (1 - np.diag(r))
@@ -116,15 +116,15 @@ def refined_eigh(a: np.ndarray, steps: int = 12) -> tuple[np.ndarray, np.ndarray
         near = 2 * (np.linalg.norm(off.astype(float), 2) + size * np.linalg.norm(r.astype(float), 2))
         gap = e[None, :] - e[:, None]
         apart = np.abs(gap) > near
-        change = np.where(apart, (s + e[None, :] * r) / np.where(apart, gap, 1), r / 2)
-        np.fill_diagonal(change, np.diag(r) / 2)
+        turn = (s + s.T) / 2 + (e[None, :] + e[:, None]) / 2 * r  # symmetric, so that over the gaps it keeps X orthonormal
+        change = r / 2 + np.where(apart, turn / np.where(apart, gap, 1), 0)
         x = x + x @ change
         for c in _clusters(e, near):  # the shifted problem of a cluster has small entries, so doubles tell its values apart
             own = x[:, c]
             small = own.T @ (a @ own - e[c].mean() * own)
             x[:, c] = own @ np.linalg.eigh(((small + small.T) / 2).astype(float))[1].astype(HIGH)
         now = float(np.abs(change).max())
-        if now < 1e-17 or now >= last and now < 1e-12:
+        if now < 1e-17 or step > 1 and now >= last / 2:
             break
         last = now
     x = x + x @ (one - x.T @ x) / 2
