@@ -21,15 +21,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, stored
-from .memo import Memo
 
-#: A word, or what ends a sentence.
-TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
+#: A word (letters a-z in either case and all characters beyond ASCII), or what ends a sentence.
+TOKEN = re.compile(r"[A-Za-z\x80-\U0010FFFF]+|[.!?\n]+")
+#: Bytes of lower-case text with a dot for what ends sentences and a space for all else that isn't part of a word.
+NORMAL = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x2E if b in b".!?\n" else 0x20 for b in range(256))
+SENTENCE = re.compile(rb"[^ .][^.]*")
 #: Letters in a stem.
 STEMS = range(3, 9)
 #: Entries of a task's counts that are held before they are sent on.
 HELD = 400_000
-END = (-1,)
+#: Words whose terms a worker remembers.
+KNOWN = 500_000
 
 
 def terms_of(word: str) -> list[str]:
@@ -37,6 +40,15 @@ def terms_of(word: str) -> list[str]:
     return [word, *[f"{word[:k]}-" for k in STEMS if k < len(word)]]
 
 
+def normal(text: str) -> bytes:
+    return text.lower().encode().translate(NORMAL)
+
+
+def words_in(text: str) -> set[str]:
+    """The different words of a text."""
+    return {w.decode() for w in set(normal(text).replace(b".", b" ").split())}
+
+
 def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
     """start, end and lower-case words of every sentence that holds words."""
     start, end, words = 0, 0, []
@@ -69,7 +81,7 @@ def labelled_sample(labels: DataFrame, doc_id: str, label: str, most: int) -> Da
 
 def _signature(text: str) -> int:
     """The least hash of a text's words: near copies share it more often than not."""
-    return min((xxhash.xxh64_intdigest(w) for w in set(TOKEN.findall(text.lower()))), default=0) - (1 << 63)
+    return min(map(xxhash.xxh64_intdigest, set(normal(text).replace(b".", b" ").split())), default=0) - (1 << 63)
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, most: int) -> DataFrame:
@@ -103,7 +115,7 @@ def choose_terms(train: DataFrame, n_terms: int, least_docs: int, least_gain: fl
 
         for batch in batches:
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text"), strict=True):
-                for term in {t for w in set(TOKEN.findall(text.as_py().lower())) for t in terms_of(w)}:
+                for term in {t for w in words_in(text.as_py()) for t in terms_of(w)}:
                     held.setdefault(term, [0, 0])[toxic] += 1
                 if len(held) > HELD:
                     yield sent()
@@ -127,50 +139,63 @@ def choose_terms(train: DataFrame, n_terms: int, least_docs: int, least_gain: fl
     return sorted((r.term, r.odds) for r in best)
 
 
+class Known(dict):
+    """word -> numbers of its terms, none for most; worked out when first asked for."""
+
+    def __init__(self, terms: dict[str, int]):
+        super().__init__()
+        self.terms = terms
+
+    def __missing__(self, word: bytes) -> tuple[int, ...] | None:
+        found = tuple(k for k in map(self.terms.get, terms_of(word.decode())) if k is not None) or None
+        self[word] = found
+        return found
+
+
 @dataclass
 class Model:
-    """bias and the weight of every term; a word's terms are looked up once and remembered."""
+    """bias and the weight of every term."""
 
     terms: dict[str, int]
     weights: np.ndarray
     bias: float
 
     def patterns(self, texts: list[str]) -> list[tuple[int, Counter]]:
-        """For each text the number of sentences without telling terms, and the sets of terms of the others, counted."""
-        found = self.memo().values_of([TOKEN.findall(t.lower()) for t in texts])
+        """For each text the number of sentences without telling terms, and the sets of terms of the others, counted.
+        Texts without any telling term are not taken apart."""
+        known = self.__dict__.setdefault("known", Known(self.terms))
+        if len(known) > KNOWN:
+            known.clear()
         out = []
-        for values in found:
-            plain, sets, own, words = 0, Counter(), [], 0
-            for v in [*values, END]:
-                if v is END or v == END:
-                    if own:
-                        sets[tuple(sorted(set(own)))] += 1
-                    elif words:
-                        plain += 1
-                    own, words = [], 0
-                else:
-                    words = 1
-                    if v:
-                        own += v
+        for text in texts:
+            data = normal(text)
+            if not any(map(known.__getitem__, data.replace(b".", b" ").split())):
+                out.append((len(SENTENCE.findall(data)), Counter()))
+                continue
+            plain, sets = 0, Counter()
+            for words in map(bytes.split, data.split(b".")):
+                if own := {k for v in map(known.__getitem__, words) if v for k in v}:
+                    sets[tuple(sorted(own))] += 1
+                elif words:
+                    plain += 1
             out.append((plain, sets))
         return out
 
-    def memo(self) -> Memo:
-        if not hasattr(self, "_memo"):
-            find = self.terms.get
-            self._memo = Memo(lambda words: [END if w[0] in ".!?\n" else tuple(k for k in map(find, terms_of(w)) if k is not None) for w in words])
-        return self._memo
-
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_memo"}
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
 
     def sentence_score(self, ids) -> float:
         return float(1 / (1 + np.exp(-(self.bias + self.weights[list(ids)].sum()))))
 
+    def judged(self, plain: int, sets: Counter) -> tuple[float, float]:
+        """Noisy-or of a text's sentences, and the highest score of a sentence with telling terms. A text without
+        sentences has none that offends."""
+        z = [self.bias, *[self.bias + sum(map(self.weights.__getitem__, s)) for s in sets]]
+        total = float(np.logaddexp(0, z) @ [plain, *sets.values()])
+        return float(-np.expm1(-total)), float(1 / (1 + np.exp(-max(z[1:]))) if sets else 0.0)
+
     def score(self, plain: int, sets: Counter) -> float:
-        """Noisy-or of a text's sentences; a text without sentences has none that offends."""
-        z = np.array([self.bias, *[self.bias + self.weights[list(s)].sum() for s in sets]])
-        return float(-np.expm1(-(np.logaddexp(0, z) * np.array([plain, *sets.values()])).sum()))
+        return self.judged(plain, sets)[0]
 
     def offending(self, text: str, least: float) -> list[tuple[int, int, float]]:
         """start, end and score of the sentences whose own score reaches least."""
@@ -261,8 +286,9 @@ def toxicity(
                 batch = big.slice(lo, 256)
                 texts = batch.column(len(keep) + 1).to_pylist()
                 found = model.patterns(texts)
-                score = np.array([model.score(*f) for f in found])
-                where = [model.offending(t, sentence_limit) if sets else [] for t, (_, sets) in zip(texts, found, strict=True)]
+                judged = [model.judged(*f) for f in found]
+                score = np.array([s for s, _ in judged])
+                where = [model.offending(t, sentence_limit) if worst >= sentence_limit else [] for t, (_, worst) in zip(texts, judged, strict=True)]
                 where = [[dict(zip(("start", "end", "score"), s, strict=True)) for s in w] for w in where]
                 arrays = [pa.array(score), pa.array((score >= limit).astype(np.int32)), pa.array(where, spans)]
                 yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(keep) + 1)] + arrays, [*keep, *own])
