@@ -39,17 +39,49 @@ def maxima_of(x: np.ndarray, d: int, rel: float) -> np.ndarray:
     return peak
 
 
-def local_maxima(patches: DataFrame, d: int, rel: float, px: str = "px") -> DataFrame:
-    """patches: patch_id, px. patch_id, row, col, v of pixels that equal the maximum of their (2d+1) square, exceed rel *
-    patch maximum and 0. Of touching equal peaks those without an equal peak left, above, above left or above right stay;
-    then a border of d pixels is left out. One patch is one row: nothing is shuffled."""
+def spaced_maxima(x: np.ndarray, d: int, rel: float) -> list[tuple[int, int]]:
+    """The places of an image's local maxima by falling value (ties row-major), as local_maxima() defines the spaced ones.
+    Maxima at less than d are equal ones; a map of what is taken, marked with each one's square, tells who is too near."""
+    around = x
+    for axis in ((0, 1), (1, 0)):
+        around = np.max([shifted(around, k * axis[0], k * axis[1], -np.inf) for k in range(-d, d + 1)], axis=0)
+    peak = x == around
+    if d and peak.all():  # an even image has none
+        return []
+    peak &= x > max(x.min(), rel * x.max())
+    if d:
+        peak[:d], peak[-d:], peak[:, :d], peak[:, -d:] = False, False, False, False
+    row, col = np.nonzero(peak)
+    order = np.argsort(-x[row, col], kind="stable")
+    taken, out, reach = np.zeros(x.shape, bool), [], max(d - 1, 0)
+    for r, c in zip(row[order].tolist(), col[order].tolist(), strict=True):
+        if not taken[r, c]:
+            out.append((r, c))
+            taken[max(r - reach, 0) : r + reach + 1, max(c - reach, 0) : c + reach + 1] = True
+    return out
+
+
+def local_maxima(patches: DataFrame, d: int, rel: float, px: str = "px", rule: str = "touching") -> DataFrame:
+    """patches: patch_id, px. patch_id, row, col, v of pixels that equal the maximum of their (2d+1) square and lie at least d
+    pixels off the edge. One patch is one row: nothing is shuffled.
+
+    rule touching: they exceed rel * patch maximum and 0; of touching equal peaks those without an equal peak left, above,
+    above left or above right stay. rule spaced: they exceed rel * maximum and the patch's minimum; taken by falling value
+    (ties row-major), each rules out those nearer than d in rows and in columns; an even patch has none."""
+    if rule not in ("touching", "spaced"):
+        raise ValueError(rule)
+
+    def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if rule == "touching":
+            return np.nonzero(maxima_of(x, d, rel))
+        return tuple(np.array(spaced_maxima(x, d, rel), int).reshape(-1, 2).T)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for pid, values in zip(pdf["patch_id"], pdf["px"], strict=True):
                 x = image(values)
-                row, col = np.nonzero(maxima_of(x, d, rel))
+                row, col = places(x)
                 out.append((np.full(len(row), pid), row, col, x[row, col]))
             yield pd.DataFrame(dict(zip(("patch_id", "row", "col", "v"), map(np.concatenate, zip(*out, strict=True)), strict=True)) if out else {})
 
@@ -236,18 +268,105 @@ def fit_patch(target: np.ndarray, r: np.ndarray, e: np.ndarray, guess: np.ndarra
     return p[0], float(cost[0])
 
 
+#: Widths at the start of bounded fits, and when they end: relative fall of the cost, relative size of a step.
+BOUNDED_START, COST_TOL, STEP_TOL = (0.3, 0.3, 0.3, 0.3, 0.5), 1e-8, 1e-8
+
+
+def _slopes(p: np.ndarray, r: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of a patch's peaks (patches, pixels) and its slope in every parameter (patches, pixels, peaks * 8)."""
+    r0, e0, gr, ge, lr, le, mix, top = (p[:, :, k, None] for k in range(8))
+    r, e = r[:, None], e[:, None]
+    a, b, c, d = (r - r0) / gr, (e - e0) / ge, (r - r0) / lr, (e - e0) / le
+    g, ca, da = np.exp(-0.5 * a * a - 0.5 * b * b), 1 + c * c, 1 + d * d
+    low = 1 / (ca * da)
+    one = mix * low + (1 - mix) * g
+    gg, ll = top * (1 - mix) * g, top * mix * low
+    each = (gg * a / gr + 2 * ll * c / (lr * ca), gg * b / ge + 2 * ll * d / (le * da), gg * a * a / gr, gg * b * b / ge, 2 * ll * c * c / (lr * ca), 2 * ll * d * d / (le * da), top * (low - g), one)
+    slope = np.stack(each, -1)  # patches, peaks, pixels, 8
+    return (top * one).sum(1), slope.transpose(0, 2, 1, 3).reshape(len(p), r.shape[2], -1)
+
+
+def fit_bounded(target: np.ndarray, r: np.ndarray, e: np.ndarray, guess: np.ndarray, real: np.ndarray, srfac: int, cut: float, steps: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters (patches x peaks x 8), mean squared error and whether it came to an end, of bounded least-squares fits
+    of all patches together; arguments as by fit_batch(). The model is 0 where its sum is below the cut.
+
+    Damped Gauss-Newton steps with the model's own slopes, in parameters scaled by the root of their distance to the bound
+    that the cost pushes them to, so that they near a bound without running into it; of a step that would cross bounds
+    the shortened and the reflected form are tried. Each patch has its own damping, which falls when a step lowers its
+    cost and grows when not; a step never raises the cost. Patches that have come to an end drop out of the batch.
+    """
+    n, many = real.shape
+    x, low, high = (np.ones((n, many, 8)) for _ in range(3))
+    x[..., :2], x[..., 2:7], x[..., 7] = guess[..., :2], BOUNDED_START, guess[..., 2]
+    low[..., :2], low[..., 2:7], low[..., 7] = guess[..., :2] - (2.0, 0.1), LOW, 0
+    high[..., :2], high[..., 2:7], high[..., 7] = guess[..., :2] + (2.0, 0.1), HIGH, guess[..., 2] + 400 / srfac
+    x[..., 7] *= real  # peaks that only fill up a patch have no intensity, and stay so
+    there = np.repeat(real, 8, 1)
+    x, low, high = (v.reshape(n, -1) for v in (x, low, high))
+    inside = np.where(there, 1e-10 * (high - low), 0)
+    x = np.where(there, np.clip(x, low + inside, np.maximum(low, high) - inside), x)
+    t, r, e = (v.reshape(n, -1) for v in (target, r, e))
+
+    def modelled(at: np.ndarray, x: np.ndarray, slopes: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        f, j = _slopes(x.reshape(len(at), many, 8), r[at], e[at]) if slopes else (_sum_peaks(x.reshape(len(at), many, 8), r[at][:, None, None], e[at][:, None, None]).sum((1, 2)), None)
+        below = f < cut
+        return np.where(below, 0, f) - t[at], None if j is None else np.where(below[..., None], 0, j) * there[at][:, None]
+
+    at = np.arange(n)
+    off, j = modelled(at, x, True)
+    cost, damp, ended = (off * off).sum(1), np.full(n, 1e-3), ~np.isfinite((off * off).sum(1))
+    square, slope = j.transpose(0, 2, 1) @ j, np.einsum("npk,np->nk", j, off)
+    for _ in range(steps):
+        at = np.flatnonzero(~ended)
+        if not len(at):
+            break
+        own, g = there[at], slope[at]
+        scale = np.sqrt(np.where(own, np.where(g < 0, high[at] - x[at], x[at] - low[at]), 1))
+        a = square[at] * scale[:, :, None] * scale[:, None, :]
+        main = np.einsum("nkk->nk", a)
+        main += np.where(own, np.abs(g) + damp[at][:, None] * np.maximum(main, 1e-12), 1)
+        step = np.where(own, scale * np.linalg.solve(a, -(scale * g)[..., None])[..., 0], 0)
+        room = np.where(step > 0, high[at] - x[at], np.where(step < 0, low[at] - x[at], 0))
+        reach = np.where(step != 0, room / np.where(step != 0, step, 1), np.inf)  # the part of the step up to each bound
+        first = reach.min(1)
+        new = x[at] + step * np.minimum(1, 0.995 * first)[:, None]
+        now = (modelled(at, new, False)[0] ** 2).sum(1)
+        if len(over := np.flatnonzero(first < 1)):
+            turned = np.where(reach[over] < 1, 2 * room[over] - step[over], step[over])
+            other = np.clip(x[at[over]] + turned, low[at[over]] + inside[at[over]], np.maximum(low[at[over]], high[at[over]]) - inside[at[over]])
+            cost_other = (modelled(at[over], other, False)[0] ** 2).sum(1)
+            wins = cost_other < now[over]
+            new[over[wins]], now[over[wins]] = other[wins], cost_other[wins]
+        better = now < cost[at]
+        moved = np.abs(new - x[at]).max(1) <= STEP_TOL * (STEP_TOL + np.abs(x[at]).max(1))
+        settled = better & (cost[at] - now <= COST_TOL * cost[at]) | moved | (damp[at] > 1e12)
+        good = at[better]
+        x[good], cost[good] = new[better], now[better]
+        damp[at] = np.where(better, np.maximum(damp[at] / 5, 1e-12), damp[at] * 4)
+        ended[at[settled]] = True
+        if len(go := good[~ended[good]]):
+            off, j = modelled(go, x[go], True)
+            square[go], slope[go] = j.transpose(0, 2, 1) @ j, np.einsum("npk,np->nk", j, off)
+    return x.reshape(n, many, 8), cost / t.shape[1], ended & np.isfinite(cost)
+
+
 #: Numbers in the arrays of patches that are fitted together (peaks x pixels).
 FIT_CELLS = 1_000_000
 FIT = "patch_id long, peak_no int, r double, eta double, sigma_gr double, sigma_geta double, sigma_lr double, sigma_leta double, mu double, imax_fit double, integrated_intensity double, imax double, max_row int, max_col int, nr_pixels long, fit_rmse double, failed boolean"
 
 
-def fit_pseudo_voigt(patches: DataFrame, srfac: int, ybc: float, zbc: float, int_thresh: float = 10.0) -> DataFrame:
+def fit_pseudo_voigt(patches: DataFrame, srfac: int, ybc: float, zbc: float, int_thresh: float = 10.0, form: str = "adam") -> DataFrame:
     """patches: patch_id, z00, y00, px, native (native-resolution px), peaks (array of (peak_no, row, col)). One row per
     peak; patches whose fit fails give a single row with failed set, to be kept as an error table. Patches of a batch are
-    fitted together, padded to the same number of peaks. No shuffle."""
+    fitted together, padded to the same number of peaks. No shuffle.
+
+    form adam: a fixed number of gradient steps; bounded: least squares to the end, a fit that comes to none fails. The
+    cut int_thresh / srfac**2 holds for the final error in the one, within the model in the other."""
+    if form not in ("adam", "bounded"):
+        raise ValueError(form)
 
     def some(pdf: pd.DataFrame) -> list[tuple]:
-        most = max(map(len, pdf["peaks"]))
+        most = max(1, max(map(len, pdf["peaks"])))
         x = np.stack([image(px) for px in pdf["px"]])
         side = x.shape[1]
         gy = pdf["y00"].to_numpy(float)[:, None, None] + np.arange(side) / srfac
@@ -260,7 +379,11 @@ def fit_pseudo_voigt(patches: DataFrame, srfac: int, ybc: float, zbc: float, int
                 at = n, q["row"], q["col"]
                 guess[n, k], real[n, k] = (r[at], e[at], x[at]), True
         with np.errstate(all="ignore"):
-            p, cost = fit_batch(x, r, e, guess, real, srfac, int_thresh / srfac**2)
+            if form == "adam":
+                p, cost = fit_batch(x, r, e, guess, real, srfac, int_thresh / srfac**2)
+            else:
+                p, cost, ended = fit_bounded(x, r, e, guess, real, srfac, int_thresh / srfac**2)
+                cost = np.where(ended, cost, np.nan)
             each = _sum_peaks(p, r[:, None], e[:, None])
         rows: list[tuple] = []
         for n, (pid, native, peaks) in enumerate(zip(pdf["patch_id"], pdf["native"], pdf["peaks"], strict=True)):
@@ -278,7 +401,7 @@ def fit_pseudo_voigt(patches: DataFrame, srfac: int, ybc: float, zbc: float, int
         for pdf in batches:
             if not len(pdf):
                 continue
-            step = max(1, FIT_CELLS // (len(pdf["px"].iloc[0]) * max(1, max(map(len, pdf["peaks"])))))
+            step = max(1, (FIT_CELLS if form == "adam" else FIT_CELLS // 8) // (len(pdf["px"].iloc[0]) * max(1, max(map(len, pdf["peaks"])))))
             rows = [row for lo in range(0, len(pdf), step) for row in some(pdf.iloc[lo : lo + step])]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in FIT.split(", ")])
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 
 def label_pixels(z: np.ndarray, y: np.ndarray, connectivity: int = 8) -> np.ndarray:
     """Component numbers (from 1, in scan order of first pixels) of sparse pixels: each pixel takes the smallest label
@@ -34,16 +36,72 @@ def label_pixels(z: np.ndarray, y: np.ndarray, connectivity: int = 8) -> np.ndar
     return out
 
 
-def label_spots(good: DataFrame, connectivity: int = 8) -> DataFrame:
-    """scan_id, frame_id, z, y, intensity, spot_id. One shuffle, by frame: spots never cross frames and a frame's
-    pixels are bounded by the detector."""
+def label_spots(good: DataFrame, connectivity: int = 8, tile_rows: int | None = None) -> DataFrame:
+    """scan_id, frame_id, z, y, intensity, spot_id, numbered from 1 in the order of spots' first pixels. One shuffle, by
+    frame: spots never cross frames and a frame's pixels are bounded by the detector. tile_rows: frames too large for a task
+    are labelled in bands of so many rows, whose spots are then linked across the bands' borders (label_tiles())."""
     schema = "scan_id string, frame_id long, z int, y int, intensity double, spot_id long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(spot_id=label_pixels(pdf["z"].to_numpy(), pdf["y"].to_numpy(), connectivity))
 
     rows = good.where("intensity <> 0").select("scan_id", F.col("frame_id").cast("long"), F.col("z").cast("int"), F.col("y").cast("int"), F.col("intensity").cast("double"))
-    return rows.groupBy("scan_id", "frame_id").applyInPandas(run, schema)
+    return rows.groupBy("scan_id", "frame_id").applyInPandas(run, schema) if tile_rows is None else label_tiles(rows, connectivity, tile_rows)
+
+
+#: Spots that touch a border, or are linked across one (some 60 bytes each), that are sent to every task; more are joined.
+LINKS_TOLD = 1_000_000
+
+
+def joined_spots(pdf: pd.DataFrame) -> pd.DataFrame:
+    """links (a, b) of a frame to the least place that each linked spot reaches: each takes the least of its neighbours',
+    then that one's, until nothing changes."""
+    nodes, at = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root = np.arange(len(nodes))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    return pd.DataFrame({"scan_id": pdf["scan_id"].iloc[0], "frame_id": pdf["frame_id"].iloc[0], "first": nodes, "root": nodes[root]})
+
+
+def label_tiles(rows: DataFrame, connectivity: int, tile_rows: int) -> DataFrame:
+    """label_spots() by bands of rows, so that one frame takes many tasks.
+
+    A band's spots are known by their first pixel (row-major). Pixels on both sides of a border meet by place and give
+    links between spots; only these links, at most a border's width for each band, are brought together by frame. A
+    joined spot's first pixel is the least of its parts'. Numbers count the first pixels: within a band, and before it.
+    """
+    frame = ["scan_id", "frame_id"]
+    schema = "scan_id string, frame_id long, z int, y int, intensity double, tile int, first long"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        place = pdf["z"].to_numpy().astype(np.int64) << 32 | pdf["y"].to_numpy()
+        label = label_pixels(pdf["z"].to_numpy(), pdf["y"].to_numpy(), connectivity) - 1
+        first = np.full(label.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, label, place)
+        return pdf.assign(first=first[label])
+
+    parts = staged(rows.withColumn("tile", F.expr(f"cast(z div {int(tile_rows)} as int)")).groupBy(*frame, "tile").applyInPandas(run, schema), "tile-spots")
+    beside = F.array(*[F.col("y") + k for k in ((-1, 0, 1) if connectivity != 4 else (0,))])
+    above = parts.where(F.col("z") % tile_rows == tile_rows - 1).select(*frame, (F.col("tile") + 1).alias("tile"), F.explode(beside).alias("y"), F.col("first").alias("a"))
+    below = parts.where(F.col("z") % tile_rows == 0).select(*frame, "tile", "y", F.col("first").alias("b"))
+    links = above.join(below, [*frame, "tile", "y"]).select(*frame, "a", "b").distinct()
+    roots = staged(links.groupBy(*frame).applyInPandas(joined_spots, "scan_id string, frame_id long, first long, root long"), "tile-roots")
+    told = F.broadcast(roots) if roots.count() <= LINKS_TOLD else roots
+    found = parts.join(told, [*frame, "first"], "left").withColumn("root", F.coalesce("root", "first")).drop("first")
+    start = F.expr(f"cast(shiftright(root, 32) div {int(tile_rows)} as int)").alias("start")
+    firsts = found.groupBy(*frame, "root").agg(F.first("tile").alias("__t")).select(*frame, "root", start)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*frame).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = firsts.groupBy(*frame, "start").agg(F.count(F.lit(1)).alias("n")).select(*frame, "start", before.alias("before"))
+    within = firsts.withColumn("k", F.row_number().over(Window.partitionBy(*frame, "start").orderBy("root")))
+    numbers = within.join(counts, [*frame, "start"]).select(*frame, "root", (F.col("before") + F.col("k")).alias("spot_id"))
+    return found.join(numbers, [*frame, "root"]).select(*frame, "z", "y", "intensity", "spot_id")
 
 
 SPOT = ["scan_id", "frame_id", "spot_id"]

@@ -113,6 +113,13 @@ def spot_statistics(spark, sf_dir):
     return rounded(spots.spot_stats(labelled(spark, sf_dir)).drop("scan_id", "spot_id"))
 
 
+@query("SELECT s.frame_id, s.spot_id, CAST(b.z AS BIGINT) AS z, CAST(b.y AS BIGINT) AS y FROM spot b JOIN (SELECT frame_id, root, row_number() OVER (PARTITION BY frame_id ORDER BY root) AS spot_id FROM stats) s ON s.frame_id=b.frame_id AND s.root=b.root", *SPOTS)
+def tiled_spots(spark, sf_dir):
+    """Every pixel's spot, labelled in bands of 16 rows."""
+    rows = workloads.frames_to_spots(fx.pixels(spark, sf_dir), P, fx.RINGS, fx.THRESH, tile_rows=16)
+    return rounded(rows.select("frame_id", "spot_id", "z", "y"))
+
+
 _MOVED = """moved AS (SELECT p.frame_id-2 AS frame_id, 95-p.y AS z, p.z AS y, (intensity-dark)/flood*1.5 AS v FROM pixels p JOIN correction c ON p.z=c.z AND p.y=c.y WHERE frame_id >= 2),
   fixed AS (SELECT m.frame_id, m.z, m.y, CASE WHEN mask > 0 OR v = 30.0 THEN 0.0 ELSE v END AS intensity FROM moved m JOIN correction c ON m.z=c.z AND m.y=c.y)"""
 ORIENTED = tuple(x if k else "RECURSIVE " + x for k, x in enumerate((fx.PIXELS, fx.CORRECTION, _MOVED, ringed("fixed"), GOOD[-1], _COMPONENT, _STATS)))
@@ -157,6 +164,12 @@ def frames_to_peaks_fit(spark, sf_dir):
     return workloads.frames_to_peaks(labelled(spark, sf_dir), P, method="pv", omega_start=-180, omega_step=0.25).drop("patch_id")
 
 
+@query()
+def frames_to_peaks_bounded(spark, sf_dir):
+    """The same by bounded least-squares fits, single peaks by centres of mass."""
+    return workloads.frames_to_peaks(labelled(spark, sf_dir), P, method="auto", omega_start=-180, omega_step=0.25).drop("patch_id")
+
+
 @query("SELECT patch_id, CAST(row//2 AS BIGINT) AS row, CAST(col//2 AS BIGINT) AS col, sum(v) AS v FROM cells GROUP BY ALL", fx.CELLS)
 def downscaled(spark, sf_dir):
     return rounded(pixels.downscale(fx.cells(spark, sf_dir), 2, 8))
@@ -212,6 +225,19 @@ def local_maxima(spark, sf_dir):
     return rounded(maxima(spark, sf_dir))
 
 
+_SPACED = """coarse AS (SELECT patch_id, row, col, floor(v/64)*64 AS v FROM cells), near AS (SELECT *, max(v) OVER (PARTITION BY patch_id) AS top, min(v) OVER (PARTITION BY patch_id) AS least, (SELECT max(v) FROM coarse n WHERE n.patch_id=c.patch_id AND n.row BETWEEN c.row-2 AND c.row+2 AND n.col BETWEEN c.col-2 AND c.col+2) AS around FROM coarse c),
+  best AS (SELECT patch_id, row, col, v FROM near WHERE v = around AND v > greatest(least, 0.3*top) AND row BETWEEN 2 AND 5 AND col BETWEEN 2 AND 5),
+  kept AS (SELECT patch_id, unnest(list_reduce(list([[CAST(row AS BIGINT), CAST(col AS BIGINT)]] ORDER BY v DESC, row, col),
+    lambda a, x: CASE WHEN len(list_filter(a, lambda k: greatest(abs(k[1]-x[1][1]), abs(k[2]-x[1][2])) < 2)) = 0 THEN list_concat(a, x) ELSE a END)) AS k FROM best GROUP BY 1)"""
+
+
+@query("SELECT k.patch_id, k[1] AS row, k[2] AS col, c.v FROM kept k JOIN coarse c ON c.patch_id=k.patch_id AND c.row=k[1] AND c.col=k[2]", fx.CELLS, _SPACED)
+def spaced_maxima(spark, sf_dir):
+    """The rule of the unbatched path, on patches in steps of 64, so that plateaus occur."""
+    coarse = fx.patches(spark, sf_dir).withColumn("px", F.transform("px", lambda v: F.floor(v / 64) * 64.0))
+    return rounded(peaks.local_maxima(coarse, 2, 0.3, rule="spaced"))
+
+
 @query("SELECT patch_id, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, v, peak_no FROM tops", fx.CELLS, _MAXIMA, _TOP)
 def top_peaks(spark, sf_dir):
     return rounded(peaks.top_peaks(maxima(spark, sf_dir), fx.cells(spark, sf_dir)))

@@ -15,11 +15,13 @@ def turned(params: dict, transform: tuple[int, ...]) -> dict:
     return {**params, "height": params["width"], "width": params["height"]} if list(transform).count(3) % 2 else params
 
 
-def frames_to_spots(pixels: DataFrame, params: dict, rings: list[float], thresholds: list[float], correction: DataFrame | None = None, bc: float = 1.0, bad: float = 0.0, skip: int = 0, transform: tuple[int, ...] = ()) -> DataFrame:
+def frames_to_spots(pixels: DataFrame, params: dict, rings: list[float], thresholds: list[float], correction: DataFrame | None = None, bc: float = 1.0, bad: float = 0.0, skip: int = 0, transform: tuple[int, ...] = (), tile_rows: int | None = None) -> DataFrame:
     """Frames to labelled spots. params hold for frames as given; frames, dark and flood are turned alike, the mask is not.
     rings and thresholds: as by frames.ring_lists(). Pixels off the rings go before the correction is joined, on both
-    sides; up to the one shuffle by frame nothing is shuffled as long as the correction can be told to all tasks."""
-    rows = frames.skip_frames(pixels, skip) if skip else pixels
+    sides; up to the one shuffle by frame nothing is shuffled as long as the correction can be told to all tasks, and pixels
+    from frame buckets (io.write_frame_buckets()) aren't shuffled at all: frames are numbered anew behind labelling.
+    tile_rows: for frames too large for a task, spots.label_spots()."""
+    rows = pixels.where(F.col("frame_id") >= skip) if skip else pixels
     own = turned(params, transform)
     if transform:
         rows = frames.image_transform(rows, list(transform), params["height"], params["width"])
@@ -27,7 +29,8 @@ def frames_to_spots(pixels: DataFrame, params: dict, rings: list[float], thresho
         if transform:
             correction = frames.turn_correction(correction, list(transform), params["height"], params["width"])
         rows = frames.correct_pixels(frames.on_rings(rows, own, rings), frames.on_rings(correction, own, rings), bc, bad)
-    return spots.label_spots(frames.good_pixels(rows, own, rings, thresholds))
+    labelled = spots.label_spots(frames.good_pixels(rows, own, rings, thresholds), tile_rows=tile_rows)
+    return labelled.withColumn("frame_id", F.col("frame_id") - skip) if skip else labelled
 
 
 #: By factor, the least distance of maxima, their least share of the patch's maximum, the box about a
@@ -37,16 +40,21 @@ MIN_D, REL, CROP, FIT_CUT = {1: 2, 2: 2, 4: 4, 8: 5}, {1: 0.2, 2: 0.2, 4: 0.2, 8
 
 def frames_to_peaks(
     labelled: DataFrame, params: dict, *, size: int = 20, srfac: int = 1, model_layers: DataFrame | None = None, stages: list[tuple[str, int]] | None = None, min_d: int | None = None, rel: float | None = None,
-    crop: int | None = None, method: str = "com", edge: float | None = None, least_pixels: int = 2, sigma: float = 0, median: int = 1, omega_start: float = 0.0, omega_step: float = 1.0, listed_omega: DataFrame | None = None,
-    skip: int = 0, int_thresh: float | None = None,
+    crop: int | None = None, method: str = "com", form: str | None = None, rule: str | None = None, edge: float | None = None, least_pixels: int = 2, sigma: float = 0, median: int = 1, omega_start: float = 0.0, omega_step: float = 1.0, listed_omega: DataFrame | None = None,
+    skip: int = 0, int_thresh: float | None = None, failures: str | None = None,
 ) -> DataFrame:
-    """Labelled spots to peak rows. method com: maxima, regions and centres of mass; pv: shapes fitted to the five
-    brightest maxima; auto: com for patches of one maximum, pv for more. Without a model patches are taken as they are
+    """Labelled spots to peak rows. method com: maxima, regions and centres of mass; pv: shapes fitted to maxima; auto: com
+    for patches of one maximum, pv for more. form of fits: adam (the usual one of pv) takes the five brightest maxima, or
+    the brightest pixel, bounded (that of auto) all maxima, and a patch without any fails. rule of maxima: touching for
+    adam, else spaced, unless one is given. Without a model patches are taken as they are
     (srfac 1). Maxima are sought in smoothed patches (sigma, median; the defaults change nothing), measured in the
     patches themselves. skip: frames left out before numbering; omega goes by the original number. edge: fine pixels
-    (2.5 native ones by default). The labelled spots and the model's results are written once."""
+    (2.5 native ones by default). failures: a folder to which patches whose fit failed are written. The labelled spots, the
+    model's results, the maxima and the fits are written once."""
     if method not in ("com", "pv", "auto"):
         raise ValueError(method)
+    form = form or ("adam" if method == "pv" else "bounded")
+    rule = rule or ("touching" if method == "pv" and form == "adam" else "spaced")
     ybc, zbc = params["ybc"], params["zbc"]
     min_d, rel, crop, cut = (given if given is not None else usual[srfac] for given, usual in ((min_d, MIN_D), (rel, REL), (crop, CROP), (int_thresh, FIT_CUT)))
     labelled = staged(labelled, "labelled-spots")
@@ -57,7 +65,7 @@ def frames_to_peaks(
     info = info.join(origins.select("patch_id", "scan_id", "frame_id", "spot_id", "z00", "y00", "n_pixels"), "patch_id").withColumnRenamed("spot_id", "label")
     fine = arrays if model_layers is None else superres.super_resolve(arrays, model_layers, stages or []).where(F.col("srfac") == srfac).select("patch_id", "px")
     fine = staged(fine, "patches")
-    maxima = peaks.local_maxima(peaks.smooth(fine, sigma, median), min_d, rel)
+    maxima = staged(peaks.local_maxima(peaks.smooth(fine, sigma, median), min_d, rel, rule=rule), "maxima")  # read by several branches
     of_patch = maxima.groupBy("patch_id").agg(F.count(F.lit(1)).alias("n_peaks"))
     about = info.select("patch_id", "scan_id", "frame_id", "z00", "y00", "n_pixels", "raw_imax", "isum")
     out = []
@@ -68,10 +76,18 @@ def frames_to_peaks(
         marked = fine.join(peaks.listed(some), "patch_id")
         out.append(peaks.peak_summary(peaks.watershed(marked, rel), peaks.com_peaks(marked, crop), about.join(of_patch, "patch_id"), srfac, ybc, zbc))
     if method in ("pv", "auto"):
-        cells = spots.to_pixels(fine, size * srfac).where("v > 0")  # blank patches have no peak
-        some = peaks.top_peaks(maxima, cells) if method == "pv" else peaks.top_peaks(maxima.join(of_patch.where("n_peaks > 1").select("patch_id"), "patch_id"), cells.limit(0))
-        rows = fine.join(peaks.listed(some), "patch_id").join(info.select("patch_id", "z00", "y00", "native"), "patch_id")
-        out.append(peaks.fit_peak_rows(peaks.fit_pseudo_voigt(rows, srfac, ybc, zbc, cut), about, srfac, ybc, zbc))
+        several = maxima if method == "pv" else maxima.join(of_patch.where("n_peaks > 1").select("patch_id"), "patch_id")
+        if form == "adam":
+            cells = spots.to_pixels(fine, size * srfac).where("v > 0")  # blank patches have no peak
+            marked = peaks.listed(peaks.top_peaks(several, cells if method == "pv" else cells.limit(0)))
+        else:
+            marked = peaks.listed(several.withColumn("peak_no", F.expr("row_number() over (partition by patch_id order by v desc, row, col)")))
+        rows = fine.join(marked, "patch_id", "left" if method == "pv" and form == "bounded" else "inner").join(info.select("patch_id", "z00", "y00", "native"), "patch_id")
+        rows = rows.withColumn("peaks", F.coalesce("peaks", F.array().cast(rows.schema["peaks"].dataType)))
+        fits = staged(peaks.fit_pseudo_voigt(rows, srfac, ybc, zbc, cut, form), "fits")
+        if failures is not None:
+            fits.where("failed").join(about.select("patch_id", "scan_id", "frame_id"), "patch_id").select("scan_id", "frame_id", "patch_id").write.mode("append").parquet(failures)
+        out.append(peaks.fit_peak_rows(fits, about, srfac, ybc, zbc))
     rows = out[0] if len(out) == 1 else out[0].unionByName(out[1], allowMissingColumns=True)
     numbered = peaks.spot_number(rows, ("scan_id", "frame_id"), ("z00", "y00", "patch_id", "peak_no"))
     return omega(numbered.withColumn("frame_orig", F.col("frame_id") + skip), "frame_orig", omega_start, omega_step, listed_omega)

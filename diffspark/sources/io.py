@@ -12,6 +12,8 @@ PEAK_COLUMNS = [
     "TotalNrPixelsInPeakRegion", "nPeaks", "maxY", "maxZ", "diffY", "diffZ", "rawIMax", "returnCode", "retVal", "BG", "SigmaGR", "SigmaLR", "SigmaGEta",
     "SigmaLEta", "MU", "RawSumIntensity", "maskTouched", "FitRMSE",
 ]
+#: Frames (some 50 bytes each) that are sent to every task; more are joined.
+FRAMES_TOLD = 1_000_000
 PEAKS = T.StructType([T.StructField(c, T.DoubleType()) for c in PEAK_COLUMNS])
 #: The names used within jobs.
 SNAKE = [
@@ -25,14 +27,14 @@ def to_file_names(peaks: DataFrame) -> DataFrame:
 
 
 def read_peaks(spark: SparkSession, path: str | list[str], scan_id: str | None = None) -> DataFrame:
-    """Peak files of one or more scans: tab-separated with header, one a frame, named {number}_PS.csv with numbers from
-    1; or folders frame_id=N as write_peaks() makes them. Adds frame_id (from 0) and scan_id: the name given, else that of
-    the folder that holds a scan's files (the one that write_peaks() was given)."""
+    """Peak files of one or more scans: tab-separated with header, one a frame, named {number}_PS.csv with numbers from 1,
+    as write_peaks() makes them, or in folders frame_id=N. Adds frame_id (from 0) and scan_id: the name given, else that of the folder that holds
+    a scan's files, or of the one above if that is named peaks."""
     rows = spark.read.schema(PEAKS).option("recursiveFileLookup", True).csv(path, sep="\t", header=True)
     name = F.col("_metadata.file_path")
     numbered, folder = F.regexp_extract(name, r"(\d+)_PS\.csv$", 1), F.regexp_extract(name, r"frame_id=(\d+)/", 1)
     frame = F.when(numbered != "", numbered.try_cast("long") - 1).when(folder != "", folder.try_cast("long"))
-    holder = F.when(numbered != "", F.regexp_extract(name, r"([^/]+)/[^/]*$", 1)).otherwise(F.regexp_extract(name, r"([^/]+)/peaks/frame_id=", 1))
+    holder = F.when(numbered != "", F.regexp_extract(name, r"([^/]+)/(?:peaks/)?[^/]*$", 1)).otherwise(F.regexp_extract(name, r"([^/]+)/peaks/frame_id=", 1))
     scan = holder if scan_id is None else F.lit(scan_id)
     return rows.select(*[F.col(f"`{a}`").alias(b) for a, b in zip(PEAK_COLUMNS, SNAKE, strict=True)], frame.alias("frame_id"), scan.alias("scan_id"))
 
@@ -45,14 +47,16 @@ def read_rings(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("RingNr").cast("int"), F.col("Radius").cast("double"), line.alias("line"))
 
 
+FRAMES = {
+    "pixels": "frame_id long, z int, y int, intensity double, scan_id string",
+    "dark_frames": "dark_no int, z int, y int, value double, scan_id string",
+    "correction": "z int, y int, dark double, flood double, mask double, scan_id string",
+}
+
+
 def read_frames(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables pixels, dark_frames and correction of a folder, partitioned by scan_id."""
-    schemas = {
-        "pixels": "frame_id long, z int, y int, intensity double, scan_id string",
-        "dark_frames": "dark_no int, z int, y int, value double, scan_id string",
-        "correction": "z int, y int, dark double, flood double, mask double, scan_id string",
-    }
-    return {name: spark.read.schema(s).parquet(f"{path}/{name}") for name, s in schemas.items()}
+    return {name: spark.read.schema(s).parquet(f"{path}/{name}") for name, s in FRAMES.items()}
 
 
 def write_frames(tables: dict[str, DataFrame], path: str) -> None:
@@ -60,13 +64,32 @@ def write_frames(tables: dict[str, DataFrame], path: str) -> None:
         t.write.partitionBy("scan_id").parquet(f"{path}/{name}")
 
 
-def write_peaks(peaks: DataFrame, frames: DataFrame, path: str) -> None:
-    """Tab-separated files with header in a folder for each frame, and frame_status (frame_id, n_peaks) with a row for
-    every frame, empty ones too."""
-    named = peaks.select(*[F.col(a).cast("double").alias(b) for a, b in zip(SNAKE, PEAK_COLUMNS, strict=True)], "frame_id")
-    named.repartition("frame_id").write.partitionBy("frame_id").csv(f"{path}/peaks", sep="\t", header=True)
-    counts = peaks.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n_peaks"))
-    frames.select("frame_id").distinct().join(counts, "frame_id", "left").select("frame_id", F.coalesce("n_peaks", F.lit(0)).alias("n_peaks")).write.parquet(f"{path}/frame_status")
+def write_frame_buckets(pixels: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """A catalog table of pixels whose files hold whole frames: bucketed by (scan_id, frame_id), sorted by them and place.
+    Labelling what is read from it needs no exchange, so a scan that is worked on more than once is shuffled once.
+    buckets: some 128 MB each is a good size; pixels are dealt out by the same hash first, so a bucket is one file."""
+    rows = pixels.select(*[F.col(c).cast(k).alias(c) for c, k in (f.split() for f in FRAMES["pixels"].split(", "))])
+    keys = ["scan_id", "frame_id"]
+    writer = rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys, "z", "y").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return pixels.sparkSession.table(table)
+
+
+def write_peaks(peaks: DataFrame, frames: DataFrame, path: str, stem: str = "", padding: int = 6) -> None:
+    """Under path/peaks a tab-separated file with header for every frame in frames, {stem}{number}_PS.csv with numbers from
+    1, rows by spot_id; a frame without peaks has the header alone. Where both tables have scan_id, a scan has a folder of its own. And
+    frame_status (frame_id, n_peaks) with a row for every frame. Files appear once all are written."""
+    from .peakfiles import PeakFiles
+
+    keys = [c for c in ("scan_id", "frame_id") if c in peaks.columns and c in frames.columns]
+    every = frames.select(*keys).distinct()
+    named = peaks.join(F.broadcast(every) if every.count() <= FRAMES_TOLD else every, keys, "left_semi").select(*keys, F.lit(1).alias("kind"), *[F.col(c).cast("double").alias(c) for c in SNAKE])
+    heads = every.select(*keys, F.lit(0).alias("kind"), *[F.lit(None).cast("double").alias(c) for c in SNAKE])
+    rows = heads.unionByName(named).repartition(*keys).sortWithinPartitions(*keys, "kind", "spot_id")
+    peaks.sparkSession.dataSource.register(PeakFiles)
+    rows.write.format(PeakFiles.name()).mode("append").option("stem", stem).option("padding", padding).save(f"{path}/peaks")
+    counts = peaks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_peaks"))
+    every.join(counts, keys, "left").select(*keys, F.coalesce("n_peaks", F.lit(0)).alias("n_peaks")).write.parquet(f"{path}/frame_status")
 
 
 STORE = ("patches", "info", "locations", "parameters")
