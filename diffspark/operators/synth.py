@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.shapes import pseudo_voigt, pseudo_voigt_np
 
 
+#: Numbers drawn together when peaks are placed.
+PLACE_CELLS = 2_000_000
+
+
 def draw(seed: int, *parts: Column | str) -> Column:
     """A whole number below 2**52 from a digest of seed and parts: the same in every engine and partitioning."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
@@ -82,20 +86,21 @@ def ring_windows(bank: DataFrame, rings: list[float], var_r: float) -> DataFrame
     return rows.withColumn("k", rank).join(starts, ["ring_no", "bucket"]).withColumn("rank", F.col("before") + F.col("k")).drop("k", "before", "bucket")
 
 
-def sample_ring_peaks(spark, n_patches: int, n_peaks: list[int], windows: DataFrame, n_rings: int, seed: int, tries: int = 8) -> DataFrame:
+def sample_ring_peaks(spark, n_patches: int, n_peaks: list[int], windows: DataFrame, n_rings: int, seed: int) -> DataFrame:
     """patch_id, k (from 1) and the peak drawn: a number of peaks from the list and a ring, both uniform, then that many
-    different peaks of the ring's window. Draws go on with t = 0, 1, ... and the first different ranks count; tries
-    times the number asked for bounds them, and a patch that still lacks peaks has ok = false (as have all patches of a
-    ring with too few). Patches meet peaks by an equi-join on (ring, rank)."""
+    different peaks of the ring's window, every choice of them as likely. One draw a peak is enough: the i-th of n out of
+    s ranks is drawn below s - n + i, and s - n + i itself takes the place of one that was drawn before. ok is false only
+    for patches of a ring with fewer peaks, which have none. Patches meet peaks by an equi-join on (ring, rank)."""
     sizes = windows.groupBy("ring_no").agg(F.max("ring_size").alias("ring_size"))
     patch = spark.range(n_patches).select(F.col("id").alias("patch_id"))
     patch = patch.withColumns({"n_peaks": F.element_at(F.lit([int(x) for x in n_peaks]), (draw(seed, "patch_id", F.lit("n")) % len(n_peaks) + 1).cast("int")), "ring_no": (draw(seed, "patch_id", F.lit("ring")) % n_rings).cast("int")})
-    patch = patch.join(sizes, "ring_no", "left").withColumn("ring_size", F.coalesce("ring_size", F.lit(0)))
-    ranks = F.transform(F.sequence(F.lit(0), F.col("n_peaks") * tries - 1), lambda t: draw(seed, F.col("patch_id"), t) % F.when(F.col("ring_size") > 0, F.col("ring_size")))
-    patch = patch.withColumn("ranks", F.slice(F.array_distinct(F.filter(ranks, lambda r: r.isNotNull())), 1, F.col("n_peaks"))).withColumn("ok", F.size("ranks") == F.col("n_peaks"))
-    windows = windows.drop("n_peaks")
+    patch = patch.join(F.broadcast(sizes), "ring_no", "left").withColumn("ok", F.coalesce(F.col("ring_size") >= F.col("n_peaks"), F.lit(False)))
+    left = F.col("ring_size") - F.col("n_peaks")
+    drawn = F.transform(F.sequence(F.lit(0), F.col("n_peaks") - 1), lambda i: F.struct((left + i).alias("last"), (draw(seed, F.col("patch_id"), i) % F.greatest(left + i + 1, F.lit(1))).alias("rank")))
+    ranks = F.aggregate(drawn, F.array().cast("array<bigint>"), lambda had, x: F.array_append(had, F.when(F.array_contains(had, x["rank"]), x["last"]).otherwise(x["rank"])))
+    patch = patch.where("ok").withColumn("ranks", ranks)
     rows = patch.select("patch_id", "n_peaks", "ring_no", "ok", F.posexplode("ranks").alias("k0", "rank"))
-    return rows.join(windows, ["ring_no", "rank"]).withColumn("k", F.col("k0") + 1).drop("k0", "ring_size")
+    return rows.join(windows.drop("n_peaks"), ["ring_no", "rank"]).withColumn("k", F.col("k0") + 1).drop("k0", "ring_size")
 
 
 def order_by_imax(sampled: DataFrame) -> DataFrame:
@@ -116,32 +121,68 @@ def separations(placed: DataFrame, low: float, high: float) -> DataFrame:
     return every.withColumn("ok", F.coalesce((F.col("least") > low) & (F.col("most") < high), F.lit(True)))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads the bits of whole numbers (the usual 64-bit finishing steps)."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def uniforms(seed: int, ids: np.ndarray, attempts: np.ndarray, many: int) -> np.ndarray:
+    """Numbers in [0, 1), (ids, attempts, many), that hang on seed, id, attempt and place alone."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    key = mixed(mixed(np.uint64(seed % 2**64) + step + np.zeros(1, np.uint64)) ^ ids.astype(np.uint64))
+    key = mixed(key[:, None] + step * (attempts.astype(np.uint64) + np.uint64(1)))
+    return (mixed(key[..., None] + step * np.arange(1, many + 1, dtype=np.uint64)) >> np.uint64(11)) * 2.0**-53
+
+
 def place_peaks(patches: DataFrame, var_r: float, sep_min: float, sep_max: float, ybc: float, zbc: float, seed: int, attempts: int = 10_000) -> DataFrame:
     """patches: patch_id, ring_r, n_peaks. One row per peak: patch_id, k, y, z, r, eta, ok. The first peak lies on the
     ring (R within var_r, eta in +-[3, 177]), the others within a square of sep_max around it and within var_r of the
     ring; the whole set is drawn again until all distances lie between sep_min and sep_max. Attempts are bounded: a
-    patch that finds no place keeps its last draw with ok = false."""
+    patch that finds no place keeps its last draw with ok = false. All patches of a batch that still seek a place draw
+    together, a run of attempts at a time; the first good one counts, so batches and runs change nothing."""
+
+    def drawn(ids: np.ndarray, ring: np.ndarray, n: int, tries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """y, z of every peak (patches, attempts, peaks, 2), and which attempts keep to all limits."""
+        u = uniforms(seed, ids, tries, 2 * n + 1)
+        r = ring[:, None] + var_r * (2 * u[..., 0] - 1)
+        eta = np.radians(3 + 174 * u[..., 1]) * np.where(u[..., 2] < 0.5, -1, 1)
+        first = np.stack([ybc + r * np.sin(eta), zbc + r * np.cos(eta)], -1)[:, :, None]
+        off = sep_max * (2 * u[..., 3:].reshape(len(ids), len(tries), n - 1, 2) - 1)
+        yz = np.concatenate([first, first + off], 2)
+        radius = np.hypot(yz[..., 0] - ybc, yz[..., 1] - zbc)
+        ok = (np.abs(radius - ring[:, None, None]) < var_r).all(2)
+        a, b = np.triu_indices(n, 1)
+        d = np.hypot(yz[:, :, a, 0] - yz[:, :, b, 0], yz[:, :, a, 1] - yz[:, :, b, 1])
+        return yz, ok & ((d > sep_min) & (d < sep_max)).all(2)
+
+    def placed(ids: np.ndarray, ring: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        out, good, run, begun = np.empty((len(ids), n, 2)), np.zeros(len(ids), bool), 4, 0
+        while begun < attempts and not good.all():
+            at = np.flatnonzero(~good)
+            tries = np.arange(begun, min(attempts, begun + run))
+            for lo in range(0, len(at), step := max(1, PLACE_CELLS // (len(tries) * n * n))):
+                some = at[lo : lo + step]
+                yz, ok = drawn(ids[some], ring[some], n, tries)
+                pick = np.where(ok.any(1), ok.argmax(1), len(tries) - 1)
+                out[some], good[some] = yz[np.arange(len(some)), pick], ok.any(1)
+            begun, run = begun + run, min(2 * run, 1024)
+        return out, good
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for pid, ring, n in pdf[["patch_id", "ring_r", "n_peaks"]].itertuples(index=False):
-                rng, ok = np.random.default_rng([seed, pid]), False
-                for _ in range(attempts):
-                    r = ring + rng.uniform(-var_r, var_r)
-                    eta = np.radians(rng.uniform(3, 177) * rng.choice((-1, 1)))
-                    first = np.array([ybc + r * np.sin(eta), zbc + r * np.cos(eta)])
-                    yz = np.vstack([first, first + rng.uniform(-sep_max, sep_max, (n - 1, 2))])
-                    radius = np.hypot(yz[:, 0] - ybc, yz[:, 1] - zbc)
-                    d = np.hypot(*(yz[:, None] - yz).T)[np.triu_indices(n, 1)]
-                    ok = bool((np.abs(radius - ring) < var_r).all() and (n == 1 or (d.min() > sep_min and d.max() < sep_max)))
-                    if ok:
-                        break
-                angle = np.degrees(np.arccos(np.clip((yz[:, 1] - zbc) / np.where(radius == 0, 1, radius), -1, 1))) * np.where(yz[:, 0] < ybc, -1, 1)
-                rows += [(pid, k + 1, *yz[k], radius[k], angle[k], ok) for k in range(n)]
-            yield pd.DataFrame(rows, columns=["patch_id", "k", "y", "z", "r", "eta", "ok"])
-
-    return patches.select("patch_id", "ring_r", "n_peaks").mapInPandas(run, "patch_id long, k int, y double, z double, r double, eta double, ok boolean")
+            parts = []
+            for n, own in pdf.groupby("n_peaks"):
+                ids, ring, n = own["patch_id"].to_numpy(), own["ring_r"].to_numpy(float), int(n)
+                yz, ok = placed(ids, ring, n)
+                y, z = yz[..., 0].ravel(), yz[..., 1].ravel()
+                radius = np.hypot(y - ybc, z - zbc)
+                angle = np.degrees(np.arccos(np.clip((z - zbc) / np.where(radius == 0, 1, radius), -1, 1))) * np.where(y < ybc, -1, 1)
+                parts.append(pd.DataFrame({"patch_id": np.repeat(ids, n), "k": np.tile(np.arange(1, n + 1, dtype=np.int32), len(ids)), "y": y, "z": z, "r": radius, "eta": angle, "ok": np.repeat(ok, n)}))
+            yield pd.concat(parts) if parts else pd.DataFrame({})
+
+    return patches.select("patch_id", "ring_r", "n_peaks").where("n_peaks > 0").mapInPandas(run, "patch_id long, k int, y double, z double, r double, eta double, ok boolean")
 
 
 def draw_peaks(grid: DataFrame, peaks: DataFrame, i_thresh: float = 0.0, two_widths: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .pixels import min_max_nonzero, normalize_by_max, upscale
 
 
@@ -40,12 +41,79 @@ def train_test_split(rows: DataFrame, fraction: float, order: str, total: int |
 PERCENTILES = [0.5, 0.75, 0.95, 0.995]
 
 
+#: Groups (by columns and a few numbers each) that are sent to every task; more are joined.
+GROUPS_TOLD = 100_000
+
+
+def joined_by(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by columns of which both sides may hold nulls, which match each other."""
+    own = {k: f"__{k}" for k in keys}
+    same = F.lit(True)
+    for k, other in own.items():
+        same = same & F.col(k).eqNullSafe(F.col(other))
+    return left.join(right.withColumnsRenamed(own), same, how).drop(*own.values())
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float], bins: int = 4096) -> DataFrame:
+    """by, q: the exact percentiles (linear between neighbours) of a column of doubles that aren't negative, for each group.
+
+    Each wanted rank is known to lie in an interval of values, at first its group's whole range. A pass counts the rows of
+    each interval in bins, by powers where the interval is wide, evenly where not, with the least and the greatest value of
+    each bin; the bin that holds a rank is its next interval. Two or three passes find single values. No pass gathers a
+    group's rows: what is shuffled are counts of bins, one for each task, and sums over bins take at most `bins` rows.
+    Nulls are left out; a group without values has no row; null is a group of
+    its own; NaN counts as greatest.
+    """
+    shown = by if by else ["__all"]
+    data = rows.select(*by, F.col(value).cast("double").alias("__d"), *([] if by else [F.lit(1).alias("__all")])).where("__d is not null")
+    size = data.groupBy(*shown).agg(F.count(F.lit(1)).alias("n"), F.min("__d").alias("lo"), F.max("__d").alias("hi"))
+    at = F.array(*[F.lit(float(p)) * (F.col("n") - 1) for p in shares])
+    first = F.array_distinct(F.flatten(F.array(F.transform(at, lambda x: F.floor(x)), F.transform(at, lambda x: F.ceil(x)))))
+    size = staged(size, "percentile-sizes")
+    open_, found = staged(size.select(*shown, "lo", "hi", F.lit(0).cast("long").alias("before"), F.explode(first).alias("rank")), "percentile-ranks"), None
+    same = F.col("lo").eqNullSafe(F.col("hi"))
+    while True:
+        done = open_.where(same).select(*shown, "rank", F.col("lo").alias("v"))
+        found = done if found is None else found.unionByName(done)
+        open_ = open_.where(~same)
+        left = open_.count()
+        if not left:
+            break
+        ranges = open_.groupBy(*shown, "lo", "hi", "before").agg(F.collect_list("rank").alias("ranks"))
+        met = joined_by(data, F.broadcast(ranges) if left <= GROUPS_TOLD else ranges, shown).where(F.col("__d").between(F.col("lo"), F.col("hi")))
+        low = F.greatest("lo", F.lit(5e-324))
+        width = F.log2("hi") - F.log2(low)
+        power = (F.log2("__d") - F.log2(low)) / width
+        even = (F.col("__d") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+        wide = width > 2
+        share = F.when(F.isnan("__d") | (F.col("__d") == float("inf")), F.lit(1.0)).when(F.col("__d") <= low, F.lit(0.0)).when(wide, power).otherwise(even)
+        endless = F.isnan("hi") | (F.col("hi") == float("inf"))  # what isn't finite is set apart first
+        bin_ = F.when(F.isnan("__d"), bins + 2).when(F.col("__d") == float("inf"), bins + 1).when(endless, 0).otherwise(F.least(F.floor(share * (bins - 1)) + F.when(F.col("__d") > F.col("lo"), 1).otherwise(0), F.lit(bins)))
+        counts = met.withColumn("bin", bin_).groupBy(*shown, "lo", "hi", "before", "ranks", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("__d").alias("bl"), F.max("__d").alias("bh"))
+        order = Window.partitionBy(*shown, "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(order), F.lit(0)))
+        hit = placed.select(*shown, F.col("bl").alias("lo"), F.col("bh").alias("hi"), F.col("start").alias("before"), "n", F.explode("ranks").alias("rank"))
+        open_ = staged(hit.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).drop("n"), "percentile-ranks")
+    listed = found.groupBy(*shown).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("__v"))
+    listed = joined_by(listed, size.select(*shown, "n"), shown)
+
+    def between(x):
+        low, high = F.element_at("__v", F.floor(x)), F.element_at("__v", F.ceil(x))
+        return F.when(low == high, low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high)
+
+    return listed.select(*by, F.transform(at, between).alias("q"))
+
+
 def error_stats(pairs: DataFrame, by: list[str], accuracy: int | None = 10_000) -> DataFrame:
     """pairs: truth, pred. Mean and percentiles of the absolute differences, from mergeable summaries of bounded size;
-    with accuracy None exact ones, which sort all values of a group."""
+    with accuracy None exact ones, by exact_percentiles()."""
     d = F.abs(F.col("truth") - F.col("pred"))
-    q = F.percentile(d, F.lit(PERCENTILES)) if accuracy is None else F.percentile_approx(d, PERCENTILES, accuracy)
-    rows = pairs.groupBy(*by).agg(F.avg(d).alias("mean_error"), q.alias("q"))
+    if accuracy is None:
+        data = staged(pairs.select(*by, d.alias("d")), "errors")
+        means = data.groupBy(*by).agg(F.avg("d").alias("mean_error"))
+        rows = joined_by(means, exact_percentiles(data, by, "d", PERCENTILES), by, "left")
+    else:
+        rows = pairs.groupBy(*by).agg(F.avg(d).alias("mean_error"), F.percentile_approx(d, PERCENTILES, accuracy).alias("q"))
     return rows.select(*by, "mean_error", *[F.col("q")[k].alias(f"p{str(100 * p).replace('.0', '').replace('.', '_')}") for k, p in enumerate(PERCENTILES)])
 
 

@@ -371,9 +371,10 @@ _WINDOWS = """windows AS (SELECT p.peak_id, p.imax, p.integrated_intensity, r.no
   FROM peaks p JOIN (VALUES (0, 12.0), (1, 20.0), (2, 28.0)) r(no, rr) ON radius > rr-2 AND radius < rr+2)"""
 _h = lambda *x: "cast('0x'||substr(md5(concat_ws('|','7'," + ",".join(x) + ")),1,13) as bigint)"
 _SAMPLE = f"""patch AS (SELECT i AS patch_id, 1 + {_h('i', "'n'")} % 3 AS n_peaks, {_h('i', "'ring'")} % 3 AS ring_no FROM range((SELECT count(*) FROM peaks)) t(i)),
-  tries AS (SELECT p.*, t.i AS t, {_h('p.patch_id', 't.i')} % s.ring_size AS rank FROM patch p JOIN (SELECT DISTINCT ring_no, ring_size FROM windows) s USING (ring_no) JOIN range(24) t(i) ON t.i < p.n_peaks*8),
-  firsts AS (SELECT patch_id, n_peaks, ring_no, rank, min(t) AS t FROM tries GROUP BY ALL), ks AS (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY t) AS k0 FROM firsts),
-  sampled AS (SELECT ks.patch_id, ks.ring_no, w.peak_id, w.imax, w.integrated_intensity, row_number() OVER (PARTITION BY patch_id ORDER BY w.imax DESC, w.peak_id) AS k FROM ks JOIN windows w USING (ring_no, rank) WHERE k0 <= n_peaks)"""
+  draws AS (SELECT p.*, s.ring_size - p.n_peaks AS rest, {_h('p.patch_id', '0')} AS a, {_h('p.patch_id', '1')} AS b, {_h('p.patch_id', '2')} AS c FROM patch p JOIN (SELECT DISTINCT ring_no, ring_size FROM windows) s USING (ring_no) WHERE s.ring_size >= p.n_peaks),
+  one AS (SELECT *, a % (rest+1) AS r0 FROM draws), two AS (SELECT *, CASE WHEN b % (rest+2) = r0 THEN rest+1 ELSE b % (rest+2) END AS r1 FROM one),
+  three AS (SELECT *, CASE WHEN c % (rest+3) IN (r0, r1) THEN rest+2 ELSE c % (rest+3) END AS r2 FROM two), ks AS (SELECT patch_id, ring_no, unnest([r0, r1, r2][1:n_peaks]) AS rank FROM three),
+  sampled AS (SELECT ks.patch_id, ks.ring_no, w.peak_id, w.imax, w.integrated_intensity, row_number() OVER (PARTITION BY patch_id ORDER BY w.imax DESC, w.peak_id) AS k FROM ks JOIN windows w USING (ring_no, rank))"""
 
 
 @query("SELECT ring_no, count(*) AS n, sum(peak_id) AS ids, sum(rank) AS ranks FROM windows GROUP BY 1", fx.PEAKS, _WINDOWS)
