@@ -66,15 +66,32 @@ def ring_table(hkls: DataFrame, rings_to_use: list[int], thresholds: list[float]
     return use.join(radius, "ring_nr").select("ring_idx", "ring_nr", (F.col("radius") / px).alias("radius_px"), "thresh")
 
 
-def with_ring(pixels: DataFrame, params: dict, rings: list[float], residual: Column | None = None) -> DataFrame:
-    """Adds radius_px and ring_idx (-1: on no ring) by arithmetic on the pixel's place; no ring map is stored or joined."""
-    radius = corrected_radius_px(F.col("y"), F.col("z"), params, residual)
-    return pixels.withColumn("radius_px", radius).withColumn("ring_idx", ring_index(F.col("radius_px"), rings, params["ring_width"] / params["px"]))
+#: Rows of a residual map (some 20 bytes each) that are sent to every task; more are joined by place.
+RESIDUAL_ROWS = 4_000_000
 
 
-def on_rings(pixels: DataFrame, params: dict, rings: list[float]) -> DataFrame:
+def with_residual(pixels: DataFrame, residual: DataFrame | None, name: str) -> tuple[DataFrame, Column | None]:
+    """pixels with the residual map's value (z, y, residual in pixels) at their place under the given name, and that
+    column; a place without a row has none. The map is counted first: it goes to all tasks or is joined by place."""
+    if residual is None:
+        return pixels, None
+    told = residual.select("z", "y", F.col("residual").cast("double").alias(name))
+    told = F.broadcast(told) if residual.count() <= RESIDUAL_ROWS else told
+    return pixels.join(told, ["z", "y"], "left"), F.coalesce(name, F.lit(0.0))
+
+
+def with_ring(pixels: DataFrame, params: dict, rings: list[float], residual: DataFrame | None = None) -> DataFrame:
+    """Adds radius_px and ring_idx (-1: on no ring) by arithmetic on the pixel's place; no ring map is stored or joined.
+    residual: a map (z, y, residual) of what is added to radii."""
+    rows, more = with_residual(pixels, residual, "__residual")
+    radius = corrected_radius_px(F.col("y"), F.col("z"), params, more)
+    rows = rows.withColumn("radius_px", radius).drop("__residual")
+    return rows.withColumn("ring_idx", ring_index(F.col("radius_px"), rings, params["ring_width"] / params["px"]))
+
+
+def on_rings(pixels: DataFrame, params: dict, rings: list[float], residual: DataFrame | None = None) -> DataFrame:
     """The rows whose place lies on a ring, whatever their intensity; what is joined by place later gets small."""
-    return with_ring(pixels, params, rings).where("ring_idx >= 0").drop("radius_px", "ring_idx")
+    return with_ring(pixels, params, rings, residual).where("ring_idx >= 0").drop("radius_px", "ring_idx")
 
 
 def ring_lists(table: DataFrame) -> tuple[list[float], list[float]]:
@@ -83,24 +100,27 @@ def ring_lists(table: DataFrame) -> tuple[list[float], list[float]]:
     return [r.radius_px for r in rows], [r.thresh for r in rows]
 
 
-def ring_map(spark, params: dict, rings: list[float]) -> DataFrame:
+def ring_map(spark, params: dict, rings: list[float], residual: DataFrame | None = None) -> DataFrame:
     """z, y, ring_idx of every detector pixel on a ring."""
     cells = spark.range(params["height"] * params["width"]).select(F.expr(f"cast(id div {params['width']} as int)").alias("z"), (F.col("id") % params["width"]).cast("int").alias("y"))
-    return with_ring(cells, params, rings).where("ring_idx >= 0").select("z", "y", "ring_idx")
+    return with_ring(cells, params, rings, residual).where("ring_idx >= 0").select("z", "y", "ring_idx")
 
 
-def good_pixels(pixels: DataFrame, params: dict, rings: list[float], thresholds: list[float]) -> DataFrame:
-    """Pixels on a ring at or above its threshold; all others count as 0 and have no row. Narrow: no shuffle, no join."""
+def good_pixels(pixels: DataFrame, params: dict, rings: list[float], thresholds: list[float], residual: DataFrame | None = None) -> DataFrame:
+    """Pixels on a ring at or above its threshold; all others count as 0 and have no row. Narrow: no shuffle, no join but
+    that of a residual map."""
     if min(thresholds) <= 0:
         raise ValueError("thresholds must be positive: absent pixels count as below them")
-    radius = corrected_radius_px(F.col("y"), F.col("z"), params)
+    columns = pixels.columns
+    pixels, more = with_residual(pixels, residual, "__residual")
+    radius = corrected_radius_px(F.col("y"), F.col("z"), params, more)
     width = params["ring_width"] / params["px"]
     # the radius is worked out once a pixel; a filter on columns would repeat it for every ring
     place = F.transform(F.array(radius), lambda r: F.struct(r.alias("radius_px"), ring_index(r, rings, width).alias("ring_idx")))
     least = F.lit([float(t) for t in thresholds])
     hit = F.filter(place, lambda x: (x["ring_idx"] >= 0) & (F.col("intensity") >= F.get(least, x["ring_idx"])))
     rows = pixels.select("*", F.explode_outer(hit).alias("__hit")).where(F.col("__hit").isNotNull())
-    return rows.select(*pixels.columns, "__hit.radius_px", "__hit.ring_idx")
+    return rows.select(*columns, "__hit.radius_px", "__hit.ring_idx")
 
 
 def threshold_frames(pixels: DataFrame, least: float) -> DataFrame:

@@ -30,12 +30,26 @@ def model_lookup(names: DataFrame, models: DataFrame) -> DataFrame:
     return rows.withColumn(first, known.cast(dict(models.dtypes)[first]))
 
 
+#: Numbers in the matrix of windows that one product takes, and pixels of results that are worked out together: what the
+#: processor's own memory holds is several times as fast as more.
+CONV_CELLS, BLOCK_CELLS = 400_000, 50_000
+
+
 def conv(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """x: in_ch, h, w; w: out_ch, in_ch, k, k. Same-size correlation with zero padding, one matrix product."""
+    """x: patches, in_ch, h, w; w: out_ch, in_ch, k, k. Same-size correlation with zero padding, as matrix products of bounded
+    size: some patches together where they are small, bands of rows of one where it is large."""
     out_ch, in_ch, k, _ = w.shape
-    pad = np.pad(x, ((0, 0), (k // 2, k // 2), (k // 2, k // 2)))
-    windows = np.lib.stride_tricks.sliding_window_view(pad, (k, k), (1, 2))
-    return np.tensordot(w, windows, ((1, 2, 3), (0, 3, 4))) + b[:, None, None]
+    n, _, high, wide = x.shape
+    pad = np.pad(x, ((0, 0), (0, 0), (k // 2, k // 2), (k // 2, k // 2)))
+    windows = np.lib.stride_tricks.sliding_window_view(pad, (k, k), (2, 3))
+    row = in_ch * k * k * wide
+    some, band = max(1, CONV_CELLS // (row * high)), max(1, min(high, CONV_CELLS // row))
+    out = np.empty((n, out_ch, high, wide), np.result_type(x, w))
+    for lo in range(0, n, some):
+        for top in range(0, high, band):
+            part = windows[lo : lo + some, :, top : top + band]
+            out[lo : lo + some, :, top : top + band] = np.tensordot(w, part, ((1, 2, 3), (1, 4, 5))).swapaxes(0, 1)
+    return out + b[:, None, None]
 
 
 Layers = list[tuple[np.ndarray, np.ndarray, str]]
@@ -51,18 +65,21 @@ def load_layers(model_layers: DataFrame, models: list[str]) -> dict[str, Layers]
 
 
 def apply_layers(x: np.ndarray, layers: Layers) -> np.ndarray:
-    out = x[None].astype(np.float32)
+    """x: patches, h, w."""
+    out = x[:, None].astype(np.float32)
     for w, b, act in layers:
         out = ACTIVATIONS[act](conv(out, w, b)) if act in ACTIVATIONS else conv(out, w, b)
-    return out[0]
+    return out[:, 0]
 
 
 def raise_resolution(x: np.ndarray, f: int) -> np.ndarray:
-    return np.repeat(np.repeat(x, f, 0), f, 1) / (f * f)
+    return np.repeat(np.repeat(x, f, 1), f, 2) / (f * f)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / (x.max() or 1)
+    """Each patch divided by its maximum, if that isn't 0."""
+    top = x.max((1, 2), keepdims=True)
+    return x / np.where(top == 0, 1, top)
 
 
 #: Pixels of results that are handed back together.
@@ -74,27 +91,39 @@ def super_resolve(patches: DataFrame, model_layers: DataFrame, stages: list[tupl
 
     stages: (model, factor to raise by) in turn; each raises the last result, divides it by its maximum and applies the
     model. A result is rescaled to the native sum at the factors in rescale_at; normalise divides every result by its
-    maximum, as predictions do. One stage (model, 8) gives the direct form. Compute bound: rows are spread evenly.
+    maximum, as predictions do. One stage (model, 8) gives the direct form. Compute bound: rows are spread evenly, and patches
+    of a batch go through a layer together; Spark gives a task's arithmetic as many threads as spark.task.cpus.
     """
     weights = load_layers(model_layers, [m for m, _ in stages])
 
+    def raised(ids: np.ndarray, x: np.ndarray) -> list[tuple]:
+        total, factor, out = x.sum((1, 2), keepdims=True), 1, []
+        for model, f in stages:
+            factor *= f
+            x = apply_layers(unit(raise_resolution(x, f)), weights[model])
+            if normalise:
+                x = unit(x)
+            elif factor in rescale_at:
+                now = x.sum((1, 2), keepdims=True)
+                x = x * (total / np.where(now == 0, 1, now))
+            out += [(pid, factor, x.shape[1], one.ravel()) for pid, one in zip(ids.tolist(), x.astype(float), strict=True)]
+        return out
+
+    largest = int(np.prod([f for _, f in stages])) ** 2
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, out, held = ["patch_id", "srfac", "side", "px"], [], 0
         for pdf in batches:
-            out = []
-            for pid, px in zip(pdf["patch_id"], pdf["px"], strict=True):
-                x = np.asarray(px, np.float32).reshape(int(len(px) ** 0.5), -1)
-                total, factor = float(x.sum()), 1
-                for model, f in stages:
-                    factor *= f
-                    x = apply_layers(unit(raise_resolution(x, f)), weights[model])
-                    if normalise:
-                        x = unit(x)
-                    elif factor in rescale_at:
-                        x = x * (total / (float(x.sum()) or 1))
-                    out.append((pid, factor, len(x), x.ravel().astype(float)))
-                if sum(len(o[3]) for o in out) > OUT_CELLS:
-                    yield pd.DataFrame(out, columns=["patch_id", "srfac", "side", "px"])
-                    out = []
-            yield pd.DataFrame(out, columns=["patch_id", "srfac", "side", "px"])
+            for cells, own in pdf.groupby(pdf["px"].map(len)):
+                step = max(1, BLOCK_CELLS // (cells * largest))
+                for lo in range(0, len(own), step):
+                    some = own.iloc[lo : lo + step]
+                    x = np.stack(some["px"].to_numpy()).astype(np.float32).reshape(len(some), int(cells**0.5), -1)
+                    out += raised(some["patch_id"].to_numpy(), x)
+                    held += len(some) * cells * largest
+                    if held > OUT_CELLS:
+                        yield pd.DataFrame(out, columns=names)
+                        out, held = [], 0
+        yield pd.DataFrame(out, columns=names)
 
     return patches.select("patch_id", "px").repartition("patch_id").mapInPandas(run, "patch_id long, srfac int, side int, px array<double>")

@@ -72,6 +72,17 @@ def ring_map_coverage(spark, sf_dir):
     return rounded(frames.ring_map(spark, P, fx.RINGS).join(sums, ["z", "y"]))
 
 
+_SHIFTED = (fx.PIXELS, ringed("pixels").replace(")/200.0 AS radius_px", ")/200.0 + CASE WHEN (z+y) % 5 = 0 THEN 0.0 ELSE ((z*7+y*3) % 9 - 4) * 0.75 END AS radius_px"), GOOD[-1])
+
+
+@query("SELECT frame_id, ring_idx, count(*) AS n_pixels, sum(intensity) AS isum, round(sum(radius_px), 4) AS radii FROM good GROUP BY 1, 2", *_SHIFTED)
+def residual_rings(spark, sf_dir):
+    """Pixels on rings where a residual map moves radii by up to three pixels; a fifth of all places isn't in the map."""
+    places = spark.range(fx.SIDE**2).selectExpr("cast(id div 96 as int) as z", "cast(id % 96 as int) as y").where("(z + y) % 5 <> 0")
+    rows = frames.good_pixels(fx.pixels(spark, sf_dir), P, fx.RINGS, fx.THRESH, places.selectExpr("z", "y", "((z*7 + y*3) % 9 - 4) * 0.75D as residual"))
+    return rounded(rows.groupBy("frame_id", "ring_idx").agg(F.count(F.lit(1)).alias("n_pixels"), F.sum("intensity").alias("isum"), F.sum("radius_px").alias("radii")), 4)
+
+
 @query("SELECT frame_id - 2 AS frame_id, frame_id AS frame_orig, CAST(95 - y AS BIGINT) AS z, CAST(z AS BIGINT) AS y, intensity FROM pixels WHERE frame_id >= 2", fx.PIXELS)
 def skipped_and_turned(spark, sf_dir):
     """Mirrored columns, then transposed."""

@@ -15,12 +15,13 @@ def turned(params: dict, transform: tuple[int, ...]) -> dict:
     return {**params, "height": params["width"], "width": params["height"]} if list(transform).count(3) % 2 else params
 
 
-def frames_to_spots(pixels: DataFrame, params: dict, rings: list[float], thresholds: list[float], correction: DataFrame | None = None, bc: float = 1.0, bad: float = 0.0, skip: int = 0, transform: tuple[int, ...] = (), tile_rows: int | None = None) -> DataFrame:
+def frames_to_spots(pixels: DataFrame, params: dict, rings: list[float], thresholds: list[float], correction: DataFrame | None = None, bc: float = 1.0, bad: float = 0.0, skip: int = 0, transform: tuple[int, ...] = (), tile_rows: int | None = None, residual: DataFrame | None = None) -> DataFrame:
     """Frames to labelled spots. params hold for frames as given; frames, dark and flood are turned alike, the mask is not.
     rings and thresholds: as by frames.ring_lists(). Pixels off the rings go before the correction is joined, on both
     sides; up to the one shuffle by frame nothing is shuffled as long as the correction can be told to all tasks, and pixels
     from frame buckets (io.write_frame_buckets()) aren't shuffled at all: frames are numbered anew behind labelling.
-    tile_rows: for frames too large for a task, spots.label_spots()."""
+    tile_rows: for frames too large for a task, spots.label_spots(). residual: a map (z, y, residual) of what is added to
+    the radii of places, as frames lie after turning."""
     rows = pixels.where(F.col("frame_id") >= skip) if skip else pixels
     own = turned(params, transform)
     if transform:
@@ -28,8 +29,8 @@ def frames_to_spots(pixels: DataFrame, params: dict, rings: list[float], thresho
     if correction is not None:
         if transform:
             correction = frames.turn_correction(correction, list(transform), params["height"], params["width"])
-        rows = frames.correct_pixels(frames.on_rings(rows, own, rings), frames.on_rings(correction, own, rings), bc, bad)
-    labelled = spots.label_spots(frames.good_pixels(rows, own, rings, thresholds), tile_rows=tile_rows)
+        rows = frames.correct_pixels(frames.on_rings(rows, own, rings, residual), frames.on_rings(correction, own, rings, residual), bc, bad)
+    labelled = spots.label_spots(frames.good_pixels(rows, own, rings, thresholds, residual), tile_rows=tile_rows)
     return labelled.withColumn("frame_id", F.col("frame_id") - skip) if skip else labelled
 
 

@@ -114,3 +114,20 @@ def test_a_frame_takes_many_tasks(spark):
     assert out.select("spot_id").distinct().count() == 20
     text = plan_of(spots.label_spots(good, tile_rows=10))
     assert "hashpartitioning(scan_id" in text and "SinglePartition" not in text
+
+
+def test_residual_map_moves_pixels_on_and_off_rings(spark, data, monkeypatch):
+    pixels = fixtures.pixels(spark, data)
+    args = (fixtures.PARAMS, fixtures.RINGS, fixtures.THRESH)
+    zero = spark.createDataFrame([(0, 0, 0.0)], "z int, y int, residual double")
+    plain = sorted(map(tuple, frames.good_pixels(pixels, *args).collect()))
+    assert sorted(map(tuple, frames.good_pixels(pixels, *args, zero).select(*frames.good_pixels(pixels, *args).columns).collect())) == plain
+    places = spark.range(96 * 96).selectExpr("cast(id div 96 as int) as z", "cast(id % 96 as int) as y", "(id % 13 - 6) * 0.5D as residual")
+    moved = frames.with_ring(pixels, args[0], args[1], places).join(places, ["z", "y"]).join(frames.with_ring(pixels, args[0], args[1]).select("frame_id", "z", "y", F.col("radius_px").alias("was")), ["frame_id", "z", "y"])
+    assert moved.where("abs(radius_px - was - residual) > 1e-9").count() == 0 and moved.count() == pixels.count()
+    assert frames.ring_map(spark, args[0], args[1], places).count() != frames.ring_map(spark, args[0], args[1]).count()
+    got = [workloads.frames_to_spots(pixels, *args, residual=places, **more) for more in ({}, {"correction": fixtures.correction(spark)})]
+    monkeypatch.setattr(frames, "RESIDUAL_ROWS", 0)
+    joined = [workloads.frames_to_spots(pixels, *args, residual=places, **more) for more in ({}, {"correction": fixtures.correction(spark)})]
+    for a, b in zip(got, joined, strict=True):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
