@@ -135,19 +135,29 @@ def listed(peaks: DataFrame) -> DataFrame:
 
 def flood(px: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Watershed of -px from markers: the brightest waiting pixel is taken next, first come first served among equals;
-    four neighbours."""
-    label, heap, age = np.where(mask, markers, 0), [], 0
-    for r, c in zip(*np.nonzero(label), strict=True):
-        heapq.heappush(heap, (-px[r, c], age, r, c))
-        age += 1
+    four neighbours. What waits is one whole number a pixel, of the value's rank, the turn and the place, in a frame of
+    closed pixels, so that neither bounds nor values are looked at on the way. (Turns decide between equal neighbours,
+    so no form that takes a level at once gives the same labels.)"""
+    if not mask.any():
+        return np.zeros(px.shape, markers.dtype)
+    wide, bits = px.shape[1] + 2, (px.size + 4 * sum(px.shape)).bit_length()
+    ranks = np.zeros(px.shape, np.int64)
+    ranks[mask] = np.unique(-px[mask], return_inverse=True)[1]
+    label = np.pad(np.where(mask, markers, 0), 1)
+    key = (np.pad(ranks, 1).ravel() << 2 * bits).tolist()
+    closed = (~np.pad(mask, 1) | (label > 0)).ravel().tolist()
+    shape, label = label.shape, label.ravel().tolist()
+    heap = [key[i] | age << bits | i for age, i in enumerate(np.flatnonzero(label).tolist())]
+    age, last = len(heap), (1 << bits) - 1
+    heapq.heapify(heap)
     while heap:
-        _, _, r, c = heapq.heappop(heap)
-        for i, j in ((r - 1, c), (r, c - 1), (r, c + 1), (r + 1, c)):
-            if 0 <= i < px.shape[0] and 0 <= j < px.shape[1] and mask[i, j] and not label[i, j]:
-                label[i, j] = label[r, c]
-                heapq.heappush(heap, (-px[i, j], age, i, j))
+        i = heapq.heappop(heap) & last
+        for j in (i - wide, i - 1, i + 1, i + wide):
+            if not closed[j]:
+                closed[j], label[j] = True, label[i]
+                heapq.heappush(heap, key[j] | age << bits | j)
                 age += 1
-    return label
+    return np.array(label, markers.dtype).reshape(shape)[1:-1, 1:-1]
 
 
 def watershed(patches: DataFrame, rel: float) -> DataFrame:

@@ -51,7 +51,7 @@ def frames_to_peaks(
     (srfac 1). Maxima are sought in smoothed patches (sigma, median; the defaults change nothing), measured in the
     patches themselves. skip: frames left out before numbering; omega goes by the original number. edge: fine pixels
     (2.5 native ones by default). failures: a folder to which patches whose fit failed are written. The labelled spots, the
-    model's results, the maxima and the fits are written once."""
+    patches, the model's results, the maxima and the fits are written once."""
     if method not in ("com", "pv", "auto"):
         raise ValueError(method)
     form = form or ("adam" if method == "pv" else "bounded")
@@ -61,11 +61,10 @@ def frames_to_peaks(
     labelled = staged(labelled, "labelled-spots")
     origins = spots.patch_ids(spots.patch_origins(spots.spot_stats(labelled), size, params["height"], params["width"], least_pixels))
     native = spots.extract_patches(labelled, origins, size).join(origins.select(*spots.SPOT, "patch_id"), spots.SPOT)
-    arrays = spots.to_arrays(native, ["patch_id"], size)
+    arrays = staged(spots.to_arrays(native, ["patch_id"], size), "patches")
     info = arrays.select("patch_id", spots.patch_sum(F.col("px")).alias("isum"), spots.patch_max(F.col("px")).alias("raw_imax"), F.col("px").alias("native"))
     info = info.join(origins.select("patch_id", "scan_id", "frame_id", "spot_id", "z00", "y00", "n_pixels"), "patch_id").withColumnRenamed("spot_id", "label")
-    fine = arrays if model_layers is None else superres.super_resolve(arrays, model_layers, stages or []).where(F.col("srfac") == srfac).select("patch_id", "px")
-    fine = staged(fine, "patches")
+    fine = arrays if model_layers is None else staged(superres.super_resolve(arrays, model_layers, stages or []).where(F.col("srfac") == srfac).select("patch_id", "px"), "fine-patches")
     maxima = staged(peaks.local_maxima(peaks.smooth(fine, sigma, median), min_d, rel, rule=rule), "maxima")  # read by several branches
     of_patch = maxima.groupBy("patch_id").agg(F.count(F.lit(1)).alias("n_peaks"))
     about = info.select("patch_id", "scan_id", "frame_id", "z00", "y00", "n_pixels", "raw_imax", "isum")

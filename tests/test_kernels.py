@@ -193,3 +193,24 @@ def test_places_keep_to_all_limits(spark):
         assert all(2 < x < 12 for x in d)
     again = synth.place_peaks(patches.repartition(7), 2.0, 2.0, 12.0, 48.25, 47.75, 7).toPandas()
     assert (again.sort_values(["patch_id", "k"])["y"].to_numpy() == out.sort_values(["patch_id", "k"])["y"].to_numpy()).all()
+
+
+def test_flood_with_ties_as_by_a_queue_of_pixels():
+    """First come, first served among equal pixels: the same steps over rows and columns."""
+    for k in range(60):
+        shape = (rng.integers(1, 12), rng.integers(1, 12))
+        px, mask = rng.integers(0, 2 + k % 4, shape).astype(float), rng.uniform(size=shape) < 0.9
+        markers = np.where(rng.uniform(size=shape) < 0.1, rng.integers(1, 5, shape), 0)
+        want, waiting, age = np.where(mask, markers, 0), [], 0
+        for r, c in zip(*np.nonzero(want), strict=True):
+            waiting.append((-px[r, c], age, r, c))
+            age += 1
+        while waiting:
+            waiting.sort()
+            _, _, r, c = waiting.pop(0)
+            for i, j in ((r - 1, c), (r, c - 1), (r, c + 1), (r + 1, c)):
+                if 0 <= i < shape[0] and 0 <= j < shape[1] and mask[i, j] and not want[i, j]:
+                    want[i, j] = want[r, c]
+                    waiting.append((-px[i, j], age, i, j))
+                    age += 1
+        assert (peaks.flood(px, markers, mask) == want).all()

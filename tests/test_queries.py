@@ -8,7 +8,7 @@ import pytest
 
 from diffspark.plans.queries import QUERIES, SQL
 
-NAMES = ["ring_summary", "spot_statistics", "corrected_pixels", "centroids", "top_peaks", "drawn_frames", "sampled_peaks", "error_statistics", "early_stops", "peak_file_index", "multires_cells", "oriented_spots", "local_maxima", "centres_of_mass", "reconstruction_errors"]
+NAMES = ["ring_summary", "spot_statistics", "corrected_pixels", "centroids", "top_peaks", "drawn_frames", "sampled_peaks", "error_statistics", "early_stops", "peak_file_index", "multires_cells", "oriented_spots", "local_maxima", "centres_of_mass", "reconstruction_errors", "spaced_maxima", "tiled_spots", "residual_rings"]
 
 
 def rows(df, columns):
