@@ -41,8 +41,9 @@ def train_test_split(rows: DataFrame, fraction: float, order: str, total: int |
 PERCENTILES = [0.5, 0.75, 0.95, 0.995]
 
 
-#: Groups (by columns and a few numbers each) that are sent to every task; more are joined.
-GROUPS_TOLD = 100_000
+#: Groups (by columns and a few numbers each) that are sent to every task; more are joined. Values that are sorted in one
+#: row.
+GROUPS_TOLD, SORTED = 100_000, 100_000
 
 
 def joined_by(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -59,8 +60,9 @@ def exact_percentiles(rows: DataFrame, by: list[str], value: str, shares: list[f
 
     Each wanted rank is known to lie in an interval of values, at first its group's whole range. A pass counts the rows of
     each interval in bins, by powers where the interval is wide, evenly where not, with the least and the greatest value of
-    each bin; the bin that holds a rank is its next interval. Two or three passes find single values. No pass gathers a
-    group's rows: what is shuffled are counts of bins, one for each task, and sums over bins take at most `bins` rows.
+    each bin; the bin that holds a rank is its next interval. An interval of at most SORTED rows is sorted, so one pass
+    does for groups of some 400 million rows, two for any. No pass gathers a larger group's rows: what is shuffled are
+    counts of bins, one for each task, and sums over bins take at most `bins` rows.
     Nulls are left out; a group without values has no row; null is a group of
     its own; NaN counts as greatest.
     """
@@ -70,17 +72,24 @@ def exact_percentiles(rows: DataFrame, by: list[str], value: str, shares: list[f
     at = F.array(*[F.lit(float(p)) * (F.col("n") - 1) for p in shares])
     first = F.array_distinct(F.flatten(F.array(F.transform(at, lambda x: F.floor(x)), F.transform(at, lambda x: F.ceil(x)))))
     size = staged(size, "percentile-sizes")
-    open_, found = staged(size.select(*shown, "lo", "hi", F.lit(0).cast("long").alias("before"), F.explode(first).alias("rank")), "percentile-ranks"), None
+    open_, found = size.select(*shown, "lo", "hi", "n", F.lit(0).cast("long").alias("before"), F.explode(first).alias("rank")), None
     same = F.col("lo").eqNullSafe(F.col("hi"))
+
+    def met(ranges: DataFrame, told: bool) -> DataFrame:
+        """The values within intervals."""
+        return joined_by(data, F.broadcast(ranges) if told else ranges, shown).where(F.col("__d").between(F.col("lo"), F.col("hi")))
+
     while True:
+        left, large = open_.agg(F.count_if(~same), F.count_if(~same & (F.col("n") > SORTED))).first()
+        ranges = open_.where(~same).groupBy(*shown, "lo", "hi", "before", "n").agg(F.collect_list("rank").alias("ranks"))
         done = open_.where(same).select(*shown, "rank", F.col("lo").alias("v"))
+        if left > large:
+            lists = met(ranges.where(F.col("n") <= SORTED), left <= GROUPS_TOLD).groupBy(*shown, "lo", "hi", "before", "ranks").agg(F.sort_array(F.collect_list("__d")).alias("vs"))
+            done = done.unionByName(lists.select(*shown, "before", "vs", F.explode("ranks").alias("rank")).select(*shown, "rank", F.get("vs", (F.col("rank") - F.col("before")).cast("int")).alias("v")))
         found = done if found is None else found.unionByName(done)
-        open_ = open_.where(~same)
-        left = open_.count()
-        if not left:
+        if not large:
             break
-        ranges = open_.groupBy(*shown, "lo", "hi", "before").agg(F.collect_list("rank").alias("ranks"))
-        met = joined_by(data, F.broadcast(ranges) if left <= GROUPS_TOLD else ranges, shown).where(F.col("__d").between(F.col("lo"), F.col("hi")))
+        inside = met(ranges.where(F.col("n") > SORTED).drop("n"), left <= GROUPS_TOLD)
         low = F.greatest("lo", F.lit(5e-324))
         width = F.log2("hi") - F.log2(low)
         power = (F.log2("__d") - F.log2(low)) / width
@@ -89,11 +98,11 @@ def exact_percentiles(rows: DataFrame, by: list[str], value: str, shares: list[f
         share = F.when(F.isnan("__d") | (F.col("__d") == float("inf")), F.lit(1.0)).when(F.col("__d") <= low, F.lit(0.0)).when(wide, power).otherwise(even)
         endless = F.isnan("hi") | (F.col("hi") == float("inf"))  # what isn't finite is set apart first
         bin_ = F.when(F.isnan("__d"), bins + 2).when(F.col("__d") == float("inf"), bins + 1).when(endless, 0).otherwise(F.least(F.floor(share * (bins - 1)) + F.when(F.col("__d") > F.col("lo"), 1).otherwise(0), F.lit(bins)))
-        counts = met.withColumn("bin", bin_).groupBy(*shown, "lo", "hi", "before", "ranks", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("__d").alias("bl"), F.max("__d").alias("bh"))
+        counts = inside.withColumn("bin", bin_).groupBy(*shown, "lo", "hi", "before", "ranks", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("__d").alias("bl"), F.max("__d").alias("bh"))
         order = Window.partitionBy(*shown, "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         placed = counts.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(order), F.lit(0)))
         hit = placed.select(*shown, F.col("bl").alias("lo"), F.col("bh").alias("hi"), F.col("start").alias("before"), "n", F.explode("ranks").alias("rank"))
-        open_ = staged(hit.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).drop("n"), "percentile-ranks")
+        open_ = staged(hit.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))), "percentile-ranks")
     listed = found.groupBy(*shown).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("__v"))
     listed = joined_by(listed, size.select(*shown, "n"), shown)
 

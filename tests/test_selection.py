@@ -19,8 +19,9 @@ def exact(values, p):
     return low if low == high else (math.ceil(x) - x) * low + (x - math.floor(x)) * high
 
 
-@pytest.mark.parametrize("bins", [64, 4096])
-def test_percentiles_equal_sorted_values(spark, bins):
+@pytest.mark.parametrize(("bins", "at_once"), [(64, 1), (64, 40), (4096, 1), (4096, 10**5)])
+def test_percentiles_equal_sorted_values(spark, monkeypatch, bins, at_once):
+    monkeypatch.setattr(training, "SORTED", at_once)
     groups = {
         "even": rng.uniform(0, 1, 4001).tolist(),
         "ties": rng.integers(0, 4, 3000).astype(float).tolist(),
@@ -49,6 +50,8 @@ def test_groups_that_are_joined_give_the_same(spark, monkeypatch):
     told = sorted(map(str, training.exact_percentiles(rows, ["g"], "d", [0.1, 0.9]).collect()))
     monkeypatch.setattr(training, "GROUPS_TOLD", 0)
     assert sorted(map(str, training.exact_percentiles(rows, ["g"], "d", [0.1, 0.9]).collect())) == told
+    monkeypatch.setattr(training, "SORTED", 10)
+    assert sorted(map(str, training.exact_percentiles(rows, ["g"], "d", [0.1, 0.9]).collect())) == told
     assert training.exact_percentiles(rows.limit(0), ["g"], "d", [0.5]).count() == 0
 
 
