@@ -5,7 +5,8 @@ The index keeps, with every vector, its distances to many pivots. For a query q
 their inner product. Candidates are evaluated in the order of that bound, until no bound left reaches the k-th best
 score: results are exact.
 
-Vectors are whole numbers, floor(256 * x). Vectors that are null or hold null or non-finite components take no part;
+Vectors are whole numbers, floor(256 * x), kept in units of 1/256, so that none is too large for a double. Scores are
+exact; one beyond a long's range counts as the long nearest to it, in the order too. Vectors that are null or hold null or non-finite components take no part;
 only vectors of the same dimension are compared; empty vectors take none. Repeated rows are candidates each; queries
 that agree in id and vector are one query; a query's own rows (same id) are not its candidates. Null ids take no part.
 """
@@ -26,14 +27,18 @@ BLOCK = 4096
 #: Bytes of query blocks that one pass sends to every executor.
 PASS_BYTES = 64 << 20
 STEP = 512
+#: Relative error of a distance, against the norms of both ends.
+SLACK = 1e-6
+#: Whole numbers to 1 of an index's vectors.
+UNIT = 256
 
 
 def quantised(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id long, v array<double> of whole numbers, of the rows that take part."""
+    """vec_id long, v array<double> of multiples of 1/256, of the rows that take part."""
     x = F.col(f"`{embedding}`").cast("array<double>")
-    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) > 1e300))
+    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & ~bad)
-    return rows.select("vec_id", F.transform("x", lambda c: _floor(c * 256)).alias("v"))
+    return rows.select("vec_id", F.transform("x", lambda c: F.when(F.abs(c) < 2.0**52, _floor(c * UNIT) / UNIT).otherwise(c)).alias("v"))
 
 
 def _floor(c):
@@ -75,7 +80,8 @@ def pack(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                     at = member[lo : lo + BLOCK]
                     v = flat[starts[at][:, None] + np.arange(dim)]
                     p = pivots.get(dim, v[:1] * 0)
-                    d = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (p * p).sum(1) - 2 * v @ p.T, 0))
+                    with np.errstate(over="ignore", invalid="ignore"):  # distances beyond doubles bound nothing
+                        d = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (p * p).sum(1) - 2 * v @ p.T, 0))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x]) for x in (np.int32(dim), np.int32(len(at)), vec_id[at].tobytes(), v.tobytes(), d.tobytes())], names
                     )
@@ -83,29 +89,46 @@ def pack(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(run, PACKED)
 
 
-def _scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; beyond what doubles hold exactly, by Python's integers, held to a long's range."""
-    if np.abs(v).max(initial=0) * np.abs(q).max(initial=0) * len(q) < 2**53:
-        return (v @ q).astype(np.int64)
-    whole = [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in v]
-    return np.array([max(-(2**63), min(2**63 - 1, s)) for s in whole], np.int64)
+def _whole(x: float, unit: int) -> int:
+    """unit * x, a whole number."""
+    return int(x) * unit if abs(x) >= 2.0**53 else int(x * unit)
+
+
+def _scores(v: np.ndarray, q: np.ndarray, unit: int = 1) -> np.ndarray:
+    """Exact inner products of unit * v and unit * q; of rows beyond what doubles hold exactly by Python's integers, held to
+    a long's range."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        plain = np.abs(v).max(1, initial=0) * np.abs(q).max(initial=0) < 2.0**53 / (unit * unit * len(q))
+    out = np.zeros(len(v), np.int64)
+    out[plain] = (v[plain] @ q * (unit * unit)).astype(np.int64)
+    if not plain.all():
+        whole = [_whole(b, unit) for b in q.tolist()]
+        for k in np.flatnonzero(~plain).tolist():
+            score = sum(_whole(a, unit) * b for a, b in zip(v[k].tolist(), whole, strict=True))
+            out[k] = max(-(2**63), min(2**63 - 1, score))
+    return out
 
 
 class Best:
     """The k best (score, id) of each query of a block so far, and the search of one more block of vectors."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, d: np.ndarray, k: int):
-        self.ids, self.q, self.d, self.k = ids, q, d, k
-        self.norm = (q * q).sum(1)
+    def __init__(self, ids: np.ndarray, q: np.ndarray, d: np.ndarray, k: int, unit: int = 1):
+        self.ids, self.q, self.d, self.k, self.unit = ids, q, d, k, unit
+        with np.errstate(over="ignore"):
+            self.norm = (q * q).sum(1)
         self.top: list[list[tuple[int, int]]] = [[] for _ in ids]
         self.seen = self.evaluated = 0  # candidates met, and those whose score was worked out
 
     def search(self, ids: np.ndarray, v: np.ndarray, d: np.ndarray) -> None:
-        norm = (v * v).sum(1)
-        slack = 1e-6 * (norm.max() + self.norm.max()) + 1
+        with np.errstate(over="ignore"):
+            norm = (v * v).sum(1)
+            least, most = d * (1 - SLACK), d * (1 + SLACK)
         for n, (qid, q) in enumerate(zip(self.ids.tolist(), self.q, strict=True)):
-            low = np.abs(d - self.d[n]).max(1)
-            high = (norm + self.norm[n] - low * low) / 2 + slack
+            with np.errstate(over="ignore", invalid="ignore"):
+                low = np.maximum((least - self.d[n] * (1 + SLACK)).max(1), (self.d[n] * (1 - SLACK) - most).max(1))
+                low = np.maximum(low - 2 * SLACK * (np.sqrt(norm) + np.sqrt(self.norm[n])), 0)
+                high = ((norm + self.norm[n] - low * low) / 2 + SLACK * (norm + self.norm[n])) * self.unit**2 + 1
+            high[~np.isfinite(high)] = np.inf
             top = self.top[n]
             floor = top[-1][0] if len(top) == self.k else None
             self.seen += len(ids)
@@ -115,7 +138,7 @@ class Best:
                 at = order[lo : lo + STEP]
                 if len(top) == self.k and high[at[0]] < top[-1][0]:
                     break
-                score = _scores(v[at], q)
+                score = _scores(v[at], q, self.unit)
                 self.evaluated += len(at)
                 if len(at) > self.k:  # what can't be among the k best of this step, ties kept
                     keep = score >= np.partition(score, len(score) - self.k)[len(score) - self.k]
@@ -146,6 +169,8 @@ def exact_top_k(
         if sum(x.bytes for x in passes[-1]) + b.bytes > PASS_BYTES:
             passes.append([])
         passes[-1].append(b)
+    if len(passes) > 1:
+        index = stored(index, "index")
     found = [_one_pass(index, asked, p, k) for p in passes if p]
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -169,7 +194,7 @@ def _one_pass(index: DataFrame, asked: DataFrame, blocks: list, k: int) -> DataF
             for r in batch.to_pylist():
                 if r["qb"] not in best:
                     q = np.frombuffer(r["q_v"]).reshape(-1, r["dim"])
-                    best[r["qb"]] = Best(np.frombuffer(r["q_ids"], np.int64), q, np.frombuffer(r["q_pivot_d"]).reshape(len(q), -1), k)
+                    best[r["qb"]] = Best(np.frombuffer(r["q_ids"], np.int64), q, np.frombuffer(r["q_pivot_d"]).reshape(len(q), -1), k, UNIT)
                 v = np.frombuffer(r["v"]).reshape(-1, r["dim"])
                 best[r["qb"]].search(np.frombuffer(r["ids"], np.int64), v, np.frombuffer(r["pivot_d"]).reshape(len(v), -1))
         for qb, b in best.items():
