@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, small, stored
+from .common import WORD, fresh, small, stored
 from .components import components
 from .regions import SLACK, Region
 from .shingle_sets import digests, shingle_sets
@@ -331,12 +331,13 @@ def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     """The rows of docs without all but one of each group of linked texts: that with the smallest id stays (null ids
     last; of equal ids that with the smallest text hash; of rows equal in both one). Rows without a word all stay."""
     groups = stored(jaccard_groups(docs, text=text, doc_id=doc_id, **options).where("component is not null"), "jaccard-groups")
+    own_id, own_th = (fresh(c, docs.columns) for c in ("__jaccard_id", "__jaccard_th"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
-    kept = stored(groups.groupBy("component").agg(first.alias("k")).select(F.col("k.doc_id").alias("__jaccard_id"), F.col("k.th").alias("__jaccard_th")), "jaccard-kept")
+    kept = stored(groups.groupBy("component").agg(first.alias("k")).select(F.col("k.doc_id").alias(own_id), F.col("k.th").alias(own_th)), "jaccard-kept")
     words = F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(WORD)
     th = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__jaccard_id")) & (th == F.col("__jaccard_th"))
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(own_id)) & (th == F.col(own_th))
     stay = docs.where(words).join(kept, same, "left_semi")
     if not groups.groupBy("doc_id", "th").count().where("count > 1").isEmpty():  # repeated rows: one of each
-        stay = stay.withColumn("__jaccard_th", th).dropDuplicates([doc_id, "__jaccard_th"]).drop("__jaccard_th")
+        stay = stay.withColumn(own_th, th).dropDuplicates([doc_id, own_th]).drop(own_th)
     return stay.unionByName(docs.where(~words))

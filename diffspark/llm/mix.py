@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import fresh, n_words, stored
 
 #: Most rows of a table that is sent to all executors (some tens of bytes each).
 BROADCAST_ROWS = 200_000
@@ -226,13 +226,27 @@ def assigned(sized: DataFrame, decisions: dict[str, DataFrame]) -> DataFrame:
     return rows.withColumn("__shards", F.concat(F.coalesce("__sure", none), F.coalesce(more, none)))
 
 
+def _shielded(docs: DataFrame, options: dict) -> tuple[DataFrame, dict, dict[str, str]]:
+    """docs with other names for columns that might clash with the ones used here, the options that name columns likewise,
+    and the new names by the old ones."""
+    names: dict[str, str] = {}
+    for c in docs.columns:
+        names[c] = fresh(f"own{c}", [*docs.columns, *names.values()]) if c.startswith("__") else c
+    for option in ("text", "source", "doc_id"):
+        at = {c.lower(): n for c, n in names.items()}
+        if option in options:
+            options = options | {option: at.get(options[option].lower(), options[option])}
+    return docs.toDF(*names.values()), options, names
+
+
 def mix_report(docs: DataFrame, *, keep: list[str], **options) -> DataFrame:
     """Per row of docs: the columns in keep, size, source_size, target, taken (words the mix takes), shards. Columns in keep
     with the names of results give way."""
     keep = [c for c in keep if c not in ("size", "source_size", "target", "taken", "shards")]
+    docs, options, names = _shielded(docs, options)
     rows = assigned(*plan_mix(docs, **options))
     taken = F.col("__size") * F.size("__shards")
-    return rows.select(*[F.col(f"`{c}`") for c in keep], F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("taken"), F.col("__shards").alias("shards"))
+    return rows.select(*[F.col(f"`{names.get(c, c)}`").alias(c) for c in keep], F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("taken"), F.col("__shards").alias("shards"))
 
 
 def mix(docs: DataFrame, *, seed: int = 42, levels: int = 7, **options) -> DataFrame:
@@ -240,7 +254,8 @@ def mix(docs: DataFrame, *, seed: int = 42, levels: int = 7, **options) -> DataF
 
     Rows are dealt by ranges of (shard, hash), which are of even size, and sorted by the hash within each shard.
     """
+    docs, options, names = _shielded(docs, options)
     rows = assigned(*plan_mix(docs, seed=seed, levels=levels, **options))
     copies = rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__key", F.posexplode("__shards").alias("__copy", "__shard"))
     order = ["__shard", F.xxhash64(F.lit(seed), "__key", "__copy")]
-    return copies.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return copies.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])

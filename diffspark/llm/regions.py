@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Pivots of a region, and sets that are compared one by one.
-PIVOTS, DIRECT = 8, 24
+#: Pivots of a region at most, sets to a pivot at least, and sets that are compared one by one.
+PIVOTS, OF_PIVOT, DIRECT = 8, 3, 3
 SLACK = 1e-9
 
 
@@ -56,7 +56,8 @@ class Region:
                 self._each(cell, np.zeros((0, len(cell))))
                 continue
             # distances from pivots spread over the cell; those within reach become one class with their pivot
-            pivots = cell[:: len(cell) // PIVOTS][:PIVOTS]
+            many = min(PIVOTS, len(cell) // OF_PIVOT)
+            pivots = cell[:: len(cell) // many][:many]
             d = np.stack([self.compare(p, cell) for p in pivots.tolist()])
             rest = ~np.isin(cell, pivots)
             cell, d = cell[rest], d[:, rest]

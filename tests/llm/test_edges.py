@@ -60,3 +60,17 @@ def test_records_refer_to_each_other(spark):
         assert fields["2"]["WARC-Refers-To"] == fields["1"]["WARC-Record-ID"] and "WARC-Refers-To" not in fields["3"]
         ids[parts] = sorted(f["WARC-Record-ID"] for f in fields.values())
     assert ids[1] == ids[3]
+
+
+def test_reserved_names_keep_their_values(spark):
+    names = ["__size", "__key", "__shards", "__block", "__source", "__copy", "__jaccard_id", "__jaccard_th"]
+    rows = [(k, f"{'word ' * (k % 4 + 1)}w{k}", f"s{k % 2}") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", *[f"concat('{c}', doc_id) as {c}" for c in names])
+    mixed, stay = mix.mix(df, levels=2), jaccard.one_of_each(df)
+    assert mixed.columns == stay.columns == df.columns and stay.count() == 20
+    for r in [*mixed.collect(), *stay.collect()]:
+        assert all(r[c] == f"{c}{r.doc_id}" for c in names)
+    named = df.select("doc_id", df.text.alias("__size"), df.source.alias("__s"))
+    assert mix.mix(named, text="__size", source="__s", levels=2).columns == named.columns
+    report = mix.mix_report(named, keep=["doc_id", "__size"], text="__size", source="__s", levels=2).collect()
+    assert {(r.doc_id, r["__size"]) for r in report} == {(k, t) for k, t, _ in rows} and all(r.size == r.doc_id % 4 + 2 for r in report)
