@@ -22,21 +22,21 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return stored(good.select("doc_id", F.coalesce((F.col("quality") >= 1) & (F.col("toxic") == 0), F.lit(False)).alias("trusted"), "quality", "toxic"), "kn-trusted")
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", least_count: int = 2) -> DataFrame:
     """Per row: doc_id, th (hash of the text), lang, trusted, quality, toxic, n_chars, n_tokens, n_different (trigrams), log_p, perplexity (by word, the end
-    mark included). labels: doc_id, quality, toxic; trusted documents are those labelled as good and not toxic (by every label they have)."""
+    mark included). labels: doc_id, quality, toxic; trusted documents are those labelled as good and not toxic (by every label they have). Pairs and triples of words with counts below least_count are cut off (1: none)."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
     rows = rows.withColumn("th", F.xxhash64("__text")).withColumn("fold", F.pmod("th", F.lit(FOLDS)).cast("int"))
     labelled = small(trusted_ids(labels))
     trusted = rows.join(labelled.where("trusted").select("doc_id"), "doc_id", "left_semi")
-    scores = word_log_likelihood(rows.select("th", "fold", "__text"), trusted.select("fold", "__text"))
+    scores = word_log_likelihood(rows.select("th", "fold", "__text"), trusted.select("fold", "__text"), least_count)
     about = rows.select("doc_id", "lang", "th", (F.length("__text") + 1).cast("long").alias("n_chars")).join(labelled, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     scored = about.join(scores, "th")
     return scored.select("doc_id", "th", "lang", "trusted", "quality", "toxic", "n_chars", "n_tokens", "n_different", "log_p", F.exp(-F.col("log_p") / F.col("n_tokens")).alias("perplexity"))
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", low_quantile: float = 0.002, grid: tuple[float, ...] = (0.95, 0.98, 0.99, 0.995, 0.998), least_trusted: int = 50
+    docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", low_quantile: float = 0.002, grid: tuple[float, ...] = (0.95, 0.98, 0.99, 0.995, 0.998), least_trusted: int = 50, least_count: int = 2
 ) -> DataFrame:
     """Per row of docs: doc_id, th, lang, n_chars, perplexity, low, high (the language's limits) and kept.
 
@@ -48,7 +48,7 @@ def classify(
     perplexity: of at least REPEAT_TOKENS tokens, less than REPEAT_SHARE of the trigrams differ. Without any trusted
     document no perplexity is rejected. A null language is one of its own.
     """
-    scored = stored(perplexities(docs, labels, text=text, doc_id=doc_id, lang=lang), "kn-scores")
+    scored = stored(perplexities(docs, labels, text=text, doc_id=doc_id, lang=lang, least_count=least_count), "kn-scores")
     labelled = scored.where(F.col("trusted") | (F.col("quality") == 0)).select("lang", "trusted", "perplexity")
 
     def limits(rows: DataFrame, by: list[str]) -> DataFrame:

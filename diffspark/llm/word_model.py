@@ -5,8 +5,8 @@ documents of the other one, so no text is scored by a model that has seen it. Wo
 their model's number, n-grams are hashes of hashes.
 
 Trigrams are counted after their contexts; lower orders count different words before. N-grams of two and three words with
-a count of one are cut off: their whole count goes to the lower order (a discount of 1), which keeps the model a proper
-one. Unknown words share what the lowest order spares, uniformly over the vocabulary and one more.
+counts below `least_count` are cut off: their whole count goes to the lower order (a discount of 1), which keeps the model
+a proper one; 1 cuts nothing, 2 those with a count of one. Unknown words share what the lowest order spares, uniformly over the vocabulary and one more.
 
 As a text's n-gram without a count has the probability (what its context spares) * (that of the shorter n-gram), the
 logarithms of a text's words add up from values that hang on one n-gram each: of a word, log P(word) and what it spares as
@@ -14,9 +14,8 @@ a context; of two words what their count adds to that, and what they spare; of t
 one join of all texts' n-grams, of all orders, with one table, summed up by text.
 
 All n-grams of all texts are joined, in waves of keys, each a job of its own: a wave's n-grams travel packed (packed.py),
-6 bytes each, to the bucket of their key, where the model's part of the bucket waits; only sums by text come back. Keys in a
-bucket are compared by 32 further bits, at most MODEL_KEYS values to a bucket: a chance hit of an unknown n-gram has odds
-of about 1 in 16,000. Frequent n-grams make a bucket's task longer, but no task holds more than a row of a bucket and the
+10 bytes each, to the bucket of their key, where the model's part of the bucket waits; only sums by text come back. Keys in
+a bucket are compared whole. Frequent n-grams make a bucket's task longer, but no task holds more than a row of a bucket and the
 model's part.
 """
 
@@ -40,7 +39,7 @@ START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: N-grams of a bucket in training and of the model, and n-grams of texts in a wave's bucket, about.
 KEYS, MODEL_KEYS, QUERIES = 1_000_000, 250_000, 1_000_000
 #: Waves in which trusted text is counted, and in which texts are scored.
-TRAIN_WAVES, SCORE_WAVES = 3, 4
+TRAIN_WAVES, SCORE_WAVES = 3, 7
 #: Records that a task gathers before it deals them out.
 GATHER = 500_000
 TRI = np.dtype([("a", "u8"), ("b", "u8"), ("c", "u8"), ("n", "u4")])
@@ -167,8 +166,8 @@ def _rows(kind: int, of: np.ndarray | None = None, contexts: np.ndarray | None =
     return pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(columns.get(k, blank))).astype(k_.to_pandas_dtype())) for k, k_ in zip(names, kinds, strict=True)], names)
 
 
-def count_trigrams(trusted: DataFrame, wave: int, waves: int, buckets: int) -> DataFrame:
-    """Kind 1: trigrams found twice or more (key, low = bc, b, c, n) with their context's stats and the context's key in
+def count_trigrams(trusted: DataFrame, wave: int, waves: int, buckets: int, least: int = 2) -> DataFrame:
+    """Kind 1: trigrams found `least` times or more (key, low = bc, b, c, n) with their context's stats and the context's key in
     total's place kept apart: kind 3 has the context (key = ab, stats) of those; kind 2: how many trigrams have count n."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +176,7 @@ def count_trigrams(trusted: DataFrame, wave: int, waves: int, buckets: int) -> D
     def merge(rows: Rows) -> Iterator[pa.RecordBatch]:
         t, ab, _ = _merged(by_kind(rows, {0: TRI})[0])
         c = _stats(ab, t["n"])
-        kept = np.flatnonzero(t["n"] > 1)
+        kept = np.flatnonzero(t["n"] >= least)
 
         def out() -> Rows:
             yield from spread(0, c["key"], c, buckets)
@@ -201,8 +200,8 @@ def count_trigrams(trusted: DataFrame, wave: int, waves: int, buckets: int) -> D
     return exchange(exchange(packed, buckets, merge, PACKED), buckets, finish_, COUNTED)
 
 
-def count_pairs(trusted: DataFrame, wave: int, waves: int, buckets: int) -> DataFrame:
-    """Of pairs bc, counted by the different words before them. Kind 1: pairs with a count of two or more (key = bc, b, c,
+def count_pairs(trusted: DataFrame, wave: int, waves: int, buckets: int, least: int = 2) -> DataFrame:
+    """Of pairs bc, counted by the different words before them. Kind 1: pairs with a count of `least` or more (key = bc, b, c,
     n) with b's stats; kind 3: the stats of every b; kind 4: for every c how many different b go before it (total), in this
     wave; kind 2: how many pairs have count n."""
 
@@ -222,7 +221,7 @@ def count_pairs(trusted: DataFrame, wave: int, waves: int, buckets: int) -> Data
         at, n = summed(pair(p["b"], p["c"]), p["n"])
         p = p[at]
         p["n"] = n
-        kept, stats = p[n > 1], _stats(p["b"], n)
+        kept, stats = p[n >= least], _stats(p["b"], n)
         at, types = summed(p["c"], np.ones(len(p), np.int64))
         words = np.empty(len(at), WORD)
         words["w"], words["types"] = p["c"][at], types
@@ -266,7 +265,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _discounts(table: DataFrame, cut: bool = True) -> tuple[float, float, float]:
+def _discounts(table: DataFrame, cut: bool) -> tuple[float, float, float]:
     return discounts({r.n: r.of for r in table.where("kind = 2").groupBy("n").agg(F.sum("total").alias("of")).collect()}, cut)
 
 
@@ -278,14 +277,16 @@ def _spare(d: tuple[float, float, float], p: str = ""):
     return (d[0] * F.col(f"{p}n1") + d[1] * F.col(f"{p}n2") + d[2] * F.col(f"{p}n3")) / F.col(f"{p}total")
 
 
-def train(trusted: DataFrame, n_tokens: int) -> tuple[DataFrame, list[float]]:
+def train(trusted: DataFrame, n_tokens: int, least_count: int = 2) -> tuple[DataFrame, list[float]]:
     """trusted: fold, __text. Returns the model (key, value: what a text's n-gram adds) and each model's logarithm of an
     unknown word's probability, which every word and end mark starts from."""
+    if least_count not in (1, 2):
+        raise ValueError("least_count is 1 or 2")
     buckets = max(1, -(-n_tokens // (KEYS * TRAIN_WAVES)))
-    threes = [stored(count_trigrams(trusted, k, TRAIN_WAVES, buckets), f"kn-3-{k}") for k in range(TRAIN_WAVES)]
-    twos = [stored(count_pairs(trusted, k, TRAIN_WAVES, buckets), f"kn-2-{k}") for k in range(TRAIN_WAVES)]
+    threes = [stored(count_trigrams(trusted, k, TRAIN_WAVES, buckets, least_count), f"kn-3-{k}") for k in range(TRAIN_WAVES)]
+    twos = [stored(count_pairs(trusted, k, TRAIN_WAVES, buckets, least_count), f"kn-2-{k}") for k in range(TRAIN_WAVES)]
     three, two = _union(threes), _union(twos)
-    d3, d2 = _discounts(three), _discounts(two)
+    d3, d2 = _discounts(three, least_count > 1), _discounts(two, least_count > 1)
 
     types = stored(two.where("kind = 4").groupBy("key").agg(F.sum("total").alias("n")).withColumn("m", F.pmod("key", F.lit(FOLDS)).cast("int")), "kn-1")
     d1 = discounts({r.n: r.of for r in types.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("of")).collect()}, False)
@@ -336,9 +337,8 @@ def describe_texts(texts: DataFrame) -> DataFrame:
 def score_wave(texts: DataFrame, model: DataFrame, wave: int, waves: int, buckets: int) -> DataFrame:
     """texts: th, fold, __text; model: key, value. Returns th, value: of every row the sum of its n-grams' values in this
     wave of keys (no row where it is 0)."""
-    local = lambda key: (key >> np.uint64(8)).astype(np.uint32)
-    known = np.dtype([("key", "u4"), ("value", "f4")])
-    asked = np.dtype([("key", "u4"), ("row", "u2")])
+    known = np.dtype([("key", "u8"), ("value", "f4")])
+    asked = np.dtype([("key", "u8"), ("row", "u2")])
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -346,7 +346,7 @@ def score_wave(texts: DataFrame, model: DataFrame, wave: int, waves: int, bucket
                 key = batch.column("key").to_numpy().view(np.uint64)
                 own = np.flatnonzero(wave_of(key, waves) == wave)
                 out = np.empty(len(own), known)
-                out["key"], out["value"] = local(key[own]), batch.column("value").to_numpy()[own]
+                out["key"], out["value"] = key[own], batch.column("value").to_numpy()[own]
                 yield key[own], out
 
         yield from batches_of(_gathered(parts(), 0, buckets))
@@ -367,7 +367,7 @@ def score_wave(texts: DataFrame, model: DataFrame, wave: int, waves: int, bucket
                         rows_.append(row[own])
                     key = np.concatenate(keys)
                     out = np.empty(len(key), asked)
-                    out["key"], out["row"] = local(key), np.concatenate(rows_)
+                    out["key"], out["row"] = key, np.concatenate(rows_)
                     yield from spread(2, key, out, buckets, np.int64(number).tobytes())
                     yield number % buckets, 1, np.int64(number).tobytes() + th[lo:hi].tobytes()
                     number += 1
@@ -390,8 +390,9 @@ def score_wave(texts: DataFrame, model: DataFrame, wave: int, waves: int, bucket
                         key, value, parts = mine["key"][order], mine["value"][order], None
                     if len(key):
                         q = np.frombuffer(data, asked, offset=8)
-                        at = np.minimum(np.searchsorted(key, q["key"]), len(key) - 1)
-                        hit = key[at] == q["key"]
+                        mine = np.ascontiguousarray(q["key"])
+                        at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+                        hit = key[at] == mine
                         yield 0, 1, data[:8] + np.bincount(q["row"][hit], value[at[hit]]).astype("f4").tobytes()
 
         for batch in batches_of(out()):
@@ -422,12 +423,12 @@ def score_wave(texts: DataFrame, model: DataFrame, wave: int, waves: int, bucket
     return sums.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(add_up, "th long, value double")
 
 
-def word_log_likelihood(texts: DataFrame, trusted: DataFrame) -> DataFrame:
+def word_log_likelihood(texts: DataFrame, trusted: DataFrame, least_count: int = 2) -> DataFrame:
     """texts: th (hash of the text), fold, __text; trusted: fold, __text. Per th: n_tokens, n_different (trigrams) and log_p
     (natural). The same text in several rows has one row."""
     about = stored(describe_texts(texts).groupBy("th").agg(F.first("n_tokens").alias("n_tokens"), F.first("n_different").alias("n_different"), F.count(F.lit(1)).alias("rows")), "kn-texts")
     n_tokens = about.agg(F.sum(F.col("n_tokens") * F.col("rows"))).first()[0] or 0
-    model, unknown = train(trusted, n_tokens)
+    model, unknown = train(trusted, n_tokens, least_count)
     buckets = max(1, -(-max(3 * n_tokens // QUERIES, model.count() // MODEL_KEYS) // SCORE_WAVES))
     waves = [stored(score_wave(texts, model, k, SCORE_WAVES, buckets).groupBy("th").agg(F.max("value").alias("value")), f"kn-score-{k}") for k in range(SCORE_WAVES)]
     sums = _union(waves).groupBy("th").agg(F.sum("value").alias("value"))

@@ -22,14 +22,14 @@ def tables_of(trained):
     return Counter(g[1] for g in two), two, three
 
 
-def brute(texts, trained, both):
-    """log P of each text by a model of the trained ones: order 3, interpolated, modified; counts of one of pairs and
-    triples are cut off. Discounts come from the counts of both models."""
+def brute(texts, trained, both, least):
+    """log P of each text by a model of the trained ones: order 3, interpolated, modified; counts below
+    `least` of pairs and triples are cut off. Discounts come from the counts of both models."""
     one, two, three = tables_of(trained)
     counts_of = [sum((Counter(t[k].values()) for t in map(tables_of, both)), Counter()) for k in range(3)]
 
     def level(counts, order):
-        d = word_model.discounts(counts_of[order], order > 0)
+        d = word_model.discounts(counts_of[order], order > 0 and least > 1)
         total, spare = defaultdict(int), defaultdict(float)
         for g, n in counts.items():
             h = g[:-1] if isinstance(g, tuple) else ()
@@ -68,16 +68,17 @@ def test_against_dictionaries(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, good boolean").repartition(4)
     labels = spark.createDataFrame([(k, 1, 0) for k, *_, good in rows if good], "doc_id long, quality int, toxic int")
     fold = {r.doc_id: r.fold for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(2)).alias("fold")).collect()}
-    want, both = {}, [[t for k, t, _, good in rows if good and fold[k] != m] for m in (0, 1)]
-    for m in (0, 1):
-        own = [(k, t) for k, t, *_ in rows if fold[k] == m]
-        scores = brute([t for _, t in own], both[m], both)
-        want |= {k: x for (k, _), x in zip(own, scores, strict=True)}
-    for small_buckets in (False, True):
+    both = [[t for k, t, _, good in rows if good and fold[k] != m] for m in (0, 1)]
+    for small_buckets, least in ((False, 2), (False, 1), (True, 1), (True, 2)):
+        want = {}
+        for m in (0, 1):
+            own = [(k, t) for k, t, *_ in rows if fold[k] == m]
+            scores = brute([t for _, t in own], both[m], both, least)
+            want |= {k: x for (k, _), x in zip(own, scores, strict=True)}
         if small_buckets:
             for name, value in (("KEYS", 50), ("QUERIES", 300), ("MODEL_KEYS", 20), ("TRAIN_WAVES", 3), ("SCORE_WAVES", 4)):
                 monkeypatch.setattr(word_model, name, value)
-        got = {r.doc_id: r for r in kneser_ney.perplexities(docs, labels).collect()}
+        got = {r.doc_id: r for r in kneser_ney.perplexities(docs, labels, least_count=least).collect()}
         assert set(got) == set(want) and all(abs(got[k].log_p - want[k]) < 1e-3 for k in want)
     for k, t, *_ in rows:
         w = ["<s>", "<s>", *t.split(), "</s>"]
