@@ -29,7 +29,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_
     rows = rows.withColumn("th", F.xxhash64("__text")).withColumn("fold", F.pmod("th", F.lit(FOLDS)).cast("int"))
     labelled = small(trusted_ids(labels))
     trusted = rows.join(labelled.where("trusted").select("doc_id"), "doc_id", "left_semi")
-    scores = word_log_likelihood(rows.select("th", "fold", "__text"), trusted.select("fold", "__text"), least_count)
+    scores = word_log_likelihood(rows.select(F.xxhash64("doc_id", "th").alias("deal"), "th", "fold", "__text"), trusted.select("fold", "__text"), least_count)
     about = rows.select("doc_id", "lang", "th", (F.length("__text") + 1).cast("long").alias("n_chars")).join(labelled, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     scored = about.join(scores, "th")
     return scored.select("doc_id", "th", "lang", "trusted", "quality", "toxic", "n_chars", "n_tokens", "n_different", "log_p", F.exp(-F.col("log_p") / F.col("n_tokens")).alias("perplexity"))

@@ -13,10 +13,10 @@ logarithms of a text's words add up from values that hang on one n-gram each: of
 a context; of two words what their count adds to that, and what they spare; of three what their count adds. So scoring is
 one join of all texts' n-grams, of all orders, with one table, summed up by text.
 
-All n-grams of all texts are joined, in waves of keys, each a job of its own: a wave's n-grams travel packed (packed.py),
-10 bytes each, to the bucket of their key, where the model's part of the bucket waits; only sums by text come back. Keys in
-a bucket are compared whole. Frequent n-grams make a bucket's task longer, but no task holds more than a row of a bucket and the
-model's part.
+All n-grams of all texts are joined, in waves of texts, each a job of its own, so that a text is read and hashed once: its
+n-grams travel packed, those of a run of texts sorted, each different one once with the texts that hold it, to the bucket of
+their key, where the model's part of the bucket waits; only sums by text come back. Keys in a bucket are compared whole. An
+n-gram that is in all texts comes once a run; no task holds more than a row of a bucket and the model's part.
 """
 
 from __future__ import annotations
@@ -31,15 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, stored
-from .packed import PACKED, Rows, batches_of, by_kind, exchange, spread, summed
+from .packed import PACKED, Rows, batches_of, buckets_of, by_kind, exchange, spread, summed
 from .shingle_sets import M1, P, finish, pieces, word_hashes
 
 FOLDS = 2
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: N-grams of a bucket in training and of the model, and n-grams of texts in a wave's bucket, about.
-KEYS, MODEL_KEYS, QUERIES = 1_000_000, 250_000, 1_000_000
-#: Waves in which trusted text is counted, and in which texts are scored.
-TRAIN_WAVES, SCORE_WAVES = 3, 7
+KEYS, MODEL_KEYS, QUERIES = 1_000_000, 1_000_000, 1_000_000
+#: Waves in which trusted text is counted, by keys, and in which texts are scored, by texts.
+TRAIN_WAVES, SCORE_WAVES = 3, 10
+#: Marks the first text of a key; rows of a run stay below it.
+FIRST = np.uint16(1 << 15)
 #: Records that a task gathers before it deals them out.
 GATHER = 500_000
 TRI = np.dtype([("a", "u8"), ("b", "u8"), ("c", "u8"), ("n", "u4")])
@@ -318,36 +320,33 @@ def train(trusted: DataFrame, n_tokens: int, least_count: int = 2) -> tuple[Data
     return model, unknown
 
 
-def describe_texts(texts: DataFrame) -> DataFrame:
-    """th, n_tokens (words and the end mark), n_different (trigrams) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _runs(batches):
-            th = batch.column("th")
-            for lo, hi, x, text in sequences(batch.column("__text"), np.zeros(batch.num_rows, np.int64)):
-                own = np.flatnonzero(text[2:] == text[:-2])
-                t = text[2:][own]
-                at, _ = summed(pair(chained(x)[1][own], t.astype(np.uint64)), t)
-                n, different = np.bincount(t, minlength=hi - lo), np.bincount(t[at], minlength=hi - lo)
-                yield pa.RecordBatch.from_arrays([th.slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(different.astype(np.int64))], ["th", "n_tokens", "n_different"])
-
-    return texts.select("th", "__text").mapInArrow(run, "th long, n_tokens long, n_different long")
-
-
-def score_wave(texts: DataFrame, model: DataFrame, wave: int, waves: int, buckets: int) -> DataFrame:
-    """texts: th, fold, __text; model: key, value. Returns th, value: of every row the sum of its n-grams' values in this
-    wave of keys (no row where it is 0)."""
+def _packed_queries(number: int, key: np.ndarray, row: np.ndarray, buckets: int) -> Rows:
+    """A row for every bucket: the chunk's number, how many keys, each different key once, in order, and the text rows of each
+    key one after another, the first of a key marked by its highest bit."""
+    order = np.argsort(key)
+    key, row = key[order], row[order].astype(np.uint16)
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    row[new] |= FIRST
+    key = key[new]
+    bucket = buckets_of(key, buckets)  # they rise with the keys
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    for a, b in zip(cut, [*cut[1:], len(key)], strict=True):
+        rows = row[new[a] : new[b] if b < len(key) else len(row)]
+        yield int(bucket[a]), 2, np.int64(number).tobytes() + np.int64(b - a).tobytes() + key[a:b].tobytes() + rows.tobytes()
+
+
+def score_texts(texts: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
+    """texts: th, fold, __text; model: key, value. Returns of every row th, value (the sum of its n-grams' values), n_tokens
+    (words and the end mark) and n_different (trigrams)."""
     known = np.dtype([("key", "u8"), ("value", "f4")])
-    asked = np.dtype([("key", "u8"), ("row", "u2")])
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
                 key = batch.column("key").to_numpy().view(np.uint64)
-                own = np.flatnonzero(wave_of(key, waves) == wave)
-                out = np.empty(len(own), known)
-                out["key"], out["value"] = key[own], batch.column("value").to_numpy()[own]
-                yield key[own], out
+                out = np.empty(len(key), known)
+                out["key"], out["value"] = key, batch.column("value").to_numpy()
+                yield key, out
 
         yield from batches_of(_gathered(parts(), 0, buckets))
 
@@ -359,20 +358,17 @@ def score_wave(texts: DataFrame, model: DataFrame, wave: int, waves: int, bucket
                 for lo, hi, x, text in sequences(batch.column("__text"), fold):
                     two, three = chained(x)
                     # a word with its text's first mark before it, pairs and triples within a text; they end in the same place
-                    inside = text[1:] == text[:-1]
-                    keys, rows_ = [], []
-                    for key, valid, row in ((x[1:], inside, text[1:]), (two, inside, text[1:]), (three, inside[1:] & inside[:-1], text[2:])):
-                        own = np.flatnonzero(valid & (wave_of(key, waves) == wave))
-                        keys.append(key[own])
-                        rows_.append(row[own])
-                    key = np.concatenate(keys)
-                    out = np.empty(len(key), asked)
-                    out["key"], out["row"] = key, np.concatenate(rows_)
-                    yield from spread(2, key, out, buckets, np.int64(number).tobytes())
-                    yield number % buckets, 1, np.int64(number).tobytes() + th[lo:hi].tobytes()
+                    inside = np.flatnonzero(text[1:] == text[:-1])
+                    whole = np.flatnonzero(text[2:] == text[:-2])
+                    three, of = three[whole], text[2:][whole]
+                    at, _ = summed(pair(three, of.astype(np.uint64)), of)
+                    row = text[1:][inside]
+                    yield from _packed_queries(number, np.concatenate([x[1:][inside], two[inside], three]), np.concatenate([row, row, of]), buckets)
+                    about = [th[lo:hi], np.bincount(of, minlength=hi - lo), np.bincount(of[at], minlength=hi - lo)]
+                    yield number % buckets, 1, np.int64(number).tobytes() + np.concatenate(about).astype(np.int64).tobytes()
                     number += 1
 
-        yield from batches_of(rows())
+        yield from batches_of(rows(), 64)
 
     def look_up(rows: Rows) -> Iterator[pa.RecordBatch]:
         def out() -> Rows:
@@ -389,30 +385,31 @@ def score_wave(texts: DataFrame, model: DataFrame, wave: int, waves: int, bucket
                         order = np.argsort(mine["key"], kind="stable")
                         key, value, parts = mine["key"][order], mine["value"][order], None
                     if len(key):
-                        q = np.frombuffer(data, asked, offset=8)
-                        mine = np.ascontiguousarray(q["key"])
+                        n = int(np.frombuffer(data, np.int64, 1, 8)[0])
+                        mine, row = np.frombuffer(data, np.uint64, n, 16), np.frombuffer(data, np.uint16, offset=16 + 8 * n)
                         at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
                         hit = key[at] == mine
-                        yield 0, 1, data[:8] + np.bincount(q["row"][hit], value[at[hit]]).astype("f4").tobytes()
+                        of = np.cumsum(row >= FIRST) - 1
+                        own = np.flatnonzero(hit[of])
+                        yield 0, 1, data[:8] + np.bincount(row[own] & ~FIRST, value[at[of[own]]]).astype("f4").tobytes()
 
         for batch in batches_of(out()):
             chunk = [x.as_py()[:8] for x in batch.column("data")]
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(chunk), np.int64)), batch.column("kind"), batch.column("data")], ["chunk", "kind", "data"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        th = total = np.zeros(0, np.int64)
+        about, total = np.zeros((3, 0), np.int64), np.zeros(0)
 
         def done() -> Iterator[pa.RecordBatch]:
-            own = np.flatnonzero(total)
-            if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(th[own]), pa.array(total[own])], ["th", "value"])
+            if len(total):
+                yield pa.RecordBatch.from_arrays([pa.array(about[0]), pa.array(total), pa.array(about[1]), pa.array(about[2])], ["th", "value", "n_tokens", "n_different"])
 
         for batch in batches:  # sorted by chunk, its texts first
             for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
                 if kind == 0:
                     yield from done()
-                    th = np.frombuffer(data.as_py(), np.int64, offset=8)
-                    total = np.zeros(len(th))
+                    about = np.frombuffer(data.as_py(), np.int64, offset=8).reshape(3, -1)
+                    total = np.zeros(about.shape[1])
                 else:
                     part = np.frombuffer(data.as_py(), "f4", offset=8)
                     total[: len(part)] += part
@@ -420,17 +417,26 @@ def score_wave(texts: DataFrame, model: DataFrame, wave: int, waves: int, bucket
 
     packed = model.mapInArrow(table, PACKED).unionByName(texts.select("th", "fold", "__text").mapInArrow(queries, PACKED))
     sums = exchange(packed, buckets, look_up, "chunk long, kind int, data binary")
-    return sums.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(add_up, "th long, value double")
+    return sums.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(add_up, "th long, value double, n_tokens long, n_different long")
+
+
+def about_tokens(texts: DataFrame) -> int:
+    """About how many words and end marks all texts hold, from their spaces, or bytes where these are few; it only sets how
+    many buckets there are."""
+    size = F.octet_length("__text")
+    spaces = size - F.octet_length(F.replace("__text", F.lit(" "), F.lit("")))
+    return int(texts.agg(F.sum(F.greatest(spaces, size / 8) + 2)).first()[0] or 0)
 
 
 def word_log_likelihood(texts: DataFrame, trusted: DataFrame, least_count: int = 2) -> DataFrame:
-    """texts: th (hash of the text), fold, __text; trusted: fold, __text. Per th: n_tokens, n_different (trigrams) and log_p
-    (natural). The same text in several rows has one row."""
-    about = stored(describe_texts(texts).groupBy("th").agg(F.first("n_tokens").alias("n_tokens"), F.first("n_different").alias("n_different"), F.count(F.lit(1)).alias("rows")), "kn-texts")
-    n_tokens = about.agg(F.sum(F.col("n_tokens") * F.col("rows"))).first()[0] or 0
+    """texts: deal (any whole number, by which texts are dealt out to waves), th (hash of the text), fold, __text; trusted:
+    fold, __text. Per th: n_tokens, n_different (trigrams) and log_p (natural). The same text in several rows has one row."""
+    n_tokens = about_tokens(texts)
     model, unknown = train(trusted, n_tokens, least_count)
-    buckets = max(1, -(-max(3 * n_tokens // QUERIES, model.count() // MODEL_KEYS) // SCORE_WAVES))
-    waves = [stored(score_wave(texts, model, k, SCORE_WAVES, buckets).groupBy("th").agg(F.max("value").alias("value")), f"kn-score-{k}") for k in range(SCORE_WAVES)]
-    sums = _union(waves).groupBy("th").agg(F.sum("value").alias("value"))
+    buckets = max(1, -(-3 * n_tokens // (QUERIES * SCORE_WAVES)), -(-model.count() // MODEL_KEYS))
+    own = F.pmod("deal", F.lit(SCORE_WAVES))
+    same = ["n_tokens", "n_different", "value"]  # in all rows of a text
+    waves = [stored(score_texts(texts.where(own == k), model, buckets).groupBy("th").agg(*[F.max(c).alias(c) for c in same]), f"kn-score-{k}") for k in range(SCORE_WAVES)]
+    scores = _union(waves).groupBy("th").agg(*[F.max(c).alias(c) for c in same])
     start = F.element_at(F.lit(unknown), (F.pmod("th", F.lit(FOLDS)) + 1).cast("int"))
-    return about.join(sums, "th", "left").select("th", "n_tokens", "n_different", (F.col("n_tokens") * start + F.coalesce("value", F.lit(0.0))).alias("log_p"))
+    return scores.select("th", "n_tokens", "n_different", (F.col("n_tokens") * start + F.col("value")).alias("log_p"))
