@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: N-grams of a bucket in training and of the model, and n-grams of texts in a wave's bucket, about.
 KEYS, MODEL_KEYS, QUERIES = 1_000_000, 1_000_000, 1_000_000
 #: Waves in which trusted text is counted, by keys, and in which texts are scored, by texts.
-TRAIN_WAVES, SCORE_WAVES = 3, 10
+TRAIN_WAVES, SCORE_WAVES = 5, 7
 #: Marks the first text of a key; rows of a run stay below it.
 FIRST = np.uint16(1 << 15)
 #: Records that a task gathers before it deals them out.
@@ -50,6 +51,9 @@ PAIR = np.dtype([("b", "u8"), ("c", "u8"), ("n", "u4")])
 WORD = np.dtype([("w", "u8"), ("types", "u4")])
 COUNTS = np.dtype([("n", "u4"), ("of", "u8")])
 COUNTED = "kind int, key long, low long, b long, c long, n long, total long, n1 long, n2 long, n3 long"
+COUNTED_ROWS = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.int64()) for c in COUNTED.split(", ")])
+#: Kind of packed rows that hold finished rows of COUNTED.
+DONE = 9
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -90,14 +94,20 @@ def _runs(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Re
             yield batch.slice(lo, rows)
 
 
-def _distinct_tri(batches: Iterator[pa.RecordBatch], by: str, wave: int, waves: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes and records of the different trigrams of each run of trusted texts, with their counts, whose context or middle
-    word is in the wave."""
+def _bucket_of(rows: Rows) -> tuple[int, Rows]:
+    """The bucket that rows belong to, and the rows."""
+    head = next(rows)
+    return head[0], chain([head], rows)
+
+
+def _distinct_tri(batches: Iterator[pa.RecordBatch], wave: int, waves: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and records of the different trigrams of each run of trusted texts, with their counts, whose middle word
+    is in the wave."""
     for batch in _runs(batches):
         m = 1 - batch.column("fold").to_numpy()
         for _, _, x, text in sequences(batch.column("__text"), m):
-            two, three = chained(x)
-            own = np.flatnonzero((text[2:] == text[:-2]) & (wave_of(two[:-1] if by == "ab" else x[1:-1], waves) == wave))
+            _, three = chained(x)
+            own = np.flatnonzero((text[2:] == text[:-2]) & (wave_of(x[1:-1], waves) == wave))
             at, n = summed(three[own], np.ones(len(own), np.int64))
             at = own[at]
             out = np.empty(len(at), TRI)
@@ -156,101 +166,87 @@ def _how_many(n: np.ndarray) -> np.ndarray:
 
 def _rows(kind: int, of: np.ndarray | None = None, contexts: np.ndarray | None = None, **columns) -> pa.RecordBatch:
     """Rows of COUNTED; contexts, sorted by key, are looked up by `of`."""
-    names = [c.split()[0] for c in COUNTED.split(", ")]
     size = len(next(iter(columns.values())))
     columns["kind"] = np.full(size, kind)
     if of is not None:
         found = contexts[np.searchsorted(contexts["key"], of)]
         columns |= {k: found[k] for k in CONTEXT.names[1:]}
-    kinds = [pa.int32() if k == "kind" else pa.int64() for k in names]
     blank = np.zeros(size, np.int64)
     signed = lambda v: v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(columns.get(k, blank))).astype(k_.to_pandas_dtype())) for k, k_ in zip(names, kinds, strict=True)], names)
+    return pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(columns.get(f.name, blank))).astype(f.type.to_pandas_dtype())) for f in COUNTED_ROWS], schema=COUNTED_ROWS)
 
 
-def count_trigrams(trusted: DataFrame, wave: int, waves: int, buckets: int, least: int = 2) -> DataFrame:
-    """Kind 1: trigrams found `least` times or more (key, low = bc, b, c, n) with their context's stats and the context's key in
-    total's place kept apart: kind 3 has the context (key = ab, stats) of those; kind 2: how many trigrams have count n."""
+def count_ngrams(trusted: DataFrame, wave: int, waves: int, buckets: int, least: int = 2) -> DataFrame:
+    """Counts of the trigrams whose middle word is in the wave, and of the pairs that begin with it, from one exchange of texts'
+    trigrams. Kind 1: trigrams found `least` times or more (key, low = bc, b, c, n) with their context's stats; kind 3: the
+    contexts (key = ab) of those; kind 2: how many trigrams have count n. Pairs bc are counted by the different words before
+    them. Kind 11: pairs with a count of `least` or more (key = bc, b, c, n) with b's stats; kind 13: the stats of every b; kind
+    14: for every c how many different b go before it (total), in this wave; kind 12: how many pairs have count n."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches_of(_gathered(_distinct_tri(batches, "ab", wave, waves), 0, buckets))
+        yield from batches_of(_gathered(_distinct_tri(batches, wave, waves), 0, buckets))
 
     def merge(rows: Rows) -> Iterator[pa.RecordBatch]:
         t, ab, _ = _merged(by_kind(rows, {0: TRI})[0])
-        c = _stats(ab, t["n"])
-        kept = np.flatnonzero(t["n"] >= least)
+        kept, c = np.flatnonzero(t["n"] >= least), _stats(ab, t["n"])
+        bc = pair(t["b"], t["c"])
+        at, n = summed(bc, np.ones(len(bc), np.int64))
+        p = np.empty(len(at), PAIR)
+        p["b"], p["c"], p["n"] = t["b"][at], t["c"][at], n
 
         def out() -> Rows:
             yield from spread(0, c["key"], c, buckets)
             yield from spread(1, ab[kept], t[kept], buckets)
             yield 0, 2, _how_many(t["n"]).tobytes()
+            yield from spread(3, bc[at], p, buckets)
 
         yield from batches_of(out())
 
-    def finish_(rows: Rows) -> Iterator[pa.RecordBatch]:
-        got = by_kind(rows, {0: CONTEXT, 1: TRI, 2: COUNTS})
-        if len(got[2]):
-            yield _rows(2, n=got[2]["n"], total=got[2]["of"])
-        kept = got[1]
-        if len(kept):
-            contexts, ab = _total(got[0]), pair(kept["a"], kept["b"])
-            yield _rows(1, ab, contexts, key=pair(ab, kept["c"]), low=pair(kept["b"], kept["c"]), b=kept["b"], c=kept["c"], n=kept["n"])
-            ab = np.unique(ab)
-            yield _rows(3, ab, contexts, key=ab)
-
-    packed = trusted.mapInArrow(first, PACKED)
-    return exchange(exchange(packed, buckets, merge, PACKED), buckets, finish_, COUNTED)
-
-
-def count_pairs(trusted: DataFrame, wave: int, waves: int, buckets: int, least: int = 2) -> DataFrame:
-    """Of pairs bc, counted by the different words before them. Kind 1: pairs with a count of `least` or more (key = bc, b, c,
-    n) with b's stats; kind 3: the stats of every b; kind 4: for every c how many different b go before it (total), in this
-    wave; kind 2: how many pairs have count n."""
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches_of(_gathered(_distinct_tri(batches, "b", wave, waves), 0, buckets))
-
-    def merge(rows: Rows) -> Iterator[pa.RecordBatch]:
-        t, *_ = _merged(by_kind(rows, {0: TRI})[0])
-        bc = pair(t["b"], t["c"])
-        at, n = summed(bc, np.ones(len(bc), np.int64))
-        out = np.empty(len(at), PAIR)
-        out["b"], out["c"], out["n"] = t["b"][at], t["c"][at], n
-        yield from batches_of(spread(0, bc[at], out, buckets))
-
-    def pairs(rows: Rows) -> Iterator[pa.RecordBatch]:
-        p = by_kind(rows, {0: PAIR})[0]
-        at, n = summed(pair(p["b"], p["c"]), p["n"])
-        p = p[at]
+    def contexts_and_pairs(rows: Rows) -> Iterator[pa.RecordBatch]:
+        bucket, rows = _bucket_of(rows)
+        got = by_kind(rows, {0: CONTEXT, 1: TRI, 2: COUNTS, 3: PAIR})
+        at, n = summed(pair(got[3]["b"], got[3]["c"]), got[3]["n"])
+        p = got[3][at]
         p["n"] = n
-        kept, stats = p[n >= least], _stats(p["b"], n)
+        pairs, stats = p[n >= least], _stats(p["b"], n)
         at, types = summed(p["c"], np.ones(len(p), np.int64))
         words = np.empty(len(at), WORD)
         words["w"], words["types"] = p["c"][at], types
 
         def out() -> Rows:
             yield from spread(0, stats["key"], stats, buckets)
-            yield from spread(1, kept["b"], kept, buckets)
-            yield from spread(3, words["w"], words, buckets)
+            yield from spread(1, pairs["b"], pairs, buckets)
             yield 0, 2, _how_many(n).tobytes()
+            yield from spread(3, words["w"], words, buckets)
+            if len(got[2]):
+                yield bucket, DONE, _rows(2, n=got[2]["n"], total=got[2]["of"]).serialize().to_pybytes()
+            if len(t := got[1]):
+                contexts, ab = _total(got[0]), pair(t["a"], t["b"])
+                yield bucket, DONE, _rows(1, ab, contexts, key=pair(ab, t["c"]), low=pair(t["b"], t["c"]), b=t["b"], c=t["c"], n=t["n"]).serialize().to_pybytes()
+                ab = np.unique(ab)
+                yield bucket, DONE, _rows(3, ab, contexts, key=ab).serialize().to_pybytes()
 
-        yield from batches_of(out())
+        yield from batches_of(out(), 64)
 
     def finish_(rows: Rows) -> Iterator[pa.RecordBatch]:
-        got = by_kind(rows, {0: CONTEXT, 1: PAIR, 2: COUNTS, 3: WORD})
+        parts = list(rows)
+        for _, kind, data in parts:
+            if kind == DONE:
+                yield pa.ipc.read_record_batch(pa.py_buffer(data), COUNTED_ROWS)
+        got = by_kind((r for r in parts if r[1] != DONE), {0: CONTEXT, 1: PAIR, 2: COUNTS, 3: WORD})
         if len(got[2]):
-            yield _rows(2, n=got[2]["n"], total=got[2]["of"])
+            yield _rows(12, n=got[2]["n"], total=got[2]["of"])
         contexts = _total(got[0])
         if len(contexts):
-            yield _rows(3, contexts["key"], contexts, key=contexts["key"])
+            yield _rows(13, contexts["key"], contexts, key=contexts["key"])
         if len(k := got[1]):
-            yield _rows(1, k["b"], contexts, key=pair(k["b"], k["c"]), b=k["b"], c=k["c"], n=k["n"])
+            yield _rows(11, k["b"], contexts, key=pair(k["b"], k["c"]), b=k["b"], c=k["c"], n=k["n"])
         if len(got[3]):
             at, types = summed(got[3]["w"], got[3]["types"])
-            yield _rows(4, key=got[3]["w"][at], total=types)
+            yield _rows(14, key=got[3]["w"][at], total=types)
 
-    packed = trusted.mapInArrow(first, PACKED)
-    return exchange(exchange(exchange(packed, buckets, merge, PACKED), buckets, pairs, PACKED), buckets, finish_, COUNTED)
+    packed = exchange(trusted.mapInArrow(first, PACKED), buckets, merge, PACKED)
+    return exchange(exchange(packed, buckets, contexts_and_pairs, PACKED), buckets, finish_, COUNTED)
 
 
 def discounts(counts: dict[int, int], cut: bool) -> tuple[float, float, float]:
@@ -285,9 +281,8 @@ def train(trusted: DataFrame, n_tokens: int, least_count: int = 2) -> tuple[Data
     if least_count not in (1, 2):
         raise ValueError("least_count is 1 or 2")
     buckets = max(1, -(-n_tokens // (KEYS * TRAIN_WAVES)))
-    threes = [stored(count_trigrams(trusted, k, TRAIN_WAVES, buckets, least_count), f"kn-3-{k}") for k in range(TRAIN_WAVES)]
-    twos = [stored(count_pairs(trusted, k, TRAIN_WAVES, buckets, least_count), f"kn-2-{k}") for k in range(TRAIN_WAVES)]
-    three, two = _union(threes), _union(twos)
+    waves = [stored(count_ngrams(trusted, k, TRAIN_WAVES, buckets, least_count), f"kn-counts-{k}") for k in range(TRAIN_WAVES)]
+    three, two = _union(waves).where("kind < 10"), _union(waves).where("kind > 10").withColumn("kind", F.col("kind") - 10)
     d3, d2 = _discounts(three, least_count > 1), _discounts(two, least_count > 1)
 
     types = stored(two.where("kind = 4").groupBy("key").agg(F.sum("total").alias("n")).withColumn("m", F.pmod("key", F.lit(FOLDS)).cast("int")), "kn-1")
@@ -309,23 +304,26 @@ def train(trusted: DataFrame, n_tokens: int, least_count: int = 2) -> tuple[Data
     longer = three.where("kind = 1").select("key", "low", "b", "c", _alpha(d3).alias("a3"), _spare(d3).alias("g3"))
     longer = longer.join(kept, "low", "left").join(p1, "c").join(g2, "b")
     p2 = F.coalesce(F.col("a2") + F.col("less"), F.col("g2") * F.col("p1"))
+    longer = stored(longer.select("key", F.log1p(F.col("a3") / (F.col("g3") * p2)).alias("value")), "kn-longer")
     model = _union([
         words.select("key", (F.coalesce("l1", F.lit(0.0)) + F.coalesce(F.log("g2"), F.lit(0.0))).alias("value")),
         kept.select(F.col("low").alias("key"), F.log1p(F.col("a2") / F.col("less")).alias("value")),
         three.where("kind = 3").select("key", F.log(_spare(d3)).alias("value")),
-        longer.select("key", F.log1p(F.col("a3") / (F.col("g3") * p2)).alias("value")),
+        longer,
     ])
     model = stored(model.where("value <> 0").groupBy("key").agg(F.sum("value").cast("float").alias("value")), "kn-model")
-    release(*threes, *twos, types, words, kept)
+    release(*waves, types, words, kept, longer)
     return model, unknown
 
 
 def _packed_queries(number: int, key: np.ndarray, row: np.ndarray, buckets: int) -> Rows:
     """A row for every bucket: the chunk's number, how many keys, each different key once, in order, and the text rows of each
     key one after another, the first of a key marked by its highest bit."""
+    if not len(key):
+        return
     order = np.argsort(key)
     key, row = key[order], row[order].astype(np.uint16)
-    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     row[new] |= FIRST
     key = key[new]
     bucket = buckets_of(key, buckets)  # they rise with the keys
@@ -421,11 +419,8 @@ def score_texts(texts: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
 
 
 def about_tokens(texts: DataFrame) -> int:
-    """About how many words and end marks all texts hold, from their spaces, or bytes where these are few; it only sets how
-    many buckets there are."""
-    size = F.octet_length("__text")
-    spaces = size - F.octet_length(F.replace("__text", F.lit(" "), F.lit("")))
-    return int(texts.agg(F.sum(F.greatest(spaces, size / 8) + 2)).first()[0] or 0)
+    """About how many words and end marks all texts hold, six bytes each; it only sets how many buckets there are."""
+    return int(texts.agg(F.sum(F.octet_length("__text") / 6 + 2)).first()[0] or 0)
 
 
 def word_log_likelihood(texts: DataFrame, trusted: DataFrame, least_count: int = 2) -> DataFrame:
