@@ -22,7 +22,7 @@ def tables_of(trained):
     return Counter(g[1] for g in two), two, three
 
 
-def brute(texts, trained, both, least):
+def brute(texts, trained, both, least=2):
     """log P of each text by a model of the trained ones: order 3, interpolated, modified; counts below
     `least` of pairs and triples are cut off. Discounts come from the counts of both models."""
     one, two, three = tables_of(trained)
