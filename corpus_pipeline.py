@@ -35,9 +35,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document taken."""
-    return bpe_encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "lang", "source"], more=("ids",))
+    return bpe_encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "lang", "source"], more=("ids",), memory=TOKEN_MEMORY)
 
 
+#: Workers keep this much from stage to stage, beside what later ones need; a quarter of the encoder's own bound.
+TOKEN_MEMORY = 20_000_000
+
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("tokens", tokens)]
 
 #: SQL can't express the language model, the hash-based mix or the encoder; tests/llm/test_pipeline.py holds every stage against plain Python.

@@ -38,6 +38,8 @@ BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "
 PLAIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
 #: Symbols from which on a word's equal merges are made together.
 LONG = 2048
+#: Bytes of words already encoded that a worker keeps, in each of two generations.
+MEMORY = 80_000_000
 #: Characters that Python takes as white space but the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -254,23 +256,23 @@ def words_of(text: str) -> list[str]:
     return NOT_SPACE.findall(text) if ODD_SPACE.search(text) else text.split()
 
 
-_memos: dict[str, tuple[SegmentTreeBPE, Memo]] = {}
+_memos: dict[tuple[str, int], tuple[SegmentTreeBPE, Memo]] = {}
 
 
-def _coder(path: str) -> tuple[SegmentTreeBPE, Memo]:
-    if path not in _memos:
+def _coder(path: str, memory: int = MEMORY) -> tuple[SegmentTreeBPE, Memo]:
+    if (path, memory) not in _memos:
         coder = SegmentTreeBPE(path)
 
         def compute(words: list[str]):
             for ids in coder.encode_words(words):
                 yield " ".join([coder.id_text[i] for i in ids]), coder.decode(ids)
 
-        _memos[path] = coder, Memo(compute, lambda v: len(v[0]) + len(v[1]))
-    return _memos[path]
+        _memos[path, memory] = coder, Memo(compute, lambda v: len(v[0]) + len(v[1]), memory)
+    return _memos[path, memory]
 
 
 def bpe_encode_decode(
-    docs: DataFrame, path: str, *, text: str = "text", keep: list[str] | None = None, more: tuple[str, ...] = ()
+    docs: DataFrame, path: str, *, text: str = "text", keep: list[str] | None = None, more: tuple[str, ...] = (), memory: int = MEMORY
 ) -> DataFrame:
     """Encodes and decodes every whole text.
 
@@ -278,7 +280,7 @@ def bpe_encode_decode(
     (lowercase hex of the decimal ids joined by a space, and of the decoded text in UTF-8), and those of ids
     (array<int>) and decoded that `more` names. No shuffle: each input row is handled where it is read.
 
-    path: the vocabulary file, present on every machine.
+    path: the vocabulary file, present on every machine. memory: bytes of words that a worker keeps encoded, twice over.
     Result columns win over input columns of the same names.
     """
     own = ["n_tokens", "ids_sha256", "decoded_sha256", *more]
@@ -288,7 +290,7 @@ def bpe_encode_decode(
     spark_kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": T.ArrayType(T.IntegerType()), "decoded": "string"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, memo = _coder(path)
+        _, memo = _coder(path, memory)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)

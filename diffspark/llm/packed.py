@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 
 PACKED = "bucket int, kind int, data binary"
 Rows = Iterator[tuple[int, int, bytes]]
+#: Bytes of rows after which a batch goes to Spark.
+BYTES = 4 << 20
 
 
 def buckets_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -33,12 +35,15 @@ def spread(kind: int, key: np.ndarray, records: np.ndarray, buckets: int, head:
 
 
 def batches_of(rows: Rows, size: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most size rows, which end once they hold BYTES."""
     held: list[tuple] = []
+    total = 0
     for row in rows:
         held.append(row)
-        if len(held) == size:
+        total += len(row[2])
+        if len(held) == size or total >= BYTES:
             yield _batch(held)
-            held = []
+            held, total = [], 0
     if held:
         yield _batch(held)
 
@@ -81,7 +86,12 @@ def by_kind(rows: Rows, kinds: dict[int, np.dtype]) -> dict[int, np.ndarray]:
     parts: dict[int, list[bytes]] = {k: [] for k in kinds}
     for _, kind, data in rows:
         parts[kind].append(data)
-    return {k: np.frombuffer(b"".join(p), kinds[k]) for k, p in parts.items()}
+    return joined(parts, kinds)
+
+
+def joined(parts: dict[int, list[bytes]], kinds: dict[int, np.dtype]) -> dict[int, np.ndarray]:
+    """The records of each kind; its parts are let go as soon as they are one."""
+    return {k: np.frombuffer(b"".join(parts.pop(k)), kinds[k]) for k in kinds}
 
 
 def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-#: Bytes of text hashed at a time; a longer text makes a piece of its own.
-PIECE = 2 << 20
+#: Bytes of text whose words are looked at together, and whose running sums are held at a time; a longer text makes a piece
+#: and a block of its own.
+PIECE, BLOCK = 2 << 20, 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -36,7 +37,7 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1
 def _power(name: str, n: int) -> np.ndarray:
     """The first n powers of the base, or of its inverse."""
     if len(_powers[name]) < n:
-        step = np.full(max(n, PIECE), BASE if name == "up" else INVERSE, np.uint64)
+        step = np.full(max(n, BLOCK), BASE if name == "up" else INVERSE, np.uint64)
         step[0] = 1
         _powers[name] = np.cumprod(step)
     return _powers[name][:n]
@@ -55,7 +56,17 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
 
 def word_hashes(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word and the number of words of every text."""
-    b = np.frombuffer(data, np.uint8)
+    b, lo = np.frombuffer(data, np.uint8), 0
+    hashes, n = [np.empty(0, np.uint64)], [np.zeros(0, np.int64)]
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK, "right")) - 1)
+        for all_, own in zip((hashes, n), _block_hashes(b[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), strict=True):
+            all_.append(own)
+        lo = hi
+    return np.concatenate(hashes), np.concatenate(n)
+
+
+def _block_hashes(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(b):
         return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     space = SPACE[b]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, stored
-from .packed import PACKED, Rows, batches_of, buckets_of, by_kind, exchange, spread, summed
+from .packed import PACKED, Rows, batches_of, buckets_of, by_kind, exchange, joined, spread, summed
 from .shingle_sets import M1, P, finish, pieces, word_hashes
 
 FOLDS = 2
@@ -229,11 +229,14 @@ def count_ngrams(trusted: DataFrame, wave: int, waves: int, buckets: int, least:
         yield from batches_of(out(), 64)
 
     def finish_(rows: Rows) -> Iterator[pa.RecordBatch]:
-        parts = list(rows)
-        for _, kind, data in parts:
+        kinds = {0: CONTEXT, 1: PAIR, 2: COUNTS, 3: WORD}
+        parts: dict[int, list[bytes]] = {k: [] for k in kinds}
+        for _, kind, data in rows:
             if kind == DONE:
                 yield pa.ipc.read_record_batch(pa.py_buffer(data), COUNTED_ROWS)
-        got = by_kind((r for r in parts if r[1] != DONE), {0: CONTEXT, 1: PAIR, 2: COUNTS, 3: WORD})
+            else:
+                parts[kind].append(data)
+        got = joined(parts, kinds)
         if len(got[2]):
             yield _rows(12, n=got[2]["n"], total=got[2]["of"])
         contexts = _total(got[0])
