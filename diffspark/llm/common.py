@@ -35,14 +35,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def write(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Writes df as Parquet; the shuffle files made for it go at once, since nothing reads them again."""
+def write(df: DataFrame, path: str, mode: str = "error", **options: int) -> None:
+    """Writes df as Parquet, with the writer's options; the shuffle files made for it go at once, since nothing reads them again."""
     conf = df.sparkSession.conf
     before = {k: conf.get(k) for k in WRITING}
     try:
         for k, v in WRITING.items():
             conf.set(k, v)
-        df.write.mode(mode).parquet(path)
+        df.write.mode(mode).options(**options).parquet(path)
     finally:
         for k, v in before.items():
             conf.set(k, v)

@@ -14,7 +14,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_chars
-from .memo import Memo
+from .common import write
 
 MAGIC = b"WVLTMX01"
 BLOCK = 2048  # bits for each entry of the rank directory
@@ -164,12 +164,60 @@ UNCUT = r"[ \n]{2}|[ \n]\z|[\x01\t\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a
 #: begins the next.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 SIGNS = ".,;:!?"
-SINGLE = re.compile(f"( ?[{LETTERS}]+)([{SIGNS}]?)")
+BARE = f"^ ?[{LETTERS}]+"
+#: Bytes of words and their ids that a worker remembers; of texts from which on they are encoded together; new words, words
+#: of texts, and texts of other kinds handled at a time.
+MEMORY, PIECE, NEW, WORDS, OTHER = 4_000_000, 4 << 20, 20_000, 200_000, 256
+#: What an entry takes beside its characters and ids.
+ENTRY = 16
 _encoders: dict[str, tuple] = {}
 
 
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at start, one after the other."""
+    first = np.cumsum(size) - size
+    return flat[np.repeat(start - first, size) + np.arange(size.sum())]
+
+
+class WordIds:
+    """The ids of distinct words, from compute(words), which gives them in one array and their numbers.
+
+    A bounded memory goes before it: words used twice in a batch and remembered ones, those seen last first. All is held
+    in arrays, since a worker's objects for words would take ten times as much.
+    """
+
+    def __init__(self, compute: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], kind: np.dtype, limit: int):
+        self.compute, self.limit = compute, limit
+        self.words, self.flat, self.size = pa.array([], pa.string()), np.empty(0, kind), np.empty(0, np.int64)
+
+    def of(self, words: pa.Array, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An array of ids, and for each word where its ids lie in it and how many they are."""
+        at = pc.index_in(words, value_set=self.words)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy()
+        flat, n = self.compute(words.filter(pa.array(new)))
+        start, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        start[~new], size[~new] = (np.cumsum(self.size) - self.size)[at[~new]], self.size[at[~new]]
+        start[new], size[new] = len(self.flat) + np.cumsum(n) - n, n
+        flat = np.concatenate([self.flat, flat])
+        self._remember(words, ~new | (uses > 1), at[~new], flat, start, size)
+        return flat, start, size
+
+    def _remember(self, words: pa.Array, keep: np.ndarray, seen: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        unseen = np.ones(len(self.words), bool)
+        unseen[seen] = False
+        all_words = pa.concat_arrays([words.filter(pa.array(keep)), self.words.filter(pa.array(unseen))])
+        starts = np.concatenate([start[keep], (np.cumsum(self.size) - self.size)[unseen]])
+        sizes = np.concatenate([size[keep], self.size[unseen]])
+        held = np.cumsum(pc.binary_length(all_words).to_numpy() + sizes * flat.itemsize + ENTRY)
+        n = int(np.searchsorted(held, self.limit, side="right"))
+        self.words = pa.concat_arrays([all_words.slice(0, n)]).take(pa.array(np.arange(n)))  # a copy, lest the rest stays
+        self.flat, self.size = _gather(flat, starts[:n], sizes[:n]), sizes[:n].copy()
+
+
 def _encoder(path: str):
-    """Memory of words' ids, as bytes; whole texts' ids by the library; the ids' type; the pattern of texts to go whole."""
+    """Ids of distinct words; whole texts' ids by the library; the ids' type; ids of signs and where they lie; the pattern
+    of texts to go whole."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -185,29 +233,31 @@ def _encoder(path: str):
             for e in library.encode_batch_fast(texts, add_special_tokens=False):
                 yield np.array(e.ids, kind)
 
-        def compute(words: list[str]):
-            """A blank and letters are one pre-token, for the model alone, a sign behind them another; the rest takes the
-            library's whole way."""
-            found = list(map(SINGLE.fullmatch, words))
-            rest = whole([w for w, m in zip(words, found, strict=True) if not m])
-            bare = {m[1] for m in found if m}
-            ids = {w: memo.get(w) or memo.old.get(w) for w in bare}
-            new = [w for w, v in ids.items() if v is None]
-            parts = "\n".join(new).encode().decode("latin-1").translate(bytes_as_chars).split(line_end)  # none holds a line end
-            tokenize, code = model.tokenize, kind.char
-            for w, part in zip(new, parts, strict=False):
-                ids[w] = array(code, [t.id for t in tokenize(part)]).tobytes()
-            for m in found:
-                if not m:
-                    yield next(rest).tobytes()
-                else:
-                    w, after = m.groups()
-                    yield ids[w] + sign[after] if after else ids[w]
+        def compute(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            """A blank and letters are one pre-token, for the model alone; the rest takes the library's whole way."""
+            bare = pc.match_substring_regex(words, BARE + "$").to_numpy(zero_copy_only=False)
+            flat, n, tokenize = array(kind.char), array("q"), model.tokenize
+            new = words.filter(pa.array(bare))
+            for lo in range(0, len(new), NEW):
+                part = "\n".join(new.slice(lo, NEW).to_pylist()).encode().decode("latin-1").translate(bytes_as_chars).split(line_end)
+                for w in part:  # none holds a line end
+                    ids = [t.id for t in tokenize(w)]
+                    flat.extend(ids)
+                    n.append(len(ids))
+            rest = words.filter(pa.array(~bare))
+            for lo in range(0, len(rest), OTHER):
+                for ids in whole(rest.slice(lo, OTHER).to_pylist()):
+                    flat.frombytes(ids.tobytes())
+                    n.append(len(ids))
+            ids, n = np.frombuffer(flat, kind), np.frombuffer(n, np.int64)
+            order = np.argsort(np.concatenate([np.flatnonzero(bare), np.flatnonzero(~bare)]))
+            return _gather(ids, (np.cumsum(n) - n)[order], n[order]), n[order]
 
         special = [re.escape(t.content) for t in library.get_added_tokens_decoder().values()]
-        sign = {c: next(whole([c])).tobytes() for c in SIGNS}
-        memo = Memo(compute, limit=150_000_000)
-        _encoders[path] = memo, whole, kind, "|".join([UNCUT, *special])
+        signs = [next(whole([c])) for c in SIGNS]
+        sizes = np.array([*map(len, signs), 0])  # the last one: no sign
+        sign = np.concatenate(signs), np.cumsum(sizes) - sizes, sizes
+        _encoders[path] = WordIds(compute, kind, MEMORY), whole, kind, sign, "|".join([UNCUT, *special])
     return _encoders[path]
 
 
@@ -215,31 +265,60 @@ def encode_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
     """Ids of the whole texts of a string column.
 
     Words repeat, so a text is cut where the split pattern always cuts: before a blank that a word follows and around single
-    line ends. Texts with longer runs of white space or special strings go whole.
+    line ends; a sign behind letters is a pre-token of its own. Texts with longer runs of white space or special strings go
+    whole.
     """
-    memo, whole, kind, uncut = _encoder(path)
+    known, whole, kind, sign, uncut = _encoder(path)
     out: list[np.ndarray | None] = [None] * len(texts)
     odd = pc.match_substring_regex(texts, uncut)
     at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-    for k, ids in zip(at.tolist(), whole(texts.take(at).to_pylist()), strict=True):
-        out[k] = ids
+    for lo in range(0, len(at), OTHER):
+        for k, ids in zip(at[lo : lo + OTHER].tolist(), whole(texts.take(at[lo : lo + OTHER]).to_pylist()), strict=True):
+            out[k] = ids
     at = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
     if len(at):
         marked = pc.replace_substring(pc.replace_substring(texts.take(at), " ", "\x01 "), "\n", "\x01\n\x01")
         cut = pc.split_pattern(marked, "\x01")
         words = cut.flatten().dictionary_encode()
-        values = memo.values_of([words.dictionary.to_pylist()])[0]
-        flat, size = np.frombuffer(b"".join(values), kind), np.array([len(v) for v in values]) // kind.itemsize
-        index = words.indices.to_numpy()
-        n = size[index]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat((np.cumsum(size) - size)[index] - ends[:-1], n) + np.arange(ends[-1])]
-        bounds = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
-        for k, a, b in zip(at.tolist(), bounds[:-1], bounds[1:], strict=True):
-            out[k] = ids[a:b]
+        index, found, bounds = words.indices.to_numpy(), words.dictionary, cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        del marked, cut
+        signed = pc.match_substring_regex(found, f"{BARE}[{SIGNS}]$")
+        last = pc.index_in(pc.utf8_slice_codeunits(found.filter(signed), -1), value_set=pa.array(list(SIGNS))).to_numpy()
+        signed = signed.to_numpy(zero_copy_only=False)
+        after = np.full(len(found), len(SIGNS))
+        after[signed] = last
+        bare = pc.if_else(pa.array(signed), pc.utf8_rtrim(found, characters=SIGNS), found).dictionary_encode()
+        of = bare.indices.to_numpy()
+        flat, start, size = known.of(bare.dictionary, np.bincount(of, np.bincount(index, minlength=len(found)), len(bare.dictionary)))
+        pairs = np.stack([start[of], len(flat) + sign[1][after]], 1).ravel(), np.stack([size[of], sign[2][after]], 1).ravel()
+        flat, size = _gather(np.concatenate([flat, sign[0]]), *pairs), size[of] + sign[2][after]
+        start = np.cumsum(size) - size
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + WORDS, side="right")) - 1)
+            part = index[bounds[lo] : bounds[hi]]
+            n = size[part]
+            ids, ends = _gather(flat, start[part], n), np.concatenate([[0], np.cumsum(n)])[bounds[lo : hi + 1] - bounds[lo]].tolist()
+            for k, a, b in zip(at[lo:hi].tolist(), ends[:-1], ends[1:], strict=True):
+                out[k] = ids[a:b]
+            lo = hi
     return out  # type: ignore[return-value]
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about PIECE bytes: more words are found again in larger ones."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= PIECE:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_token_files(
     docs: DataFrame, path: str, out: str, *, text: str = "text", doc_id: str = "doc_id", end_id: int = 2, shard_tokens: int = 1_000_000
 ) -> None:
@@ -264,20 +343,18 @@ def write_token_files(
             data = to_bytes(matrix, ids, [len(p) for p in parts])
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_docs": [len(ids)], "n_tokens": [total], "file": [data]}, schema=FILES)
 
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 4096):
-                batch = whole.slice(lo, 4096)
-                for d, found in zip(batch.column("doc_id").to_pylist(), encode_texts(batch.column("text"), path), strict=True):
-                    ids.append(d)
-                    parts.append(np.append(found, found.dtype.type(end_id)))
-                    total += len(parts[-1])
-                    if total >= shard_tokens:
-                        yield shard()
-                        ids, parts, total, seq = [], [], 0, seq + 1
+        for batch in pieces(batches):
+            for d, found in zip(batch.column("doc_id").to_pylist(), encode_texts(batch.column("text"), path), strict=True):
+                ids.append(d)
+                parts.append(np.append(found, found.dtype.type(end_id)))
+                total += len(parts[-1])
+                if total >= shard_tokens:
+                    yield shard()
+                    ids, parts, total, seq = [], [], 0, seq + 1
         if ids:
             yield shard()
 
-    rows.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, file binary").write.option("parquet.block.size", 16 << 20).parquet(out)
+    write(rows.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, file binary"), out, **{"parquet.block.size": 16 << 20})
 
 
 FILES = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("file", pa.binary())])

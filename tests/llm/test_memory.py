@@ -5,9 +5,10 @@ import tracemalloc
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from diffspark.llm import bpe, common, packed, shingle_sets
+from diffspark.llm import bpe, common, packed, shingle_sets, tokenfile
 
 
 def test_batches_to_spark_are_bounded_in_bytes():
@@ -55,3 +56,46 @@ def test_tokens_keep_a_small_memory_of_words():
     values = [memo.values_of([words[lo : lo + 5000]])[0] for lo in range(0, len(words), 5000)]
     assert memo.held <= 1.2 * memo.limit and len(memo) + len(memo.old) < len(words)
     assert [v for part in values for v in part][:3] == bpe._coder(path)[1].values_of([words[:3]])[0]
+
+
+def test_new_words_of_token_files_hold_little():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), np.random.default_rng(4)
+    texts = [" ".join(["and", "the"] + ["".join(w) for w in rng.choice(list("abcdefgh"), (500, 9))] + ["é.", "end,"]) + "\nx" for _ in range(400)]
+    tokenfile.encode_texts(pa.array(texts[:1]), path)
+    tracemalloc.start()
+    got = [tokenfile.encode_texts(pa.array(texts[lo : lo + 50]), path)[0].tolist() for lo in range(0, 400, 50)]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 2 * 4_000_000  # 200,000 words seen
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts[::50]]
+
+
+def test_words_ids_are_remembered_within_bounds_and_right_for_any_bound():
+    asked = []
+
+    def compute(words):
+        asked.append(words.to_pylist())
+        n = np.array([len(w) for w in words.to_pylist()], np.int64)
+        return np.frombuffer("".join(words.to_pylist()).encode(), np.uint8), n
+
+    for limit in (0, 20, 60, 1000):
+        asked.clear()
+        known, rng = tokenfile.WordIds(compute, np.dtype(np.uint8), limit), np.random.default_rng(5)
+        for _ in range(60):
+            words, uses = np.unique(["abcdefghijkl"[: k + 1] for k in rng.zipf(1.5, 12) % 12], return_counts=True)
+            flat, start, size = known.of(pa.array(words.tolist(), pa.string()), uses)
+            assert [bytes(flat[a : a + n]).decode() for a, n in zip(start, size, strict=True)] == words.tolist()
+            assert known.words.nbytes - 4 * (len(known.words) + 1) + known.flat.nbytes + tokenfile.ENTRY * len(known.words) <= limit
+        assert (sum(map(len, asked)) < 100) == (limit == 1000)
+    assert known.of(pa.array([], pa.string()), np.empty(0, np.int64))[1].tolist() == []
+
+
+def test_texts_of_token_files_are_encoded_in_pieces(spark, monkeypatch):
+    batches = [pa.RecordBatch.from_arrays([pa.array(["x" * (1 << 20)] * k, pa.string())], ["text"]) for k in (1, 1, 7, 0, 3, 1)]
+    assert [b.num_rows for b in tokenfile.pieces(iter(batches))] == [9, 4] and list(tokenfile.pieces(iter([]))) == []
+    rows = spark.range(0, 12, 1, 1).selectExpr("id as doc_id", "repeat('ab ', 500000) as text")
+    seen, out = [], common.shared_dir(spark, "files")
+    monkeypatch.setattr(tokenfile, "write", lambda df, path, **more: seen.append(path) or common.write(df, path, **more))
+    tokenfile.write_token_files(rows, public_tokenizers.path("byte_bpe_50k.json"), out)  # written in small batches
+    assert seen == [out] and tokenfile.read_token_files(spark, out).where("n_tokens > 500000").count() == 12
