@@ -81,5 +81,5 @@ HISTORY = """history AS (SELECT trial, row_number() OVER (PARTITION BY trial ORD
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
-        "concat('INFO:root:[', if(o_orderkey % 2 = 1, 'Valid', 'Train'), '] @ ', lpad(cast(o_orderkey as string), 5, '0'), ' l2-norm of   100 samples: Avg.: ', format_string('%.4f', (o_orderkey % 10000) / 10000.0D), ', 50th: 0.1') as value"
+        "concat('INFO:root:[', if(o_orderkey % 2 = 1, 'Valid', 'Train'), '] @ ', format_string('%05d', o_orderkey), ' l2-norm of   100 samples: Avg.: ', format_string('%.4f', (o_orderkey % 10000) / 10000.0D), ', 50th: 0.1') as value"
     )
