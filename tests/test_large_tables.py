@@ -1,8 +1,12 @@
 """What only shows on tables larger than those of the other tests."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 
+from diffspark.operators import peaks
 from diffspark.plans.queries import QUERIES, SQL
+from diffspark.sources.staging import staged
 
 
 def test_log_lines_hold_long_epochs(spark, tmp_path):
@@ -12,3 +16,35 @@ def test_log_lines_hold_long_epochs(spark, tmp_path):
     con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
     got = sorted(tuple(r) for r in QUERIES["log_errors"](spark, str(tmp_path)).select("split", "epoch", "error").collect())
     assert got == sorted(con.execute(SQL["log_errors"]).fetchall()) and sorted(x[1] for x in got) == keys
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_staged_tables_are_not_sent_through_the_driver_by_the_size_of_their_files(spark):
+    """20,000 patches take 64 MB and some 100 KB of files; Spark sends files of up to 10 MB to all tasks."""
+    patches = staged(spark.range(20000).selectExpr("id as patch_id", "array_repeat(0.0D, 400) as px"), "patches")
+    marks = staged(spark.range(20000).selectExpr("id as patch_id", "1 as peak_no"), "marks")
+    listed = marks.groupBy("patch_id").count()
+    for df in (patches.join(listed, "patch_id"), patches.join(marks, "patch_id", "left"), patches.join(spark.range(20000).withColumnRenamed("id", "patch_id"), "patch_id")):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+    assert "BroadcastHashJoin" in plan(patches.join(marks.hint("broadcast"), "patch_id"))
+
+
+def test_fits_take_patches_of_as_many_peaks_together_in_small_blocks(monkeypatch):
+    """Padding a batch to its largest number of peaks cost most of its time and memory."""
+    seen, fit = [], peaks.fit_batch
+    monkeypatch.setattr(peaks, "fit_batch", lambda x, r, e, guess, real, *rest: seen.append((real.all(), real.size * x[0].size)) or fit(x, r, e, guess, real, *rest))
+    rng = np.random.default_rng(3)
+    marked = [[{"peak_no": k + 1, "row": 4 + 3 * k, "col": 5 + 3 * k} for k in range(1 + n % 5)] for n in range(200)]
+    px = list(rng.uniform(0, 100, (200, 400)))
+    pdf = pd.DataFrame({"patch_id": range(200), "z00": 10, "y00": 20, "px": px, "native": px, "peaks": marked})
+
+    class Batches:
+        def mapInPandas(self, run, schema):
+            return pd.concat(run(iter([pdf])))
+
+    out = peaks.fit_pseudo_voigt(Batches(), 1, 48.25, 47.75, 60.0)
+    assert len(out) == 600 and (out.groupby("patch_id").size() == [1 + n % 5 for n in range(200)]).all()
+    assert all(full for full, _ in seen) and max(cells for _, cells in seen) <= 50_000
