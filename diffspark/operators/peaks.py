@@ -360,15 +360,16 @@ def fit_bounded(target: np.ndarray, r: np.ndarray, e: np.ndarray, guess: np.ndar
     return x.reshape(n, many, 8), cost / t.shape[1], ended & np.isfinite(cost)
 
 
-#: Numbers in the arrays of patches that are fitted together (peaks x pixels).
-FIT_CELLS = 1_000_000
+#: Numbers in the arrays of patches that are fitted together (peaks x pixels), of which some forty are held at once: what
+#: the processor's own memory holds is faster, and beside a full heap more had an executor near 3000 MB.
+FIT_CELLS = 50_000
 FIT = "patch_id long, peak_no int, r double, eta double, sigma_gr double, sigma_geta double, sigma_lr double, sigma_leta double, mu double, imax_fit double, integrated_intensity double, imax double, max_row int, max_col int, nr_pixels long, fit_rmse double, failed boolean"
 
 
 def fit_pseudo_voigt(patches: DataFrame, srfac: int, ybc: float, zbc: float, int_thresh: float = 10.0, form: str = "adam") -> DataFrame:
     """patches: patch_id, z00, y00, px, native (native-resolution px), peaks (array of (peak_no, row, col)). One row per
-    peak; patches whose fit fails give a single row with failed set, to be kept as an error table. Patches of a batch are
-    fitted together, padded to the same number of peaks. No shuffle.
+    peak; patches whose fit fails give a single row with failed set, to be kept as an error table. Patches of a batch that
+    have as many peaks are fitted together. No shuffle.
 
     form adam: a fixed number of gradient steps; bounded: least squares to the end, a fit that comes to none fails. The
     cut int_thresh / srfac**2 holds for the final error in the one, within the model in the other."""
@@ -411,8 +412,10 @@ def fit_pseudo_voigt(patches: DataFrame, srfac: int, ybc: float, zbc: float, int
         for pdf in batches:
             if not len(pdf):
                 continue
-            step = max(1, (FIT_CELLS if form == "adam" else FIT_CELLS // 8) // (len(pdf["px"].iloc[0]) * max(1, max(map(len, pdf["peaks"])))))
-            rows = [row for lo in range(0, len(pdf), step) for row in some(pdf.iloc[lo : lo + step])]
+            rows: list[tuple] = []
+            for many, own in pdf.groupby(pdf["peaks"].map(len)):
+                step = max(1, (FIT_CELLS if form == "adam" else 2 * FIT_CELLS) // (len(pdf["px"].iloc[0]) * max(1, many)))
+                rows += [row for lo in range(0, len(own), step) for row in some(own.iloc[lo : lo + step])]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in FIT.split(", ")])
 
     return patches.mapInPandas(run, FIT)
