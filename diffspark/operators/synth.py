@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shapes import pseudo_voigt, pseudo_voigt_np
+from ..functions.shapes import pseudo_voigt_np
 
 
 #: Numbers drawn together when peaks are placed.
@@ -185,16 +187,61 @@ def place_peaks(patches: DataFrame, var_r: float, sep_min: float, sep_max: float
     return patches.select("patch_id", "ring_r", "n_peaks").where("n_peaks > 0").mapInPandas(run, "patch_id long, k int, y double, z double, r double, eta double, ok boolean")
 
 
-def draw_peaks(grid: DataFrame, peaks: DataFrame, i_thresh: float = 0.0, two_widths: bool = True) -> DataFrame:
-    """grid: patch_id, row, col, grid_r, grid_eta; peaks: patch_id and a peak's columns. Sum of the peaks, each with its
-    background where it is positive; if a patch's maximum exceeds i_thresh, values up to i_thresh become 0."""
-    rows = grid.join(peaks, "patch_id")
-    g, low = (F.col("sigma_gr"), F.col("sigma_geta")), (F.col("sigma_lr"), F.col("sigma_leta"))
-    v = pseudo_voigt(F.col("grid_r"), F.col("grid_eta"), F.col("radius"), F.col("eta"), g, F.col("mu"), F.col("imax"), low if two_widths else None)
-    rows = rows.withColumn("v", v).withColumn("v", F.when(F.col("v") > 0, F.col("v") + F.col("bg")).otherwise(F.col("v")))
-    sums = rows.groupBy("patch_id", "row", "col").agg(F.sum("v").alias("v"))
-    top = F.max("v").over(Window.partitionBy("patch_id"))
-    return sums.withColumn("v", F.when((top > i_thresh) & (F.col("v") <= i_thresh), 0.0).otherwise(F.col("v")))
+#: Numbers in the arrays of windows that are drawn together.
+DRAW_CELLS = 100_000
+SHAPE = ["radius", "eta", "sigma_gr", "sigma_geta", "sigma_lr", "sigma_leta", "mu", "imax", "bg"]
+
+
+def draw_peaks(windows: DataFrame, peaks: DataFrame, size: int, srfac: int, ybc: float, zbc: float, i_thresh: float = 0.0, two_widths: bool = True) -> DataFrame:
+    """windows: patch_id, y, z, each patch once; peaks: patch_id and a peak's columns. patch_id, row, col, v of all points
+    that geometry.patch_grid() has for the windows: the sum of the patch's peaks, each with its background where it is
+    positive; if a patch's maximum exceeds i_thresh, values up to i_thresh become 0. A peak with a null adds nothing, a
+    patch of no other has nulls; a patch without peaks has no row. Only peaks and windows are shuffled, by patch: a batch of
+    windows is drawn at once, and its points are neither joined nor sorted."""
+    side = size * srfac
+    row, col = (x.ravel() for x in np.divmod(np.arange(side * side, dtype=np.int32), side))
+
+    def drawn(y: np.ndarray, z: np.ndarray, p: dict[str, np.ndarray], many: np.ndarray) -> np.ndarray:
+        """(windows, points); p holds the peaks of all windows in order, many their numbers."""
+        dy, dz = (np.trunc(np.trunc(c) - size / 2)[:, None] + k / float(srfac) - centre for c, k, centre in ((y, col, ybc), (z, row, zbc)))
+        r = np.sqrt(dy * dy + dz * dz)
+        e = np.degrees(np.arccos(np.clip(np.divide(dz, r, out=np.ones_like(r), where=r != 0), -1, 1))) * np.where(dy < 0, -1.0, 1.0)
+        if not (many == 1).all():
+            r, e = (np.repeat(x, many, 0) for x in (r, e))
+        r0, e0, gr, ge, lr, le, mu, top, bg = (p[c][:, None] for c in SHAPE)
+        if not two_widths:
+            lr, le = gr, ge
+        a, b, c, d = (r - r0) / gr, (e - e0) / ge, (r - r0) / lr, (e - e0) / le
+        v = mu * (top / ((1 + c * c) * (1 + d * d))) + (1 - mu) * (top * np.exp(-0.5 * a * a - 0.5 * b * b))
+        v = np.where(v > 0, v + bg, v)
+        if (many == 1).all():
+            return v
+        out, some = np.full((len(many), side * side), np.nan), many > 0
+        if some.any():
+            out[some] = np.add.reduceat(v, (np.cumsum(many) - many)[some])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, DRAW_CELLS // side**2)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                listed = batch.column("peaks").flatten()
+                many = pc.list_value_length(batch.column("peaks")).to_numpy()
+                y, z = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "z"))
+                with np.errstate(all="ignore"):
+                    v = drawn(y, z, {c: listed.field(k).to_numpy(zero_copy_only=False) for k, c in enumerate(SHAPE)}, many)
+                    v = np.where(~(v.max(1, keepdims=True) <= i_thresh) & (v <= i_thresh), 0.0, v)
+                bare = np.repeat((many == 0) | np.isnan(y) | np.isnan(z), side * side)
+                ids = batch.column("patch_id").take(pa.array(np.repeat(np.arange(len(many)), side * side)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(row, len(many))), pa.array(np.tile(col, len(many))), pa.array(v.ravel(), mask=bare if bare.any() else None)], names=["patch_id", "row", "col", "v"])
+
+    whole = F.struct(*[F.col(c).cast("double").alias(c) for c in SHAPE])
+    known = F.when(F.greatest(*[F.col(c).isNull().cast("int") for c in SHAPE]) == 0, whole)  # nulls aren't listed
+    listed = peaks.groupBy("patch_id").agg(F.sort_array(F.collect_list(known)).alias("peaks"))
+    rows = windows.select("patch_id", F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("z")).hint("merge").join(listed, "patch_id")
+    kind = rows.schema["patch_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"patch_id {kind}, row int, col int, v double")
 
 
 def pool(x: np.ndarray, f: int) -> np.ndarray:

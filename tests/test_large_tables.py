@@ -4,8 +4,12 @@ import duckdb
 import numpy as np
 import pandas as pd
 
-from diffspark.operators import peaks
-from diffspark.plans.queries import QUERIES, SQL
+from pyspark.sql import functions as F
+
+from diffspark.functions.geometry import patch_grid
+from diffspark.functions.shapes import pseudo_voigt
+from diffspark.operators import peaks, synth
+from diffspark.plans.queries import QUERIES, SQL, rounded
 from diffspark.sources.staging import staged
 
 
@@ -48,3 +52,40 @@ def test_fits_take_patches_of_as_many_peaks_together_in_small_blocks(monkeypatch
     out = peaks.fit_pseudo_voigt(Batches(), 1, 48.25, 47.75, 60.0)
     assert len(out) == 600 and (out.groupby("patch_id").size() == [1 + n % 5 for n in range(200)]).all()
     assert all(full for full, _ in seen) and max(cells for _, cells in seen) <= 50_000
+
+
+def test_rounding_by_whole_numbers_gives_the_same_doubles(spark):
+    rng = np.random.default_rng(5)
+    ties = [k / 10**p for p in (1, 2, 3, 4, 5, 6, 7) for k in range(-60, 61)] + [123.00005, 0.00015, 1.00005, 99999.99995, 2.5e-7, 5e-7]
+    around = [float(np.nextafter(x, x + s)) for x in ties for s in (-1, 1)]
+    ends = [0.0, -0.0, float("nan"), float("inf"), float("-inf"), None, 5e-324, 1e300, -1e300, 2.0**53 + 2, 1e9, 123456789012.34567]
+    rows = [(v,) for v in [*ties, *around, *ends, *rng.normal(0, 1e3, 3000).tolist(), *rng.uniform(0, 1e5, 3000).tolist(), *(10 ** rng.uniform(-9, 17, 2000)).tolist()]]
+    df = spark.createDataFrame(rows, "v double")
+    for places in (4, 6):
+        got, asked = (x.toPandas()["v"].to_numpy(float) for x in (rounded(df, places), df.select(F.round("v", places).alias("v"))))
+        assert ((got == asked) | (np.isnan(got) & np.isnan(asked))).all()
+    assert rounded(df.where("v is null")).first().v is None
+
+
+def test_points_of_windows_are_neither_shuffled_nor_sorted_and_drawn_as_by_columns(spark, monkeypatch):
+    monkeypatch.setattr(synth, "DRAW_CELLS", 200)  # three windows at a time
+    centres = [(n, 48.25 + 7.3 * n - 20, 30.0 + 5.1 * n) for n in range(7)] + [(7, 50.25, 50.0)]  # that of 7 has a point in the beam's centre
+    windows = spark.createDataFrame(centres, "patch_id long, y double, z double")
+    made = [(n, k, 1.0 * (n + k), 3.0 * n - 5, *(0.3 + 0.2 * ((n + j) % 4) for j in range(4)), (n + k) % 3 / 2, 4.0 + 30 * (n % 3), 0.5 * k) for n, _, _ in centres for k in range(1, 1 + n % 4)]
+    made.append((4, 9, None, *made[0][3:]))  # adds nothing, and is all that patch 4 has
+    fields = ["radius", "eta", "sigma_gr", "sigma_geta", "sigma_lr", "sigma_leta", "mu", "imax", "bg"]
+    found = spark.createDataFrame(made, "patch_id long, k int, " + ", ".join(f"{c} double" for c in fields)).withColumn("radius", F.col("radius") * 4)
+    grid = patch_grid(windows, "y", "z", 4, 2, 50.0, 49.0).join(found, "patch_id")
+    for two in (True, False):
+        low = (F.col("sigma_lr"), F.col("sigma_leta")) if two else None
+        v = pseudo_voigt(F.col("grid_r"), F.col("grid_eta"), F.col("radius"), F.col("eta"), (F.col("sigma_gr"), F.col("sigma_geta")), F.col("mu"), F.col("imax"), low)
+        sums = grid.withColumn("v", v).groupBy("patch_id", "row", "col").agg(F.sum(F.when(F.col("v") > 0, F.col("v") + F.col("bg")).otherwise(F.col("v"))).alias("v")).toPandas()
+        top = sums.groupby("patch_id")["v"].transform("max")
+        sums.loc[(top > 3) & (sums["v"] <= 3), "v"] = 0
+        out = synth.draw_peaks(windows, found, 4, 2, 50.0, 49.0, 3.0, two)
+        both = sums.merge(out.toPandas(), on=["patch_id", "row", "col"], how="outer", indicator=True)
+        assert (both["_merge"] == "both").all() and len(both) == 7 * 64  # patch 0 has no peak
+        assert np.allclose(both["v_x"], both["v_y"], rtol=1e-12, atol=1e-12, equal_nan=True) and both["v_y"].isna().sum() == 64 and (both["v_y"] == 0).any()
+    drawn = plan(QUERIES["drawn_patches"](spark, "/root/testdata/sf0.001"))
+    above = drawn[: drawn.index("MapInArrow")]
+    assert "Exchange" not in above and "Sort" not in above and "Window" not in above and "Broadcast" not in drawn
