@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -245,14 +246,108 @@ def draw_peaks(windows: DataFrame, peaks: DataFrame, size: int, srfac: int, ybc:
 
 
 def pool(x: np.ndarray, f: int) -> np.ndarray:
+    """Sums of f*f blocks; incomplete blocks at the edges are dropped."""
+    if f == 1:
+        return x
     h, w = len(x) // f, x.shape[1] // f
-    return x[: h * f, : w * f].reshape(h, f, w, f).sum((1, 3))
+    rows = x[: h * f].reshape(h, f, -1).sum(1)
+    return sum(rows[:, k : w * f : f] for k in range(1, f)) + rows[:, : w * f : f]
+
+
+def polar(y: np.ndarray, z: np.ndarray, ybc: float, zbc: float) -> tuple[np.ndarray, np.ndarray]:
+    """Radius and eta (degrees) of all points of a grid."""
+    gy, gz = np.meshgrid(y, z)
+    r = np.hypot(gy - ybc, gz - zbc)
+    return r, np.degrees(np.arccos(np.clip((gz - zbc) / np.where(r == 0, 1, r), -1, 1))) * np.where(gy < ybc, -1, 1)
+
+
+def sector(r0: float, e0: float, dr: float, de: float) -> tuple[float, float, float, float]:
+    """The box around the points whose radius and eta (degrees) lie within dr and de of r0 and e0: least and greatest y, then
+    z, from the beam's centre."""
+    low, high = max(r0 - dr, 0.0), max(r0 + dr, 0.0)
+    if de >= 180:
+        return -high, high, -high, high
+    turns = [math.radians(a) for a in (e0 - de, e0 + de, *range(90 * math.ceil((e0 - de) / 90), math.floor(e0 + de) + 1, 90))]
+    s, c = [math.sin(t) for t in turns], [math.cos(t) for t in turns]
+    return tuple(f(low * f(v), high * f(v)) for v in (s, c) for f in (min, max))
+
+
+#: Gaussians beside a Lorentzian are drawn to e**-45 of their top, which a sum of patches' points can't hold; those by
+#: themselves to the least number, since they have a background as far as that.
+REACH, REACH_ALONE = 45.0, 746.0
+#: Points of a canvas that Lorentzians are added to together: the processor's own memory holds them.
+BAND_CELLS = 30_000
+
+
+def kinds(p: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of peaks (as by pseudo_voigt_np()): which are well above 0 up to radius far, for their Lorentzian, and which are odd,
+    neither this nor a Gaussian alone."""
+    r0, e0, gr, ge, lr, le, mix, top = p.T
+    with np.errstate(all="ignore"):
+        least = mix / ((1 + ((far + np.abs(r0)) / lr) ** 2) * (1 + ((360 + np.abs(e0)) / le) ** 2))
+        odd = ~np.isfinite(p).all(1) | (top <= 0) | (gr == 0) | (ge == 0) | ~((least > 1e-24) & (mix <= 1) | (mix == 0))
+    return ~odd & (mix > 0), odd
+
+
+def add_peaks(x: np.ndarray, r: np.ndarray, e: np.ndarray, p: np.ndarray, bg: np.ndarray, wide: np.ndarray, odd: np.ndarray, corner: tuple[float, float], src: int, room: tuple[np.ndarray, np.ndarray]) -> None:
+    """Sets x to the sum of peaks, each with its background where it is positive. p: as by pseudo_voigt_np(); wide, odd: by
+    kinds(); corner: y, z of the first point, from the beam's centre; room: for some rows, twice.
+
+    The backgrounds of wide peaks are added as one number, and Gaussians are drawn in boxes that hold what counts of them. Odd
+    peaks go by the plain formula."""
+    r0, e0, gr, ge, lr, le, mix, top = p.T
+    low_r, low_e = lr * lr, le * le
+    weight = mix * top * low_r * low_e
+    x.fill(bg[wide].sum())
+    for k in range(len(p)):
+        if odd[k]:
+            each = pseudo_voigt_np(r, e, p[k : k + 1])[0]
+            x += np.where(each > 0, each + bg[k], each)
+            continue
+        if mix[k] < 1:
+            reach = math.sqrt(2 * (REACH if wide[k] else REACH_ALONE))
+            y_low, y_high, z_low, z_high = sector(r0[k], e0[k], reach * abs(gr[k]), reach * abs(ge[k]))
+            cut = lambda low, high, first, size: slice(min(max(int((low - first) * src) - 1, 0), size), min(max(int((high - first) * src) + 2, 0), size))
+            box = cut(z_low, z_high, corner[1], x.shape[0]), cut(y_low, y_high, corner[0], x.shape[1])
+            a, b = r[box] - r0[k], e[box] - e0[k]
+            a *= a
+            b *= b
+            a *= -0.5 / gr[k] ** 2
+            b *= -0.5 / ge[k] ** 2
+            a += b
+            if wide[k]:
+                g = np.exp(np.maximum(a, -REACH, out=a), out=a)  # numbers near the least ones take a hundred times as long
+                g *= (1 - mix[k]) * top[k]
+                x[box] += g
+            else:
+                at = a > -REACH_ALONE
+                g = (1 - mix[k]) * top[k] * np.exp(a[at])
+                x[box][at] += np.where(g > 0, g + bg[k], g)
+    for lo in range(0, len(x), step := max(1, BAND_CELLS // x.shape[1])):
+        band, r_band, e_band = (v[lo : lo + step] for v in (x, r, e))
+        one, two = (v[: len(band)] for v in room)
+        for k in np.flatnonzero(wide):
+            np.subtract(r_band, r0[k], out=one)
+            np.subtract(e_band, e0[k], out=two)
+            np.multiply(one, one, out=one)
+            np.multiply(two, two, out=two)
+            one += low_r[k]
+            two += low_e[k]
+            np.multiply(one, two, out=one)
+            np.divide(weight[k], one, out=one)
+            band += one
+
+
+#: Points of the grid around all patches of a batch whose places are worked out together; patches that lie farther apart have
+#: theirs worked out by themselves.
+LATTICE_CELLS = 4_000_000
 
 
 def render_patches(patches: DataFrame, *, lrsz: int, cvsz: int, src: int, factors: list[int], ybc: float, zbc: float, cut: float, cut_factor: float = 1.0) -> DataFrame:
     """patches: patch_id, isum, peaks (array of y, z, radius, eta, sigma_gr, sigma_geta, sigma_lr, sigma_leta, mu, imax,
     bg; the anchor first). One row per patch and factor: patch_id, srfac, side, px (maximum 1), y00, z00, peak_y, peak_z
-    (in fine pixels), drawn (false: nothing of the peak is seen around it; at the source factor only), blank.
+    (in fine pixels), drawn (false: nothing of the peak is seen around it; at the source factor only), blank, n_peaks, isum
+    as given, and total, the sum of px.
 
     Drawn at the source factor around the anchor, scaled to isum, cut, scaled again; the brightest native pixel fixes
     the crop. A patch below the cut, or whose crop leaves the canvas, is blank: one row with blank set and no pixels.
@@ -260,33 +355,32 @@ def render_patches(patches: DataFrame, *, lrsz: int, cvsz: int, src: int, factor
     """
     own = cut_factor * cut / src**2
     fields = ("y", "z", "radius", "eta", "sigma_gr", "sigma_geta", "sigma_lr", "sigma_leta", "mu", "imax", "bg")
+    n, side = cvsz * src, lrsz * src
 
-    def one(pid: int, isum: float, peaks: list) -> list[tuple]:
-        blank = [(pid, None, None, None, None, None, None, None, None, True)]
-        p = np.array([[q[c] for c in fields] for q in peaks], float)
+    def one(isum: float, p: np.ndarray, places, room: list[np.ndarray]) -> list[tuple]:
+        """(factor, pixels, y00, z00, peak_y, peak_z, drawn) of each factor; none if the patch is blank."""
+        x = room[0]
         first = [int(int(p[0, k]) - cvsz / 2) for k in (0, 1)]
-        y, z = (f + np.arange(cvsz * src) / src for f in first)
-        gy, gz = np.meshgrid(y, z)
-        r = np.hypot(gy - ybc, gz - zbc)
-        e = np.degrees(np.arccos(np.clip((gz - zbc) / np.where(r == 0, 1, r), -1, 1))) * np.where(gy < ybc, -1, 1)
-        shape = np.column_stack([p[:, 2:9], p[:, 9] / src**2])
-        each = pseudo_voigt_np(r, e, shape)
-        x = np.where(each > 0, each + p[:, 10, None, None] / src**2, each).sum(0)
-        if not x.sum() > 0:
-            return blank
-        x = x * (isum / x.sum())
-        if x.max() <= own:
-            return blank
-        x = np.where(x < own, 0, x)
-        x = x * (isum / x.sum())
-        native = pool(x, src)
-        row, col = np.unravel_index(np.where(native < cut, 0, native).argmax(), native.shape)
-        side = lrsz * src
+        corner = first[0] - ybc, first[1] - zbc
+        shape, bg = np.column_stack([p[:, 2:9], p[:, 9] / src**2]), p[:, 10] / src**2
+        wide, odd = kinds(shape, math.hypot(*(max(abs(c), abs(c + cvsz)) for c in corner)))
+        if not odd.any() and (bg >= 0).all() and isum >= 0:  # nothing is negative, so that backgrounds may tell a blank patch
+            if 0 < isum * (shape[:, 7] + bg).sum() * (1 + 1e-6) <= own * bg[wide].sum() * n * n:
+                return []
+        r, e = places(*first)
+        add_peaks(x, r, e, shape, bg, wide, odd, corner, src, room[1:])
+        mass = x.sum()
+        if not mass > 0 or not isum / mass * x.max() > own:
+            return []
+        np.multiply(x, x >= own / (isum / mass), out=x)
+        scale = isum / x.sum()
+        native = pool(x, src) * scale
+        row, col = divmod(int(native.argmax()) if native.max() >= cut else 0, native.shape[1])
         r0, c0 = row * src - side // 2, col * src - side // 2
-        crop = x[max(r0, 0) : r0 + side, max(c0, 0) : c0 + side]
+        crop = x[max(r0, 0) : r0 + side, max(c0, 0) : c0 + side] * scale
         if r0 < 0 or c0 < 0 or crop.shape != (side, side):
-            return blank
-        y00, z00 = int(y[c0]), int(z[r0])
+            return []
+        y00, z00 = int(first[0] + c0 / src), int(first[1] + r0 / src)
         out = []
         for f in factors:
             small = pool(crop, src // f)
@@ -298,22 +392,59 @@ def render_patches(patches: DataFrame, *, lrsz: int, cvsz: int, src: int, factor
             if f == src:
                 box = lambda c: slice(max(int(c - 5), 0), max(int(c + 5), 0))
                 seen = [bool(small[box(b), box(a)].sum() >= 0.1) for a, b in zip(py, pz, strict=True)]
-            out.append((pid, f, len(small), small.ravel().tolist(), y00, z00, py.tolist(), pz.tolist(), seen, False))
+            out.append((f, small.astype(np.float32), y00, z00, py, pz, seen))
         return out
 
-    schema = "patch_id long, srfac int, side int, px array<float>, y00 int, z00 int, peak_y array<double>, peak_z array<double>, drawn array<boolean>, blank boolean"
+    names = ["patch_id", "srfac", "side", "px", "y00", "z00", "peak_y", "peak_z", "drawn", "blank", "n_peaks", "isum", "total"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float32()), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.bool_(), pa.int32(), pa.float64(), pa.float64()]
+    schema = "patch_id long, srfac int, side int, px array<float>, y00 int, z00 int, peak_y array<double>, peak_z array<double>, drawn array<boolean>, blank boolean, n_peaks int, isum double, total double"
+
+    def listed(rows: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+        ends = np.cumsum([0, *(0 if x is None else x.size for x in rows)])
+        values = np.concatenate([x.ravel() for x in rows if x is not None] or [np.empty(0)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind), mask=pa.array([x is None for x in rows]))
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        """One column after another; pixels go as they lie."""
+        columns = [listed(c, t.value_type) if k in (3, 6, 7) else pa.array(c, t) for k, (c, t) in enumerate(zip(zip(*rows, strict=True), types, strict=True))]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = [np.empty((n, n)) for _ in range(3)]
+        lattice: tuple = ()
+        for batch in batches:
+            peaks = batch.column("peaks").flatten()
+            p = np.column_stack([peaks.field(c).to_numpy(zero_copy_only=False).astype(float) for c in fields])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("peaks")), 0).to_numpy(zero_copy_only=False))
+            anchors = p[np.concatenate([[0], ends[:-1]])[np.diff(ends, prepend=0) > 0]][:, :2]
+            if len(anchors) and np.isfinite(anchors).all():
+                lows, highs = (np.trunc(np.trunc(f(anchors, axis=0)) - cvsz / 2).astype(int) for f in (np.min, np.max))
+                if lattice and (lattice[0] <= lows).all() and (highs <= lattice[1]).all():
+                    pass  # an earlier batch's grid will do
+                elif np.prod(highs - lows + cvsz, dtype=float) * src**2 <= LATTICE_CELLS:
+                    if lattice and np.prod(np.maximum(highs, lattice[1]) - np.minimum(lows, lattice[0]) + cvsz, dtype=float) * src**2 <= LATTICE_CELLS:
+                        lows, highs = np.minimum(lows, lattice[0]), np.maximum(highs, lattice[1])
+                    y, z = (lows[k] + np.arange((highs[k] - lows[k] + cvsz) * src) / src for k in (0, 1))
+                    lattice = (lows, highs, *polar(y, z, ybc, zbc))
+
+            def places(y: int, z: int) -> tuple[np.ndarray, np.ndarray]:
+                if lattice and (lattice[0] <= (y, z)).all() and ((y, z) <= lattice[1]).all():
+                    at = slice((z - lattice[0][1]) * src, (z - lattice[0][1]) * src + n), slice((y - lattice[0][0]) * src, (y - lattice[0][0]) * src + n)
+                    return lattice[2][at], lattice[3][at]
+                return polar(y + np.arange(n) / src, z + np.arange(n) / src, ybc, zbc)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
             rows: list[tuple] = []
-            for pid, isum, peaks in pdf[["patch_id", "isum", "peaks"]].itertuples(index=False):
-                rows += one(pid, isum, peaks)
+            for k, (pid, isum) in enumerate(zip(batch.column("patch_id").to_pylist(), batch.column("isum").to_pylist(), strict=True)):
+                of = p[ends[k - 1] if k else 0 : ends[k]]
+                made = one(isum, of, places, room)
+                rows += [(pid, f, len(px), px, y00, z00, py, pz, seen, False, len(of), isum, float(np.cumsum(px, dtype=float)[-1])) for f, px, y00, z00, py, pz, seen in made] or [(pid, *[None] * 8, True, len(of), isum, None)]
                 if len(rows) > 200:
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+                    yield packed(rows)
                     rows = []
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            if rows:
+                yield packed(rows)
 
-    return patches.select("patch_id", "isum", "peaks").mapInPandas(run, schema)
+    return patches.select("patch_id", "isum", "peaks").mapInArrow(run, schema)
 
 
 def multires_cells(cells: DataFrame, src: int, factors: list[int], side: int, cut: float) -> DataFrame:

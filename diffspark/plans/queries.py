@@ -553,7 +553,7 @@ def synthetic_patches(spark, sf_dir):
     found = bank.quality_filter(fx.peaks(spark, sf_dir), 0.8, 20)
     n = found.count()
     store = workloads.patchstore(found, P, n_patches=n, n_peaks=[1, 2, 3], rings=[20.0, 28.0, 36.0], var_r=2.0, sep=(2.0, 12.0), imax=(5, 100), lrsz=20, cvsz=60, src=4, factors=[1, 2, 4], cut=1.0, seed=7)
-    return store["patches"].join(store["info"], "patch_id").select("patch_id", "srfac", "side", "n_peaks", F.aggregate(F.col("px").cast("array<double>"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return store["rendered"].select("patch_id", "srfac", "side", "n_peaks", "total")
 
 
 @query()

@@ -102,21 +102,24 @@ def peakbank(found: DataFrame, measured: DataFrame, params: dict, *, size: int,
 
 
 def patchstore(peak_bank: DataFrame, params: dict, *, n_patches: int, n_peaks: list[int], rings: list[float], var_r: float, sep: tuple[float, float], imax: tuple[float, float], lrsz: int, cvsz: int, src: int, factors: list[int], cut: float, seed: int) -> dict[str, DataFrame]:
-    """A store of synthetic patches: patches, info, locations, parameters. Blank and unplaced patches are in no table."""
+    """A store of synthetic patches: patches, info, locations, parameters. Blank and unplaced patches are in no table. Each
+    of the first three is drawn for itself; rendered has all that they have, for those who want several at once. What was
+    sampled is written once, as two branches read it."""
     spark, ybc, zbc = peak_bank.sparkSession, params["ybc"], params["zbc"]
     windows = synth.ring_windows(peak_bank.drop("n_peaks"), rings, var_r)
     drawn = synth.order_by_imax(synth.sample_ring_peaks(spark, n_patches, n_peaks, windows, len(rings), seed).where("ok"))
-    drawn = drawn.withColumn("imax", synth.clamp_imax(F.col("imax"), *imax))
+    drawn = staged(drawn.withColumn("imax", synth.clamp_imax(F.col("imax"), *imax)), "sampled-peaks")
     placed = synth.place_peaks(drawn.groupBy("patch_id").agg(F.first("ring_r").alias("ring_r"), F.first("n_peaks").cast("int").alias("n_peaks")), var_r, *sep, ybc, zbc, seed).where("ok")
     parameters = drawn.drop("ycen", "zcen", "radius", "eta").join(placed.select("patch_id", "k", "y", "z", F.col("r").alias("radius"), "eta"), ["patch_id", "k"])
     fields = ["y", "z", "radius", "eta", "sigma_gr", "sigma_geta", "sigma_lr", "sigma_leta", "mu", "imax", "bg"]
-    grouped = parameters.groupBy("patch_id").agg(F.array_sort(F.collect_list(F.struct("k", *fields))).alias("peaks"), F.sum("integrated_intensity").alias("isum"), F.count(F.lit(1)).alias("n_peaks"))
+    grouped = parameters.groupBy("patch_id").agg(F.array_sort(F.collect_list(F.struct("k", *fields))).alias("peaks"), F.sum("integrated_intensity").alias("isum"))
     rendered = synth.render_patches(grouped, lrsz=lrsz, cvsz=cvsz, src=src, factors=factors, ybc=ybc, zbc=zbc, cut=cut).where("not blank")
-    one = rendered.where(F.col("srfac") == factors[0]).select("patch_id", "y00", "z00")
+    one = rendered.where(F.col("srfac") == factors[0]).select("patch_id", F.col("n_peaks").cast("long").alias("n_peaks"), "isum", "y00", "z00")
     location = rendered.select("patch_id", "srfac", F.posexplode(F.arrays_zip(F.col("peak_y").alias("y"), F.col("peak_z").alias("z"))).alias("i", "p"))
     return {
+        "rendered": rendered.withColumn("n_peaks", F.col("n_peaks").cast("long")),
         "patches": rendered.select("patch_id", "srfac", "side", F.lit("I").alias("ch"), "px"),
-        "info": grouped.select("patch_id", "n_peaks", "isum").join(one, "patch_id"),
+        "info": one,
         "locations": location.select("patch_id", "srfac", (F.col("i") + 1).alias("k"), F.col("p.y").alias("y"), F.col("p.z").alias("z")),
         "parameters": parameters.join(one.select("patch_id"), "patch_id"),
     }

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from diffspark.functions.geometry import patch_grid
-from diffspark.functions.shapes import pseudo_voigt
+from diffspark.functions.shapes import pseudo_voigt, pseudo_voigt_np
 from diffspark.operators import peaks, synth
 from diffspark.plans.queries import QUERIES, SQL, rounded
 from diffspark.sources.staging import staged
@@ -89,3 +89,58 @@ def test_points_of_windows_are_neither_shuffled_nor_sorted_and_drawn_as_by_colum
     drawn = plan(QUERIES["drawn_patches"](spark, "/root/testdata/sf0.001"))
     above = drawn[: drawn.index("MapInArrow")]
     assert "Exchange" not in above and "Sort" not in above and "Window" not in above and "Broadcast" not in drawn
+
+
+def test_canvases_are_those_of_the_plain_formula(monkeypatch):
+    rng, n, src, ybc, zbc = np.random.default_rng(9), 64, 4, 48.25, 47.75
+    room = [np.empty((n, n)) for _ in range(2)]
+    for case in range(60):
+        many, y, z = 1 + case % 3, *rng.integers(20, 70, 2)
+        r, e = synth.polar(y + np.arange(n) / src, z + np.arange(n) / src, ybc, zbc)
+        at = tuple(rng.integers(0, n, (2, many)))
+        p = np.column_stack([r[at], e[at], *rng.uniform(0.2, 2, (4, many)), rng.choice([0.0, 0.1, 0.5, 0.9, 1.0], many), rng.uniform(1, 60, many)])
+        if case % 10 == 9:  # odd ones
+            p[0, [2, 6, 7][case // 10 % 3]] = [0.0, 1.5, -3.0][case // 10 % 3]
+        bg = rng.choice([0.0, 0.2, 3.0], many)
+        with np.errstate(all="ignore"):
+            each = pseudo_voigt_np(r, e, p)
+        expected, x = np.where(each > 0, each + bg[:, None, None], each).sum(0), np.empty((n, n))
+        wide, odd = synth.kinds(p, 100.0)
+        assert odd.any() == (case % 10 == 9) and (wide == ~odd & (p[:, 6] > 0)).all()
+        monkeypatch.setattr(synth, "BAND_CELLS", 500 + 100 * case)
+        with np.errstate(all="ignore"):
+            synth.add_peaks(x, r, e, p, bg, wide, odd, (y - ybc, z - zbc), src, room)
+        assert np.allclose(x, expected, rtol=1e-11, atol=1e-15, equal_nan=True), case
+
+
+def test_patches_are_drawn_once_and_blank_ones_are_the_same(spark, data, monkeypatch):
+    """The store's patches and information were each drawn for themselves, and joined with all their pixels."""
+    whole, asked, render = {}, [], synth.render_patches
+    monkeypatch.setattr(synth, "render_patches", lambda patches, **kw: asked.append((patches, kw)) or render(patches, **kw))
+    out = QUERIES["synthetic_patches"](spark, data)
+    drawn = plan(out)
+    assert drawn.count("MapInArrow") == 1 and "Join" not in drawn[: drawn.index("MapInArrow")]
+    patches, kw = asked[0]
+    patches = patches.persist()
+    for far in (False, True):  # True: places of no patch come from a grid of several, and no background tells a blank one
+        if far:
+            monkeypatch.setattr(synth, "LATTICE_CELLS", 0)
+            monkeypatch.setattr(synth, "kinds", lambda p, far: (np.zeros(len(p), bool), np.ones(len(p), bool)))
+        batch = patches.toArrow().combine_chunks().to_batches()
+
+        class Batches:
+            def select(self, *columns):
+                return self
+
+            def mapInArrow(self, run, schema):
+                return pd.concat([x.to_pandas() for x in run(iter(batch))], ignore_index=True)
+
+        whole[far] = render(Batches(), **kw).sort_values(["patch_id", "srfac"], ignore_index=True)
+    a, b = whole[False], whole[True]
+    assert (a["blank"] == b["blank"]).all() and a["blank"].any() and (a["patch_id"] == b["patch_id"]).all()
+    some = ~a["blank"].astype(bool)
+    assert all(np.allclose(x, y, atol=1e-6) for x, y in zip(a["px"][some], b["px"][some], strict=True)) and np.allclose(a["total"][some], b["total"][some])
+    got = {(r.patch_id, r.srfac): r.total for r in out.collect()}
+    assert got == {(p, f): t for p, f, t in zip(a["patch_id"][some], a["srfac"][some], a["total"][some], strict=True)}
+    store = dict(a[some].groupby("patch_id").size())
+    assert set(store.values()) == {3}
